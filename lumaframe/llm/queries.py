@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumaframe.llm.licenses import license_scan
+from lumaframe.llm.packing import pack
 from lumaframe.llm.sharding import shard_documents
+from lumaframe.llm.token_counts import count_tokens
+
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +23,18 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op2_feistel_shards, op5_packed_sequences, op8_token_counts, op10_license_digests)}
 ORACLE: dict[str, str] = {}
