@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaframe.llm.html_text import extract_text
 from lumaframe.llm.licenses import license_scan
 from lumaframe.llm.packing import pack
 from lumaframe.llm.sharding import shard_documents
@@ -32,9 +33,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op5_packed_sequences, op8_token_counts, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op2_feistel_shards, op5_packed_sequences, op8_token_counts, op9_main_text, op10_license_digests)}
 ORACLE: dict[str, str] = {}
