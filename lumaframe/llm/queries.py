@@ -11,6 +11,7 @@ from lumaframe.llm.html_text import extract_text
 from lumaframe.llm.licenses import license_scan
 from lumaframe.llm.packing import pack
 from lumaframe.llm.sharding import shard_documents
+from lumaframe.llm.simhash import near_duplicates
 from lumaframe.llm.token_counts import count_tokens
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -24,6 +25,12 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, radius=2)
+    digits = F.lower(F.hex("fp"))
+    return rows.select("doc_id", F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]).alias("fingerprint"), "component_id")
+
+
 def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -41,5 +48,5 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op5_packed_sequences, op8_token_counts, op9_main_text, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op2_feistel_shards, op3_simhash_golay, op5_packed_sequences, op8_token_counts, op9_main_text, op10_license_digests)}
 ORACLE: dict[str, str] = {}
