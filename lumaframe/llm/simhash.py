@@ -19,8 +19,8 @@ LENGTH, CHECKS, GENERATOR = 23, 11, 0b110001110101
 SEED = 42
 #: Segments of a 64-bit fingerprint: first bit and width.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Segments of a wide fingerprint are dealt with in sets of so many.
-SET = 8
+#: Keys for each segment of a wide fingerprint.
+PARTNERS = 2
 BLOCK = 4096
 
 
@@ -142,17 +142,22 @@ def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of wide fingerprints: within each set of segments, the nearest codewords of any two."""
+    """(place, key) of wide fingerprints: the nearest codeword of a segment with 8 further bits as they are.
+
+    12 segments to 5 words; the bits that are left make bytes, and each segment goes with PARTNERS of these.
+    """
+    words = prints.shape[1]
     bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-    n = bits.shape[1] // LENGTH // SET * SET
+    n = words * 12 // 5
+    rest = bits[:, LENGTH * n :]
+    extra = np.packbits(rest[:, : rest.shape[1] // 8 * 8], axis=1).astype(np.int64)
     weights = 1 << np.arange(LENGTH)
-    index = [nearest(bits[:, LENGTH * k : LENGTH * (k + 1)].astype(np.int64) @ weights) for k in range(n)]
-    places, keys, number = [], [], 0
-    for first in range(0, n, SET):
-        for a, b in combinations(range(first, first + SET), 2):
+    places, keys = [], []
+    for k in range(n):
+        index = nearest(bits[:, LENGTH * k : LENGTH * (k + 1)].astype(np.int64) @ weights)
+        for j in range(PARTNERS):
             places.append(np.arange(len(prints)))
-            keys.append(np.int64(number) << 24 | index[a] << 12 | index[b])
-            number += 1
+            keys.append(np.int64(PARTNERS * k + j) << 20 | index << 8 | extra[:, (PARTNERS * k + j) % extra.shape[1]])
     return np.concatenate(places), np.concatenate(keys)
 
 
