@@ -3,37 +3,35 @@
 from __future__ import annotations
 
 
-class Memo(dict):
-    """word -> value, made by ``make(list of words) -> list of values`` for words not seen lately.
+class Memo:
+    """words -> values, made by ``make(list of words) -> list of values`` for words not seen lately.
 
     Two generations: when the young one holds ``limit`` words it becomes the old one, and words found there move
     back. Words over ``longest`` characters are made afresh each time. So memory is bounded for any input, and
     what is remembered never changes a result.
     """
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
-        super().__init__()
-        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+    def __init__(self, make, limit: int = 700_000, longest: int = 64):
+        self.make, self.limit, self.longest = make, limit, longest
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def values_of(self, words: list) -> list:
-        try:
-            return [self[w] for w in words]
-        except KeyError:
-            pass
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        missing, once = [], {}
-        for w in {w for w in words if w not in self}:
-            if (v := self.old.get(w)) is not None:
-                self[w] = v
-            else:
-                missing.append(w)
-        for w, v in zip(missing, self.make(missing), strict=True):
-            if len(w) <= self.longest:
-                self[w] = v
-            else:
-                once[w] = v
-        if once:
-            return [once[w] if w in once else self[w] for w in words]
-        return [self[w] for w in words]
+    def __call__(self, words: list) -> list:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        absent = set(words).difference(young)
+        long = []
+        if absent:
+            missing = []
+            for w in absent:
+                if (v := old.get(w)) is None:
+                    missing.append(w)
+                else:
+                    young[w] = v
+            young.update(zip(missing, self.make(missing), strict=True))
+            long = [w for w in missing if len(w) > self.longest]
+        values = list(map(young.__getitem__, words))
+        for w in long:
+            del young[w]
+        return values

@@ -17,6 +17,7 @@ from lumaframe.llm.memo import Memo
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 BUFFER_TOKENS = 1 << 20
+MARK = "\ue000"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 
@@ -28,16 +29,26 @@ def encoder(path: str):
     Blanks and line feeds end every pre-token of this tokenizer's kind, and its normaliser never works across
     them, so the ids of a text are those of its blank-separated parts in a row.
     """
+    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
+    def ids_of(text: str) -> bytes:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    mark = ids_of(MARK)
+
     def make(words: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Many words in one call, with a word between them whose ids no word here has."""
+        if any(MARK in w for w in words):
+            return [ids_of(w) for w in words]
+        found = ids_of(f" {MARK} ".join(words)).split(mark) if words else []
+        return found if len(found) == len(words) else [ids_of(w) for w in words]
 
     memo = Memo(make)
-    return lambda text: b"".join(memo.values_of(text.replace("\n", " ").split(" ")))
+    return lambda text: b"".join(memo(text.replace("\n", " ").split(" ")))
 
 
 class Piece:

@@ -95,7 +95,7 @@ def counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = (text.as_py() or "").split()
-            n, odd, scores = zip(*memo.values_of(words), strict=True) if words else ((), (), ())
+            n, odd, scores = zip(*memo(words), strict=True) if words else ((), (), ())
             rows.append((doc, len(words), sum(n), sum(odd), math.fsum(scores)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
