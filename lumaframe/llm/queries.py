@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumaframe.llm.decontamination import overlaps
 from lumaframe.llm.html_text import extract_text
 from lumaframe.llm.licenses import license_scan
+from lumaframe.llm.multiset_hash import edited_fingerprints
 from lumaframe.llm.packing import pack
 from lumaframe.llm.sharding import shard_documents
 from lumaframe.llm.simhash import near_duplicates
@@ -32,6 +33,10 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]).alias("fingerprint"), "component_id")
 
 
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -53,5 +58,5 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op3_simhash_golay, op5_packed_sequences, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op2_feistel_shards, op3_simhash_golay, op4_multiset_hash, op5_packed_sequences, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
 ORACLE: dict[str, str] = {}
