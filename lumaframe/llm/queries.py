@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm.decontamination import overlaps
 from lumaframe.llm.html_text import extract_text
+from lumaframe.llm.language_id import languages
 from lumaframe.llm.licenses import license_scan
 from lumaframe.llm.multiset_hash import edited_fingerprints
 from lumaframe.llm.packing import pack
@@ -42,6 +43,10 @@ def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op6_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,5 +63,5 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op3_simhash_golay, op4_multiset_hash, op5_packed_sequences, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op2_feistel_shards, op3_simhash_golay, op4_multiset_hash, op5_packed_sequences, op6_language_gru, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
 ORACLE: dict[str, str] = {}
