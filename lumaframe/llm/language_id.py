@@ -142,7 +142,8 @@ def sequences(word: bytes) -> list[bytes]:
 MODELS: dict[bytes, Memo] = {}
 
 
-def predicted(batches: Iterable[pa.RecordBatch], network: Network, langs: list[str]) -> Iterator[pa.RecordBatch]:
+def labelled(batches: Iterable[pa.RecordBatch], network: Network, langs: list[str], text: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    """Parts of the batches with the language and score of their rows; text: the number of the text's column."""
     mark = network.p["out"].tobytes()
     if mark not in MODELS:  # a worker keeps the words of one model at a time
         MODELS.clear()
@@ -151,7 +152,7 @@ def predicted(batches: Iterable[pa.RecordBatch], network: Network, langs: list[s
     for batch in batches:
         for first in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(first, TOGETHER)
-            texts = [t.as_py() for t in part.column(1)]
+            texts = [t.as_py() for t in part.column(text)]
             fit = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             words = [t.encode("utf-8", "surrogatepass").split() if ok else [] for t, ok in zip(texts, fit, strict=True)]
             memo(list(set().union(*words)))
@@ -167,7 +168,17 @@ def predicted(batches: Iterable[pa.RecordBatch], network: Network, langs: list[s
                 best = int(chances.argmax())
                 names.append(langs[best])
                 scores.append(float(chances[best] / chances.sum()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield part, names, scores
+
+
+def predicted(batches: Iterable[pa.RecordBatch], network: Network, langs: list[str]) -> Iterator[pa.RecordBatch]:
+    for part, names, scores in labelled(batches, network, langs, 1):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+
+def accepted(batches: Iterable[pa.RecordBatch], network: Network, langs: list[str], text: int, least: float) -> Iterator[pa.RecordBatch]:
+    for part, names, scores in labelled(batches, network, langs, text):
+        yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC) -> tuple[Network, list[str]]:
@@ -205,6 +216,11 @@ def identify(docs: DataFrame, network: Network, langs: list[str]) -> DataFrame:
     return small.mapInArrow(partial(predicted, network=network, langs=langs), SCHEMA)
 
 
+def keep_identified(docs: DataFrame, network: Network, langs: list[str], least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with at least the given score."""
+    return docs.mapInArrow(partial(accepted, network=network, langs=langs, text=docs.columns.index("text"), least=least), docs.schema)
+
+
 def held_out() -> Column:
     """Whether the row takes no part in learning: crc32 of doc_id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
