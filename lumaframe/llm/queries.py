@@ -11,6 +11,7 @@ from lumaframe.llm.decontamination import overlaps
 from lumaframe.llm.html_text import extract_text
 from lumaframe.llm.language_id import languages
 from lumaframe.llm.licenses import license_scan
+from lumaframe.llm.lm_scoring import scores
 from lumaframe.llm.multiset_hash import edited_fingerprints
 from lumaframe.llm.packing import pack
 from lumaframe.llm.sharding import shard_documents
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -63,5 +68,5 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op3_simhash_golay, op4_multiset_hash, op5_packed_sequences, op6_language_gru, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op1_elias_fano_lm, op2_feistel_shards, op3_simhash_golay, op4_multiset_hash, op5_packed_sequences, op6_language_gru, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
 ORACLE: dict[str, str] = {}
