@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column functions: images as arrays of pixels, boxes and distances. All run inside the JVM."""

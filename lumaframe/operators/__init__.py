@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""DataFrame operators, and NumPy kernels where built-in expressions can't state the semantics."""

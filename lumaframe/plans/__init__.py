@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Registered queries and the inputs they derive from the tables."""

@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from lumaframe.plans import pixel_queries
+
+MODULES = (pixel_queries,)
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLE.update(_module.ORACLE)

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Structured Streaming forms of the stateful operators."""
