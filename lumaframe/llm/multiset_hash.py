@@ -10,7 +10,8 @@ from lumaframe.llm.shared import numbered
 IDENTITY = 8
 LANES = 64
 MASK = (1 << 32) - 1
-PAIR = (1 << 32) + 1
+EIGHTS = 0x0101010101010101
+CHUNK = 127
 BLOCK = 2048
 MOST_BLOCKS = 50_000
 WIDTH = 16 + 8 * IDENTITY + 8 * LANES
@@ -37,13 +38,19 @@ def units(text: Column) -> Column:
 
 
 def lane_sums(unit: Column) -> list[Column]:
-    """Aggregates: how many units have each bit set, two 32-bit lanes to a long."""
-    return [F.sum(F.shiftrightunsigned(unit, k).bitwiseAND(F.lit(PAIR))).alias(f"_s{k}") for k in range(LANES // 2)]
+    """Aggregates over at most CHUNK units: how many have each bit set, eight 8-bit counters to a long, none of them over 127."""
+    return [F.sum(F.shiftrightunsigned(unit, k).bitwiseAND(F.lit(EIGHTS))).alias(f"_s{k}") for k in range(8)]
+
+
+def lanes_of(chunks: Column) -> Column:
+    """The LANES counts from the chunks' counters, modulo 2 ** 32."""
+    eighth = lambda j: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.aggregate(chunks, F.lit(0).cast("bigint"), lambda s, c: s + F.shiftrightunsigned(F.get(c, k), 8 * j).bitwiseAND(F.lit(255))).bitwiseAND(F.lit(MASK)))
+    return F.flatten(F.array(*[eighth(j) for j in range(LANES // 8)]))
 
 
 def written(n: Column, ident: Column, lanes: Column) -> Column:
     """n (16 digits), the identity lanes and the word-pair lanes (8 digits each), in hex."""
-    digits = F.transform(lanes, lambda s: F.lpad(F.lower(F.hex(s)), 16, "0"))
+    digits = F.transform(lanes, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0"))
     return F.concat(F.lpad(F.lower(F.hex(n)), 16, "0"), ident, F.array_join(digits, ""))
 
 
@@ -69,8 +76,7 @@ def likeness(na: Column, a: Column, nb: Column, b: Column) -> Column:
     """
 
     def vector(n: Column, lanes: Column) -> Column:
-        counts = F.flatten(F.transform(lanes, lambda s: F.array(F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit(MASK)))))
-        return F.transform(counts, lambda c: (2 * c - n).cast("double"))
+        return F.transform(lanes, lambda c: (2 * c - n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -83,9 +89,10 @@ def likeness(na: Column, a: Column, nb: Column, b: Column) -> Column:
 def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, n_units, ident and lanes for every row; keys must tell rows apart. Grouped by the keys."""
     known = df.select(*keys, identity(F.col(text)).alias("ident"), F.col(text).alias("_text"))  # before the explosion, once a row
-    exploded = known.select(*keys, "ident", F.explode(units(F.col("_text"))).alias("unit"))
-    sums = exploded.groupBy(*keys, "ident").agg(F.count("*").alias("n_units"), *lane_sums(F.col("unit")))
-    return sums.select(*keys, "n_units", "ident", F.array(*[f"_s{k}" for k in range(LANES // 2)]).alias("lanes"))
+    exploded = known.select(*keys, "ident", F.posexplode(units(F.col("_text"))).alias("_at", "unit"))
+    sums = exploded.groupBy(*keys, "ident", F.floor(F.col("_at") / CHUNK).alias("_chunk")).agg(F.count("*").alias("_n"), *lane_sums(F.col("unit")))
+    whole = sums.groupBy(*keys, "ident").agg(F.sum("_n").alias("n_units"), F.collect_list(F.array(*[f"_s{k}" for k in range(8)])).alias("_chunks"))
+    return whole.select(*keys, "n_units", "ident", lanes_of(F.col("_chunks")).alias("lanes"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
