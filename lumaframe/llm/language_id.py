@@ -181,6 +181,14 @@ def accepted(batches: Iterable[pa.RecordBatch], network: Network, langs: list[st
         yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
 
+def sampled(batches: Iterable[pa.RecordBatch], words_per_doc: int) -> Iterator[pa.RecordBatch]:
+    """Evenly chosen words of each text."""
+    for batch in batches:
+        texts = [t.as_py().encode("utf-8", "surrogatepass").split() for t in batch.column(2)]
+        words = [b" ".join(t[:: max(1, len(t) // words_per_doc)]) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], ["doc_id", "lang", "words"])
+
+
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC) -> tuple[Network, list[str]]:
     """A network and its languages, from the given labelled rows (doc_id, text, lang; no null lang).
 
@@ -193,12 +201,11 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: in
     chosen = [r[0] for r in ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_lang).select("doc_id").collect()]
     if not chosen:
         return Network(1), []
-    words = F.split(F.trim(F.col("text")), r"\s+")
-    step = F.greatest(F.lit(1), F.floor(F.size(words) / words_per_doc))
-    found = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.filter(words, lambda w, i: i % step == 0).alias("words")).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["lang"], r["words"]))
+    rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang"), F.col("text"))
+    found = rows.mapInArrow(partial(sampled, words_per_doc=words_per_doc), "doc_id long, lang string, words binary").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["words"])))
     langs = sorted({r["lang"] for r in found})
-    rows = [(s, langs.index(r["lang"])) for r in found for w in r["words"] if w for s in sequences(w.encode("utf-8", "surrogatepass"))]
+    rows = [(s, langs.index(r["lang"])) for r in found for w in bytes(r["words"]).split() for s in sequences(w)]
     if not rows:
         return Network(1), []
     return Network(len(langs)).fit([s for s, _ in rows], [y for _, y in rows]), langs

@@ -8,15 +8,22 @@ class Memo:
 
     Two generations: when the young one holds ``limit`` words it becomes the old one, and words found there move
     back. Words over ``longest`` characters are made afresh each time. So memory is bounded for any input, and
-    what is remembered never changes a result.
+    what is remembered never changes a result. A worker serves many operators in turn and remembers the words of
+    the last one only.
     """
 
+    last: Memo | None = None
+
     def __init__(self, make, limit: int = 700_000, longest: int = 64):
         self.make, self.limit, self.longest = make, limit, longest
         self.young: dict = {}
         self.old: dict = {}
 
     def __call__(self, words: list) -> list:
+        if Memo.last is not self:
+            if Memo.last is not None:
+                Memo.last.young, Memo.last.old = {}, {}
+            Memo.last = self
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
