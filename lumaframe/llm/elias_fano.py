@@ -71,9 +71,10 @@ class EliasFano:
             out |= both & np.uint64((1 << self.low_bits) - 1)
         return out
 
-    def first_not_below(self, values: np.ndarray) -> np.ndarray:
-        """For each value the place of the first element that is not less; n if there is none."""
-        low, high = np.zeros(len(values), np.int64), np.full(len(values), self.n, np.int64)
+    def first_not_below(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """For each value the place of the first element that is not less, which lies in [low, high]; n if there is none."""
+        low = np.zeros(len(values), np.int64) if low is None else low.astype(np.int64)
+        high = np.full(len(values), self.n, np.int64) if high is None else high.astype(np.int64)
         active = np.flatnonzero(low < high)
         while len(active):
             middle = (low[active] + high[active]) >> 1

@@ -119,11 +119,18 @@ def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
         yield shard, *merged()
 
 
-def word_level(batches: Iterable[pa.RecordBatch], home: str) -> Iterator[pa.RecordBatch]:
-    """Level 1: a shard's word hashes, and the running sums of their counts, both rising."""
+def slot(hashes: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """The depth bits that follow the first bits."""
+    return (hashes >> np.uint64(64 - bits - depth)).astype(np.int64) & ((1 << depth) - 1) if depth else np.zeros(len(hashes), np.int64)
+
+
+def word_level(batches: Iterable[pa.RecordBatch], home: str, bits: int) -> Iterator[pa.RecordBatch]:
+    """Level 1: a shard's word hashes, and the running sums of their counts, both rising; and where each run of
+    about eight hashes with like upper bits begins."""
     for shard, keys, counts in by_shard(batches):
-        name = f"{home}/words-{shard}-{uuid.uuid4().hex}"
-        save(name, EliasFano.build(keys).arrays("hash") | EliasFano.build(np.cumsum(counts)).arrays("sum"))
+        name, depth = f"{home}/words-{shard}-{uuid.uuid4().hex}", max(0, min(len(keys).bit_length() - 3, 32 - bits))
+        runs = np.searchsorted(slot(keys, bits, depth), np.arange((1 << depth) + 1)).astype(np.int32)
+        save(name, EliasFano.build(keys).arrays("hash") | EliasFano.build(np.cumsum(counts)).arrays("sum") | {"runs": runs})
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n": len(keys), "total": int(counts.sum())}])
 
 
@@ -138,10 +145,10 @@ class Words:
         self.places = {s: k for k, (s, *_) in enumerate(files)}
         self.memo = Memo(self.look_up)
 
-    def level(self, k: int) -> tuple[EliasFano, EliasFano]:
+    def level(self, k: int) -> tuple[EliasFano, EliasFano, np.ndarray]:
         if k not in self.levels:
             arrays = load(self.files[k][1])
-            self.levels[k] = (EliasFano.of(arrays, "hash"), EliasFano.of(arrays, "sum"))
+            self.levels[k] = (EliasFano.of(arrays, "hash"), EliasFano.of(arrays, "sum"), arrays["runs"])
         return self.levels[k]
 
     def ids_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -151,8 +158,9 @@ class Words:
             if (k := self.places.get(s)) is None:
                 continue
             mine = np.flatnonzero(shards == s)
-            level = self.level(k)[0]
-            at = level.first_not_below(hashes[mine])
+            level, _, runs = self.level(k)
+            which = slot(hashes[mine], self.bits, (len(runs) - 1).bit_length() - 1)
+            at = level.first_not_below(hashes[mine], runs[which], runs[which + 1])
             inside = at < level.n
             hit = inside.copy()
             hit[inside] = level[at[inside]] == hashes[mine[inside]]
@@ -172,6 +180,13 @@ class Words:
     def look_up(self, words: list[bytes]) -> list[int]:
         return self.ids_of(hashes_of(words)).tolist() if words else []
 
+    def texts(self, column: pa.Array) -> Iterator[list[list[int]]]:
+        """The ids of the words of each text, some texts at a time; all their new words are looked up together."""
+        for at in range(0, len(column), TOGETHER):
+            texts = [words_of(t.as_py()) for t in column[at : at + TOGETHER]]
+            self.memo(list(set().union(*texts)))
+            yield [self.memo(t) for t in texts]
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         """The base's log10 probabilities, from counts."""
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.size + 1)))
@@ -199,10 +214,11 @@ def pair_counts(batches: Iterable[pa.RecordBatch], key: str, files: list, bits:
         return dealt(keys, counts, (keys >> np.uint64(32)).astype(np.int64) * shards // words.size)
 
     for batch in batches:
-        for text in batch.column(0):
-            ids = np.array([end, *words.memo(words_of(text.as_py())), end], np.uint64)
-            parts.append(ids[:-1] << np.uint64(32) | ids[1:])
-            held += len(parts[-1])
+        for texts in words.texts(batch.column(0)):
+            for text in texts:
+                ids = np.array([end, *text, end], np.uint64)
+                parts.append(ids[:-1] << np.uint64(32) | ids[1:])
+                held += len(parts[-1])
             if held >= PAIRS_HELD:
                 yield out()
                 parts, held = [], 0
@@ -307,9 +323,10 @@ def scored(batches: Iterable[pa.RecordBatch], key: str, files: list, bits: int,
     trie = kept(f"{key}/pairs", lambda: Trie(words, pairs))
     end = int(words.ids_of(np.array([END], np.uint64))[0]) if words.size else -1
     for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(at, TOGETHER)
-            texts = [words.memo(words_of(t.as_py())) for t in part.column(1)]
+        done = 0
+        for texts in words.texts(batch.column(1)):
+            part = batch.slice(done, len(texts))
+            done += len(texts)
             lengths = np.array([len(t) + 1 for t in texts])
             ids = np.fromiter((i for t in texts for i in (*t, end)), np.int64, int(lengths.sum()))
             first = np.cumsum(lengths) - lengths
@@ -359,7 +376,7 @@ def train(docs: DataFrame) -> Model:
         return rows.repartition(min(shards, 4 * parts), "shard").sortWithinPartitions("shard")
 
     counted = sharded(texts.mapInArrow(partial(word_counts, bits=bits), DEALT), 1 << bits)
-    files = sorted(tuple(r) for r in counted.mapInArrow(partial(word_level, home=home), "shard long, name string, n long, total long").collect())
+    files = sorted(tuple(r) for r in counted.mapInArrow(partial(word_level, home=home, bits=bits), "shard long, name string, n long, total long").collect())
     if not files:
         return Model(home, bits, [], [])
     tokens = sum(f[3] for f in files)
