@@ -10,6 +10,7 @@ import numpy as np
 
 #: Set bits of each byte value, and the place of its k-th set bit.
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+EACH, TOPS, FIVES, THREES, NIBBLES = (np.uint64(int(x * 8, 16)) for x in ("01", "80", "55", "33", "0f"))
 PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
 
 
@@ -38,9 +39,9 @@ class EliasFano:
             over = np.flatnonzero(shift + np.uint64(low_bits) > 64)
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         bits = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((top >> low_bits) // 8 + n // 8 + 2, np.uint8)
+        high = np.zeros(((top >> low_bits) + n) // 64 * 8 + 8, np.uint8)
         np.bitwise_or.at(high, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
-        before = np.concatenate([[0], np.cumsum(ONES[high], dtype=np.int64)])[::8].astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(ONES[high], dtype=np.int64)])[:-1:8].astype(np.int64)
         return cls(n, low_bits, low, high, before)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
@@ -55,14 +56,15 @@ class EliasFano:
         """The values at these places (each in [0, n))."""
         at = np.asarray(at, np.int64)
         block = np.searchsorted(self.before, at, "right") - 1
-        left, byte = at - self.before[block], block * 8
-        last = len(self.high) - 1
-        for _ in range(7):
-            here = ONES[self.high[np.minimum(byte, last)]]
-            on = left >= here
-            left = left - np.where(on, here, 0)
-            byte = byte + on
-        high = byte * 8 + PLACE[self.high[np.minimum(byte, last)], np.minimum(left, 7)] - at
+        left = (at - self.before[block]).astype(np.uint64)
+        word = self.high.view(np.uint64)[block]
+        # set bits up to each byte of the word, as its bytes; how many of these are at most left; the rest from a table
+        s = word - (word >> np.uint64(1) & FIVES)
+        s = (s & THREES) + (s >> np.uint64(2) & THREES)
+        s = ((s + (s >> np.uint64(4))) & NIBBLES) * EACH
+        shift = (((((left * EACH) | TOPS) - s & TOPS) >> np.uint64(7)) * EACH >> np.uint64(56)) << np.uint64(3)
+        left -= (s << np.uint64(8)) >> shift & np.uint64(255)
+        high = block * 64 + shift.astype(np.int64) + PLACE[(word >> shift & np.uint64(255)).astype(np.int64), left.astype(np.int64)] - at
         out = high.astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             bit = at.astype(np.uint64) * np.uint64(self.low_bits)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.llm.memo import Memo
+from lumaframe.llm.memo import Memo, coded
 
 DOCS_PER_LANG = 160
 WORDS_PER_DOC = 120
@@ -20,7 +20,6 @@ LONGEST = 32
 EPOCHS = 3
 BATCH = 256
 RATE = 0.01
-TOGETHER = 1000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -150,24 +149,22 @@ def labelled(batches: Iterable[pa.RecordBatch], network: Network, langs: list[st
         MODELS[mark] = Memo(network.words)
     memo, width = MODELS[mark], len(langs) + 1
     for batch in batches:
-        for first in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(first, TOGETHER)
-            texts = [t.as_py() for t in part.column(text)]
-            fit = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-            words = [t.encode("utf-8", "surrogatepass").split() if ok else [] for t, ok in zip(texts, fit, strict=True)]
-            memo(list(set().union(*words)))
-            names, scores = [], []
-            for ok, w in zip(fit, words, strict=True):
-                if not ok or not langs:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = np.frombuffer(b"".join(memo(w)), np.float32).reshape(-1, width).sum(0, dtype=np.float64)
-                mean = total[:-1] / total[-1]
-                chances = np.exp(mean - mean.max())
-                best = int(chances.argmax())
-                names.append(langs[best])
-                scores.append(float(chances[best] / chances.sum()))
+        done = 0
+        for n, codes, words, first in coded(batch.column(text), "ascii"):
+            part = batch.slice(done, n)
+            done += n
+            names, scores = [UNKNOWN] * n, [0.0] * n
+            fit = [bool(langs) and bool(t) and any(map(str.isalpha, t)) for t in part.column(text).to_pylist()]
+            some = np.flatnonzero(np.diff(first))
+            if len(some) and any(fit):
+                sums = np.frombuffer(b"".join(memo(words)), np.float32).reshape(-1, width)
+                total = np.add.reduceat(sums[codes].astype(np.float64), first[some])
+                mean = total[:, :-1] / total[:, -1:]
+                chances = np.exp(mean - mean.max(1, keepdims=True))
+                best = chances.argmax(1)
+                for i, k, s in zip(some.tolist(), best.tolist(), (chances.max(1) / chances.sum(1)).tolist(), strict=True):
+                    if fit[i]:
+                        names[i], scores[i] = langs[k], s
             yield part, names, scores
 
 

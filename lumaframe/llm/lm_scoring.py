@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -13,26 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.elias_fano import EliasFano, load, remove, save
-from lumaframe.llm.memo import Memo
+from lumaframe.llm.memo import Memo, coded
 from lumaframe.llm.shared import shared_dir
 
 SEED = 7
 END = 1  # the hash of the end of a text; no word is given it
-WORDS_HELD = 600_000
+WORDS_HELD = 1_500_000
 PAIRS_HELD = 3_000_000
 PAIRS_PER_SHARD = 3_000_000
 #: log10 probabilities are kept in steps of 1 / 4096, downwards, as 16 bits.
 STEP = 4096
 BUCKETS = 64
-TOGETHER = 1000
+MOST = (1 << 31) - 1
 DEALT = "shard int, blob binary"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -74,24 +69,23 @@ def dealt(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> pa.Record
 
 
 def word_counts(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    ends = 0
+    parts, ends, held = [], 0, 0
 
     def out() -> pa.RecordBatch:
-        keys, counts = hashes_of(list(held)), np.fromiter(held.values(), np.int64, len(held))
-        if ends:
-            keys, counts = np.append(keys, np.uint64(END)), np.append(counts, ends)
-        keys, counts = summed(keys, counts)
+        last = (np.array([END], np.uint64), np.array([ends]))
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, last, strict=True)))
         return dealt(keys, counts, (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64))
 
     for batch in batches:
-        for text in batch.column(0):
-            held.update(words_of(text.as_py()))
-            ends += 1
-            if len(held) >= WORDS_HELD:
+        for n, codes, words, _ in coded(batch.column(0), "lower"):
+            counts = np.bincount(codes, minlength=len(words))
+            some = np.flatnonzero(counts)
+            parts.append((hashes_of([words[i] for i in some.tolist()]), counts[some]))
+            ends += n
+            held += len(some)
+            if held >= WORDS_HELD:
                 yield out()
-                held.clear()
-                ends = 0
+                parts, ends, held = [], 0, 0
     if ends:
         yield out()
 
@@ -178,14 +172,16 @@ class Words:
         return out
 
     def look_up(self, words: list[bytes]) -> list[int]:
-        return self.ids_of(hashes_of(words)).tolist() if words else []
+        """Id + 1 and count of each word, in one whole number: counts above, ids in the lower 32 bits; 0 if unknown."""
+        if not words:
+            return []
+        ids = self.ids_of(hashes_of(words))
+        return (np.minimum(self.counts_of(ids), MOST) << 32 | ids + 1).tolist()
 
-    def texts(self, column: pa.Array) -> Iterator[list[list[int]]]:
-        """The ids of the words of each text, some texts at a time; all their new words are looked up together."""
-        for at in range(0, len(column), TOGETHER):
-            texts = [words_of(t.as_py()) for t in column[at : at + TOGETHER]]
-            self.memo(list(set().union(*texts)))
-            yield [self.memo(t) for t in texts]
+    def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some texts at a time: what look_up gives for all their words in a row, and where each text begins and the last ends."""
+        for _, codes, words, first in coded(column, "lower"):
+            yield np.array(self.memo(words), np.int64)[codes] if len(codes) else np.zeros(0, np.int64), first
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """The base's log10 probabilities, from counts."""
@@ -214,11 +210,11 @@ def pair_counts(batches: Iterable[pa.RecordBatch], key: str, files: list, bits:
         return dealt(keys, counts, (keys >> np.uint64(32)).astype(np.int64) * shards // words.size)
 
     for batch in batches:
-        for texts in words.texts(batch.column(0)):
-            for text in texts:
-                ids = np.array([end, *text, end], np.uint64)
-                parts.append(ids[:-1] << np.uint64(32) | ids[1:])
-                held += len(parts[-1])
+        for found, first in words.texts(batch.column(0)):
+            ids = np.insert(found & 0xFFFFFFFF, first[1:], end + 1) - 1  # with an end after each text
+            before = np.concatenate([[end], ids[:-1]])
+            parts.append(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
+            held += len(ids)
             if held >= PAIRS_HELD:
                 yield out()
                 parts, held = [], 0
@@ -322,25 +318,25 @@ def scored(batches: Iterable[pa.RecordBatch], key: str, files: list, bits: int,
     words = kept(key, lambda: Words(files, bits))
     trie = kept(f"{key}/pairs", lambda: Trie(words, pairs))
     end = int(words.ids_of(np.array([END], np.uint64))[0]) if words.size else -1
+    stop = int(np.minimum(words.counts_of(np.array([end])), MOST)[0]) << 32 | end + 1
     for batch in batches:
         done = 0
-        for texts in words.texts(batch.column(1)):
-            part = batch.slice(done, len(texts))
-            done += len(texts)
-            lengths = np.array([len(t) + 1 for t in texts])
-            ids = np.fromiter((i for t in texts for i in (*t, end)), np.int64, int(lengths.sum()))
+        for found, first in words.texts(batch.column(1)):
+            part = batch.slice(done, len(first) - 1)
+            done += len(first) - 1
+            lengths = np.diff(first) + 1
+            both = np.insert(found, first[1:], stop)
+            ids, counts = (both & 0xFFFFFFFF) - 1, both >> 32
+            many = counts == MOST
+            counts[many] = words.counts_of(ids[many])
             first = np.cumsum(lengths) - lengths
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[first] = end
-            distinct, back = np.unique(ids, return_inverse=True)
-            counts = words.counts_of(distinct)
-            base = words.base(counts)[back] if words.size else np.full(len(ids), np.log10(1.0))
+            before = np.concatenate([[end], ids[:-1]])
+            base = words.base(counts) if words.size else np.zeros(len(ids))
             pair, again = np.unique((before + 1) << 32 | (ids + 1), return_inverse=True)
             one = np.empty(len(pair))
             one[again] = base
             one = trie.log_probabilities((pair >> 32) - 1, (pair & 0xFFFFFFFF) - 1, one) if words.size else one
-            known = np.add.reduceat((counts > 0)[back].astype(np.int64), first)
+            known = np.add.reduceat((counts > 0).astype(np.int64), first)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(one[again], first))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 

@@ -1,7 +1,43 @@
-"""A bounded memory of per-word results inside a Python worker."""
+"""Words of whole batches as numbers, and a bounded memory of per-word results inside a Python worker."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+TOGETHER = 2000
+
+
+def coded(column: pa.Array, how: str) -> Iterator[tuple[int, np.ndarray, list, np.ndarray]]:
+    """Some texts at a time: (number of texts, codes, words, first): text i has words[c] for c in codes[first[i] : first[i + 1]].
+
+    how: ``ascii`` or ``unicode`` (words between white space; ``ascii`` gives bytes), ``lower`` (as ascii, with A-Z
+    lowered), ``blank`` (all that stands between blanks or line feeds, empty strings too). A null text is an empty one.
+    Splitting and numbering run in Arrow; Python sees each different word of the batch once.
+    """
+    for at in range(0, len(column), TOGETHER):
+        texts = pc.fill_null(column.slice(at, TOGETHER).cast(pa.string()), "")
+        if how == "blank":
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        elif how == "unicode":
+            split = pc.utf8_split_whitespace(texts)
+        else:
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if how == "lower" else texts)
+        first, numbered = np.asarray(split.offsets, np.int64), split.values.dictionary_encode()
+        codes, words = np.asarray(numbered.indices), numbered.dictionary
+        empty = pc.index(words, "").as_py() if how != "blank" else -1
+        if empty >= 0:  # at the ends of a text; the word keeps its number, which nothing has any more
+            full = codes != empty
+            first, codes = np.concatenate([[0], np.cumsum(full)])[first], codes[full]
+        if how in ("ascii", "lower"):
+            words = words.cast(pa.binary())
+        yield len(texts), codes, words.to_pylist(), first
+
 
 class Memo:
     """words -> values, made by ``make(list of words) -> list of values`` for words not seen lately.
@@ -14,7 +50,7 @@ class Memo:
 
     last: Memo | None = None
 
-    def __init__(self, make, limit: int = 700_000, longest: int = 64):
+    def __init__(self, make, limit: int = 250_000, longest: int = 64):
         self.make, self.limit, self.longest = make, limit, longest
         self.young: dict = {}
         self.old: dict = {}
@@ -27,18 +63,24 @@ class Memo:
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        absent = set(words).difference(young)
-        long = []
-        if absent:
-            missing = []
-            for w in absent:
-                if (v := old.get(w)) is None:
-                    missing.append(w)
-                else:
-                    young[w] = v
+        missing, long = [], []
+        for w in set(words).difference(young):
+            if (v := old.get(w)) is None:
+                missing.append(w)
+            else:
+                young[w] = v
+        if missing:
             young.update(zip(missing, self.make(missing), strict=True))
             long = [w for w in missing if len(w) > self.longest]
         values = list(map(young.__getitem__, words))
         for w in long:
             del young[w]
         return values
+
+    @classmethod
+    def forget(cls) -> None:
+        """Gives a worker's memory back before an operator that remembers nothing."""
+        if cls.last is not None:
+            cls.last.young, cls.last.old, cls.last = {}, {}, None
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.memo import Memo
+from lumaframe.llm.memo import Memo, coded
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
@@ -47,8 +47,17 @@ def encoder(path: str):
         found = ids_of(f" {MARK} ".join(words)).split(mark) if words else []
         return found if len(found) == len(words) else [ids_of(w) for w in words]
 
-    memo = Memo(make)
-    return lambda text: b"".join(memo(text.replace("\n", " ").split(" ")))
+    memo = Memo(make, 700_000)
+
+    def encode(column: pa.Array) -> Iterator[bytes]:
+        for n, codes, words, first in coded(column, "blank"):
+            ids = pa.array(memo(words), pa.large_binary()).take(pa.array(codes))
+            _, ends, data = ids.buffers()
+            at = np.frombuffer(ends, np.int64)[first] if len(codes) else np.zeros(n + 1, np.int64)
+            for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+                yield data[a:b].to_pybytes()
+
+    return encode
 
 
 class Piece:
@@ -165,8 +174,8 @@ def packed(batches: Iterable[pa.RecordBatch], path: str, end: int, tiers: tuple[
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            packer.add(doc, encode(text.as_py() or "") + stop)
+        for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            packer.add(doc, ids + stop)
             if packer.held > BUFFER_TOKENS:
                 packer.pack()
                 yield from out(False)

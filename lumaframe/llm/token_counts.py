@@ -6,11 +6,12 @@ import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.memo import Memo
+from lumaframe.llm.memo import Memo, coded
 
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -92,13 +93,17 @@ def counter(path: str) -> Memo:
 def counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     memo = counter(path)
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = (text.as_py() or "").split()
-            n, odd, scores = zip(*memo(words), strict=True) if words else ((), (), ())
-            rows.append((doc, len(words), sum(n), sum(odd), math.fsum(scores)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+        done = 0
+        for n, codes, words, first in coded(batch.column(1), "unicode"):
+            ids = batch.column(0).slice(done, n)
+            done += n
+            values = np.array(memo(words), np.float64).reshape(-1, 3)
+            sums = np.zeros((n, 3))
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                sums[some] = np.add.reduceat(values[codes], first[some])
+            columns = [ids, pa.array(np.diff(first)), *[pa.array(sums[:, k].astype(np.int64)) for k in (0, 1)], pa.array(sums[:, 2])]
+            yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
