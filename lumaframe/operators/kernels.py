@@ -97,7 +97,7 @@ def lab(bgr: np.ndarray) -> np.ndarray:
 
 
 def bgr_from_lab(img: np.ndarray) -> np.ndarray:
-    level, a, b = img[..., 0] * 100 / 255.0, img[..., 1] - 128.0, img[..., 2] - 128.0
+    level, a, b = img[..., 0] * (100 / 255.0), img[..., 1] - 128.0, img[..., 2] - 128.0
     fy = np.where(level > 7.9996, (level + 16) / 116, level / 903.3 * 7.787 + 16 / 116)
     f = np.stack([fy + a / 500, fy, fy - b / 200], axis=2)
     t = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787) * WHITE

@@ -96,9 +96,10 @@ class View:
         return self.forced().df
 
     def to_list(self) -> list:
-        """The values, in order, in the driver."""
+        """The values, in order, in the driver; they are sorted there, as a sort in the plan would run the kernels again for its bounds."""
         done = self.forced()
-        return [r[0] for r in done.df.orderBy(*done.order).select(done.column).collect()]
+        got = done.df.select(F.struct(*done.order).alias("o"), F.col(done.column).alias("v")).collect()
+        return [r["v"] for r in sorted(got, key=lambda r: tuple(r["o"]))]
 
 
 def _names(df: DataFrame, condition: Column | str) -> list[str]:
