@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.llm.shared import small_batches
+
 WINDOW = 3
 SURGE = 86
 SHARE = 0.25
@@ -186,5 +188,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     feeds. Rows are independent: repeated pages give repeated rows. One pass without a shuffle; other columns of
     pages are ignored.
     """
+    small_batches(pages.sparkSession)
     small = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return small.mapInArrow(extracted, SCHEMA)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.shared import small_batches
 
 DOCS_PER_LANG = 160
 WORDS_PER_DOC = 120
@@ -124,8 +125,8 @@ class Network:
                 groups[len(s)].append((i, s))
         out = np.zeros((len(words), len(self.p["bias"]) + 1), np.float32)
         for length, rows in groups.items():
-            for j in range(0, len(rows), 8192):
-                part = rows[j : j + 8192]
+            for j in range(0, len(rows), 4096):
+                part = rows[j : j + 4096]
                 x = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(-1, length)
                 logs, _ = self.log_probabilities(x)
                 at = np.array([i for i, _ in part])
@@ -216,12 +217,14 @@ def identify(docs: DataFrame, network: Network, langs: list[str]) -> DataFrame:
     has no letter, or if no language was learned. Rows are independent; each worker remembers a bounded number
     of words. Other columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return small.mapInArrow(partial(predicted, network=network, langs=langs), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, network: Network, langs: list[str], least: float) -> DataFrame:
     """The rows of docs, all columns, whose text has a language with at least the given score."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(partial(accepted, network=network, langs=langs, text=docs.columns.index("text"), least=least), docs.schema)
 
 

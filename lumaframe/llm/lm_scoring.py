@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm.elias_fano import EliasFano, load, remove, save
 from lumaframe.llm.memo import Memo, coded
-from lumaframe.llm.shared import shared_dir
+from lumaframe.llm.shared import shared_dir, small_batches
 
 SEED = 7
 END = 1  # the hash of the end of a text; no word is given it
@@ -363,6 +363,7 @@ def train(docs: DataFrame) -> Model:
     of like count. Equal hashes (64 bits) would make two words one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     home = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     texts = docs.select(F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

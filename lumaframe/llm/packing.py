@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.shared import small_batches
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
@@ -47,7 +48,7 @@ def encoder(path: str):
         found = ids_of(f" {MARK} ".join(words)).split(mark) if words else []
         return found if len(found) == len(words) else [ids_of(w) for w in words]
 
-    memo = Memo(make, 700_000)
+    memo = Memo(make, 400_000)
 
     def encode(column: pa.Array) -> Iterator[bytes]:
         for n, codes, words, first in coded(column, "blank"):
@@ -195,5 +196,6 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, tiers: tuple[int, ...] =
     """
     if list(tiers) != sorted(set(tiers)) or any(t < 1 or t & (t - 1) for t in tiers):
         raise ValueError("tiers must be rising powers of two")
+    small_batches(docs.sparkSession)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return small.mapInArrow(partial(packed, path=tokenizer, end=end, tiers=tuple(tiers), step_tokens=step_tokens), SCHEMA)

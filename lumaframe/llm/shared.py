@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, as rows are whole texts; a session's own choice stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read from there; their lineage ends."""
     shared_dir(df.sparkSession)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm.components import components
 from lumaframe.llm.memo import Memo
-from lumaframe.llm.shared import checkpointed
+from lumaframe.llm.shared import checkpointed, small_batches
 
 #: The binary Golay code [23, 12, 7] by its generator polynomial, and XXH64's seed in the contract.
 LENGTH, CHECKS, GENERATOR = 23, 11, 0b110001110101
@@ -21,7 +21,9 @@ SEED = 42
 #: Segments of a 64-bit fingerprint: first bit and width.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Keys for each segment of a wide fingerprint.
-PARTNERS = 2
+PARTNERS = 3
+#: Bits of a wide fingerprint that a key takes as they are.
+PLAIN = 12
 BLOCK = 4096
 
 
@@ -124,6 +126,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
 
     id is the fingerprint itself if it has 64 bits, otherwise a hash of it.
     """
+    small_batches(docs.sparkSession)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return small.mapInArrow(partial(fingerprinted, shingle=shingle, words=words), "doc_id long, id long, fp binary")
 
@@ -144,22 +147,24 @@ def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of wide fingerprints: the nearest codeword of a segment with 8 further bits as they are.
+    """(place, key) of wide fingerprints: the nearest codeword of a segment with PLAIN further bits as they are.
 
-    12 segments to 5 words; the bits that are left make bytes, and each segment goes with PARTNERS of these.
+    12 segments to 5 words; the bits that are left make groups, and each segment goes with PARTNERS of these. With 24 bits
+    a key is shared by chance once in 16 million pairs.
     """
     words = prints.shape[1]
     bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
     n = words * 12 // 5
     rest = bits[:, LENGTH * n :]
-    extra = np.packbits(rest[:, : rest.shape[1] // 8 * 8], axis=1).astype(np.int64)
+    groups = rest.shape[1] // PLAIN
+    extra = rest[:, : groups * PLAIN].reshape(len(bits), groups, PLAIN).astype(np.int64) @ (1 << np.arange(PLAIN))
     weights = 1 << np.arange(LENGTH)
     places, keys = [], []
     for k in range(n):
         index = nearest(bits[:, LENGTH * k : LENGTH * (k + 1)].astype(np.int64) @ weights)
         for j in range(PARTNERS):
             places.append(np.arange(len(prints)))
-            keys.append(np.int64(PARTNERS * k + j) << 20 | index << 8 | extra[:, (PARTNERS * k + j) % extra.shape[1]])
+            keys.append(np.int64(PARTNERS * k + j) << 24 | index << PLAIN | extra[:, (PARTNERS * k + j) % groups])
     return np.concatenate(places), np.concatenate(keys)
 
 

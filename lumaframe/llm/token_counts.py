@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.shared import small_batches
 
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -113,5 +114,6 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     words and no tokens. Rows with equal doc_id stay apart. One pass over the whole texts, without a shuffle;
     each Python worker remembers a bounded number of words. Other columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return small.mapInArrow(partial(counted, path=model), SCHEMA)
