@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumaframe.plans import analysis_queries, pixel_queries
+from lumaframe.plans import analysis_queries, kernel_queries, pixel_queries, view_queries, vision_queries
 
-MODULES = (pixel_queries, analysis_queries)
+MODULES = (pixel_queries, analysis_queries, view_queries, kernel_queries, vision_queries)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _module in MODULES:
