@@ -46,10 +46,13 @@ def image_query(name: str, f) -> None:
     QUERIES[name] = lambda spark, sf: images(spark, sf).select("img_id", F.transform(on_pixels(lambda a: numbers(f(a)), F.col("px"), 8), lambda v: F.round(v, 4)).alias("found"))
 
 
-for _name in ("detect_fast", "good_features", "detect_orb", "detect_sift", "detect_brisk", "detect_blob", "detect_lines", "describe_orb", "describe_sift", "describe_brisk"):
+for _name in ("detect_fast", "good_features", "detect_orb", "detect_sift", "detect_brisk", "detect_lines", "describe_orb", "describe_sift", "describe_brisk"):
     image_query(_name, lambda a, f=getattr(D, _name): f(enlarged(a, 40)))
-for _name in ("detect_kaze", "detect_akaze", "detect_mser", "describe_kaze", "describe_akaze"):
-    image_query(_name, lambda a, f=getattr(D, _name): f(enlarged(a, 16)))
+image_query("detect_mser", lambda a: D.detect_mser(enlarged(a, 16), 15))
+for _name in ("kaze", "akaze"):
+    image_query(f"detect_{_name}", lambda a, f=getattr(D, f"detect_{_name}"): f(enlarged(a, 16), 0.001, 1, 3))
+    image_query(f"describe_{_name}", lambda a, f=getattr(D, f"detect_{_name}"), g=D.describe_sift if _name == "kaze" else D.describe_orb: g(enlarged(a, 16), f(enlarged(a, 16), 0.001, 1, 3)))
+image_query("detect_blob", lambda a: D.detect_blob(enlarged(a, 24), step=40))
 image_query("hough_lines_p", lambda a: D.hough_lines_p(enlarged(a) > 128, 1, np.pi / 45, 12, 8, 2))
 image_query("hough_circles", lambda a: D.hough_circles(enlarged(a), 3, 8, 12, 60))
 image_query("find_contours", lambda a: D.find_contours(enlarged(a, 16) > 128, False))
@@ -212,11 +215,11 @@ ORACLE["project_points_columns"] = "WITH e AS (SELECT event_id, value / 100 / (2
 def reproject(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"), (F.lit(1.0) + F.col("event_id") % 9).alias("d"))
     c = C.reproject_columns(F.col("x"), F.col("y"), F.col("d"), [[1, 0, 0, -320], [0, 1, 0, -240], [0, 0, 0, 500], [0, 0, 2, 0]])
-    return e.select("event_id", *[F.round(v, 3).alias(n) for v, n in zip(c, ("px", "py", "pz"), strict=True)])
+    return e.select("event_id", *[v.alias(n) for v, n in zip(c, ("px", "py", "pz"), strict=True)])
 
 
 QUERIES["reproject_to_3d"] = reproject
-ORACLE["reproject_to_3d"] = "SELECT event_id, round((user_id - 320.0::DOUBLE) / (2 * (1 + event_id % 9)), 3) AS px, round((value - 240.0::DOUBLE) / (2 * (1 + event_id % 9)), 3) AS py, round(500.0::DOUBLE / (2 * (1 + event_id % 9)), 3) AS pz FROM events"
+ORACLE["reproject_to_3d"] = "SELECT event_id, (user_id - 320.0::DOUBLE) / (2.0::DOUBLE * (1 + event_id % 9)) AS px, (value - 240.0::DOUBLE) / (2.0::DOUBLE * (1 + event_id % 9)) AS py, 500.0::DOUBLE / (2.0::DOUBLE * (1 + event_id % 9)) AS pz FROM events"
 
 
 def dataset_split(spark, sf):
