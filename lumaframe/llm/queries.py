@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumaframe.llm.decontamination import overlaps
 from lumaframe.llm.html_text import extract_text
 from lumaframe.llm.language_id import languages
-from lumaframe.llm.licenses import license_scan
+from lumaframe.llm.licenses import COPYRIGHT, HEADS, NOTICES, SPELLINGS, TEXTS, license_scan
 from lumaframe.llm.lm_scoring import scores
 from lumaframe.llm.multiset_hash import edited_fingerprints
 from lumaframe.llm.packing import pack
@@ -69,4 +69,24 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_elias_fano_lm, op2_feistel_shards, op3_simhash_golay, op4_multiset_hash, op5_packed_sequences, op6_language_gru, op7_spaced_seeds, op8_token_counts, op9_main_text, op10_license_digests)}
-ORACLE: dict[str, str] = {}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """The scan in SQL, from the same texts, pattern and spellings."""
+    known = [(k, t) for k, ts in NOTICES.items() for t in ts] + list(TEXTS.items()) + [(k, f"{h}\n\n{TEXTS[k]}") for k, hs in HEADS.items() for h in hs]
+    form = "' ' || trim(regexp_replace(regexp_replace(lower(x), " + _quoted(COPYRIGHT) + ", ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
+    for old, new in SPELLINGS.items():
+        form = f"replace({form}, ' {old} ', ' {new} ')"
+    return f"""WITH k(license_id, x) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in known)}),
+ kd AS (SELECT DISTINCT license_id, sha256(trim({form})) AS digest FROM k),
+ u AS (SELECT doc_id, 'document' AS scope, text AS x FROM documents WHERE text IS NOT NULL UNION ALL
+  SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
+ ud AS (SELECT doc_id, scope, sha256(trim({form})) AS digest FROM u)
+ SELECT doc_id, scope, license_id, digest, count(*) AS n FROM ud JOIN kd USING (digest) GROUP BY ALL"""
+
+
+ORACLE: dict[str, str] = {"op10_license_digests": _license_sql()}

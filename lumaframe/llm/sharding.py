@@ -33,7 +33,7 @@ def permuted(number: str, n: int, seed: int = 0) -> Column:
         f"aggregate(sequence(1, {walks}), named_struct('l', {number} div {b}L, 'r', {number} % {b}L), "
         f"(t, i) -> if(i > 1 and t.l * {b}L + t.r < {n}L, t, {half}), t -> t.l * {b}L + t.r)"
     )
-    return F.expr(f"if({walked} < {n}L, {walked}, raise_error('the walk left the domain'))") if walks > WALKS else F.expr(walked)
+    return F.expr(f"get(transform(array({walked}), p -> if(p < {n}L, p, raise_error('the walk left the domain'))), 0)")
 
 
 def shard(df: DataFrame, shards: int, order: list[Column], seed: int = 0) -> DataFrame:
