@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5. Training sequences; the ids themselves are left to their CRC-32."""
-    pieces = pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end=2)
+    pieces = pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end=2, remember=150_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.llm.memo import claim
 from lumaframe.llm.shared import small_batches
 
 WINDOW = 3
@@ -176,6 +177,7 @@ def main_text(html: str) -> str:
 
 
 def extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("")
     for batch in batches:
         texts = [main_text(h.as_py() or "") for h in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string())], schema=ARROW)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.memo import CLEAR, Memo, claim, coded
 from lumaframe.llm.shared import small_batches
 
 DOCS_PER_LANG = 160
@@ -140,14 +140,15 @@ def sequences(word: bytes) -> list[bytes]:
 
 
 MODELS: dict[bytes, Memo] = {}
+CLEAR.append(MODELS.clear)
 
 
 def labelled(batches: Iterable[pa.RecordBatch], network: Network, langs: list[str], text: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
     """Parts of the batches with the language and score of their rows; text: the number of the text's column."""
     mark = network.p["out"].tobytes()
-    if mark not in MODELS:  # a worker keeps the words of one model at a time
-        MODELS.clear()
-        MODELS[mark] = Memo(network.words)
+    claim(f"language {hash(mark)}")
+    if mark not in MODELS:
+        MODELS[mark] = Memo(network.words, 120_000)
     memo, width = MODELS[mark], len(langs) + 1
     for batch in batches:
         done = 0

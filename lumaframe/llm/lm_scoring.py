@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.elias_fano import EliasFano, load, remove, save
-from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.memo import CLEAR, Memo, claim, coded
 from lumaframe.llm.shared import shared_dir, small_batches
 
 SEED = 7
@@ -189,13 +189,13 @@ class Words:
 
 
 SEEN: dict[str, object] = {}
+CLEAR.append(SEEN.clear)
 
 
 def kept(key: str, make: Callable):
     """What a worker keeps of one model: its mapped levels and remembered words."""
+    claim(f"model {key.removesuffix('/pairs')}")
     if key not in SEEN:
-        if len(SEEN) > 3:
-            SEEN.clear()
         SEEN[key] = make()
     return SEEN[key]
 

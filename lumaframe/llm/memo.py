@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,22 +45,15 @@ class Memo:
 
     Two generations: when the young one holds ``limit`` words it becomes the old one, and words found there move
     back. Words over ``longest`` characters are made afresh each time. So memory is bounded for any input, and
-    what is remembered never changes a result. A worker serves many operators in turn and remembers the words of
-    the last one only.
+    what is remembered never changes a result.
     """
 
-    last: Memo | None = None
-
     def __init__(self, make, limit: int = 250_000, longest: int = 64):
         self.make, self.limit, self.longest = make, limit, longest
         self.young: dict = {}
         self.old: dict = {}
 
     def __call__(self, words: list) -> list:
-        if Memo.last is not self:
-            if Memo.last is not None:
-                Memo.last.young, Memo.last.old = {}, {}
-            Memo.last = self
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -77,10 +71,20 @@ class Memo:
             del young[w]
         return values
 
-    @classmethod
-    def forget(cls) -> None:
-        """Gives a worker's memory back before an operator that remembers nothing."""
-        if cls.last is not None:
-            cls.last.young, cls.last.old, cls.last = {}, {}, None
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+
+#: How to drop what a worker keeps between tasks, and the operator that it keeps something for.
+CLEAR: list = []
+CLAIMED: list[str] = [""]
+
+
+def claim(operator: str) -> None:
+    """A worker serves many operators in turn and keeps things for one: those of the one before are dropped here, and the
+    memory is given back."""
+    if CLAIMED[0] != operator:
+        CLAIMED[0] = operator
+        for f in CLEAR:
+            f()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)

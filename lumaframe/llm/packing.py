@@ -12,11 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.memo import CLEAR, Memo, claim, coded
 from lumaframe.llm.shared import small_batches
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
+REMEMBER = 400_000
 BUFFER_TOKENS = 1 << 20
 MARK = "\ue000"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -24,7 +25,7 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, remember: int):
     """Texts to their ids as little-endian unsigned 32-bit bytes, word by word.
 
     Blanks and line feeds end every pre-token of this tokenizer's kind, and its normaliser never works across
@@ -48,7 +49,7 @@ def encoder(path: str):
         found = ids_of(f" {MARK} ".join(words)).split(mark) if words else []
         return found if len(found) == len(words) else [ids_of(w) for w in words]
 
-    memo = Memo(make, 400_000)
+    memo = Memo(make, remember)
 
     def encode(column: pa.Array) -> Iterator[bytes]:
         for n, codes, words, first in coded(column, "blank"):
@@ -61,6 +62,9 @@ def encoder(path: str):
     return encode
 
 
+CLEAR.append(encoder.cache_clear)
+
+
 class Piece:
     """A run of a document's ids."""
 
@@ -159,8 +163,9 @@ class Packer:
             self.group += n
 
 
-def packed(batches: Iterable[pa.RecordBatch], path: str, end: int, tiers: tuple[int, ...], step_tokens: int) -> Iterator[pa.RecordBatch]:
-    encode, stop = encoder(path), end.to_bytes(4, "little")
+def packed(batches: Iterable[pa.RecordBatch], path: str, end: int, tiers: tuple[int, ...], step_tokens: int, remember: int) -> Iterator[pa.RecordBatch]:
+    claim(f"packing {path}")
+    encode, stop = encoder(path, remember), end.to_bytes(4, "little")
     packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 40)
 
     def out(last: bool) -> Iterator[pa.RecordBatch]:
@@ -184,7 +189,7 @@ def packed(batches: Iterable[pa.RecordBatch], path: str, end: int, tiers: tuple[
     yield from out(True)
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, remember: int = REMEMBER) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset, tier, step_group.
 
     A document is its text's ids by the tokenizer file at the path ``tokenizer`` (null: none) and the id ``end``;
@@ -192,10 +197,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, tiers: tuple[int, ...] =
     partition of docs is packed by itself in one pass, without a shuffle, so a lost task is simply run again, and
     no order of rows, repeated row, repeated or null doc_id matters. sequence_id and step_group are unique but not
     gapless: the partition's number is in their upper bits. An empty table gives no rows. Columns of docs other
-    than doc_id and text are ignored. The tiers must be rising powers of two.
+    than doc_id and text are ignored. The tiers must be rising powers of two. A worker remembers the ids of at most twice
+    ``remember`` words.
     """
     if list(tiers) != sorted(set(tiers)) or any(t < 1 or t & (t - 1) for t in tiers):
         raise ValueError("tiers must be rising powers of two")
     small_batches(docs.sparkSession)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small.mapInArrow(partial(packed, path=tokenizer, end=end, tiers=tuple(tiers), step_tokens=step_tokens), SCHEMA)
+    return small.mapInArrow(partial(packed, path=tokenizer, end=end, tiers=tuple(tiers), step_tokens=step_tokens, remember=remember), SCHEMA)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.components import components
-from lumaframe.llm.memo import Memo
+from lumaframe.llm.memo import claim
 from lumaframe.llm.shared import checkpointed, small_batches
 
 #: The binary Golay code [23, 12, 7] by its generator polynomial, and XXH64's seed in the contract.
@@ -117,7 +117,7 @@ def fingerprint(text: str, shingle: int, words: int) -> bytes:
 def fingerprinted(batches: Iterable[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    Memo.forget()
+    claim("")
     for batch in batches:
         prints = [fingerprint(t.as_py() or "", shingle, words) for t in batch.column(1)]
         ids = [int.from_bytes(p if words == 1 else xxhash.xxh64_digest(p)[:3] + p[: SHOWN // 8], "little", signed=True) for p in prints]

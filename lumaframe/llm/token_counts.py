@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.memo import Memo, coded
+from lumaframe.llm.memo import CLEAR, Memo, claim, coded
 from lumaframe.llm.shared import small_batches
 
 UNKNOWN_PENALTY = 10.0
@@ -91,7 +91,11 @@ def counter(path: str) -> Memo:
     return Memo(lambda words: [word(SPACE + w) for w in words])
 
 
+CLEAR.append(counter.cache_clear)
+
+
 def counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    claim(f"counts {path}")
     memo = counter(path)
     for batch in batches:
         done = 0
