@@ -12,6 +12,7 @@ from lumaframe.operators import detect as D
 from lumaframe.operators import drawing as W
 from lumaframe.operators import inference as I
 from lumaframe.operators import kernels as K
+from lumaframe.operators import markers as R
 from lumaframe.operators import motion as M
 from lumaframe.operators import photo as P
 from lumaframe.operators import tracking as T
@@ -129,6 +130,8 @@ image_query("fisheye_init_rectify_map", lambda a: C.fisheye_init_rectify_map(np.
 image_query("stereo_rectify", lambda a: C.stereo_rectify(_K, _K, C.rotation(pose(a)[0]), np.array([-0.5, 0.05, 0.02])))
 image_query("stereo_bm", lambda a: C.stereo_bm(enlarged(a), np.roll(enlarged(a), -3, 1), 8, 5))
 image_query("stereo_sgbm", lambda a: C.stereo_sgbm(enlarged(a, 16), np.roll(enlarged(a, 16), -3, 1), 8, 3))
+image_query("detect_aruco", lambda a: R.detect_aruco(np.pad(R.generate_aruco(R.aruco_dict(20), int(a.sum()) % 20, 48), 16, constant_values=220), R.aruco_dict(20))[0])
+image_query("refine_corners", lambda a: R.refine_corners(enlarged(a), np.array([[16.0, 16]])))
 image_query("yolo_decode", lambda a: I.yolo(np.concatenate([a[:, :4] / 4.0, a[:, 4:5] / 255.0, np.eye(8)[:, :3]], axis=1)[None], 64, 64, (64, 64), 0.3, 0.4, ["a", "b"], "v5"))
 image_query("ssd_decode", lambda a: I.ssd(np.concatenate([np.zeros((8, 1)), np.arange(8)[:, None] % 2, a[:, :1] / 255.0, a[:, 1:3] / 510.0, 0.5 + a[:, 3:5] / 510.0], axis=1), 64, 64))
 image_query("segment_argmax", lambda a: I.segment(np.stack([a, a.T, a[::-1]]).astype(float)[None], 12, 12))
