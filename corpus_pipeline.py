@@ -12,13 +12,12 @@ from lumaframe.llm.decontamination import decontaminated
 from lumaframe.llm.language_id import held_out, keep_identified, train
 from lumaframe.llm.packing import pack
 from lumaframe.llm.shared import shared_dir
-from lumaframe.llm.simhash import near_duplicates
+from lumaframe.llm.shingle_sets import similar_classes
 
 #: A document goes if it has no letter, or if no learned language has at least this share of its probability.
 LEAST_SCORE = 0.3
-#: Fingerprints of 20 x 64 bits over five-word shingles. At a Jaccard similarity of 0.8 a bit differs with
-#: probability 0.151: 194 bits of 1280, plus the deviation of that count.
-SHINGLE, WORDS, RADIUS = 5, 20, 206
+#: Near-duplicates share this part, by Jaccard, of their sets of five-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
@@ -30,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3. Of each class of near-duplicates the row with the least doc_id stays; rows without doc_id all stay."""
-    rows = near_duplicates(docs, shingle=SHINGLE, words=WORDS, radius=RADIUS)
+    rows = similar_classes(docs, SHINGLE, SIMILARITY)
     gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -1,0 +1,76 @@
+"""The pipeline's near-duplicates against all pairs by brute force."""
+
+import numpy as np
+
+import corpus_pipeline
+from lumaframe.llm import shingle_sets
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def brute_sets(rows):
+    words = {i: (t or "").encode().lower().split() for i, t in rows}
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+
+
+def brute_components(rows, share=0.8):
+    sets = brute_sets(rows)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 100 >= round(share * 100) * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: find(i) for i in sets}
+
+
+def around(rng, pairs, least=40, most=160):
+    """Texts and their edited copies, at similarities around 0.8."""
+    out = []
+    for k in range(pairs):
+        w = [f"w{int(x)}" for x in rng.integers(0, 5000, int(rng.integers(least, most)))]
+        out.append((2 * k, " ".join(w)))
+        edits = max(1, round(len(w) * float(rng.uniform(0.01, 0.035))))
+        for at in rng.integers(0, len(w), edits):
+            w[int(at)] = "Changed"
+        out.append((2 * k + 1, "\n".join(w)))
+    return out
+
+
+def test_pairs_around_the_limit_are_complete(spark):
+    rows = around(np.random.default_rng(0), 200)
+    want = brute_components(rows)
+    assert 40 < sum(want[i] != i for i in want) < 160
+    left = {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, documents(spark, rows), "").collect()}
+    assert left == {i for i in want if want[i] == i}
+
+
+def test_classes_with_groups_and_short_texts(spark):
+    rng = np.random.default_rng(1)
+    rows = around(rng, 20)
+    base = [f"g{k}" for k in range(80)]
+    for k in range(60):  # one large group whose members need not be near to its least
+        w = list(base)
+        for at in rng.integers(0, 80, int(rng.integers(0, 4))):
+            w[int(at)] = f"x{int(rng.integers(9))}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(200, ""), (201, None), (202, " \n"), (203, "one two"), (204, "ONE  two"), (205, "two one"), (206, "one"), (207, "a b c d e"), (208, "a b c d e a b c d e a b c d e")]
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.similar_classes(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert shingle_sets.similar_classes(documents(spark, [])).count() == 0
+
+
+def test_order_of_common_shingles_changes_nothing(spark, monkeypatch):
+    rows = around(np.random.default_rng(2), 60)
+    rows = [(i, f"{t} the same line stands below every one of these texts") for i, t in rows]
+    monkeypatch.setattr(shingle_sets, "COMMON", 1)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.similar_classes(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
