@@ -74,3 +74,14 @@ def test_order_of_common_shingles_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(shingle_sets, "COMMON", 1)
     got = {r["doc_id"]: r["component_id"] for r in shingle_sets.similar_classes(documents(spark, rows)).collect()}
     assert got == brute_components(rows)
+
+
+def test_a_repeated_line_links_no_documents(spark):
+    rng = np.random.default_rng(3)
+    line = " ".join(f"l{k}" for k in range(10))
+    rows = [(k, " ".join(f"w{int(x)}" for x in rng.integers(0, 50000, 100 * (1 + k % 2))) + f"\n{line}" * 20) for k in range(20)]
+    rows += [(100 + k, f"own{k} words{k} here{k} " + "same " * 400) for k in range(4)]
+    want = brute_components(rows)
+    assert all(want[i] == i for i in range(20))
+    left = {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, documents(spark, rows), "").collect()}
+    assert left == {i for i in want if want[i] == i}
