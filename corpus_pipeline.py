@@ -12,7 +12,7 @@ from lumaframe.llm.decontamination import decontaminated
 from lumaframe.llm.language_id import held_out, keep_identified, train
 from lumaframe.llm.packing import pack
 from lumaframe.llm.shared import shared_dir
-from lumaframe.llm.shingle_sets import similar_classes
+from lumaframe.llm.shingle_sets import row_mark, similar_classes
 
 #: A document goes if it has no letter, or if no learned language has at least this share of its probability.
 LEAST_SCORE = 0.3
@@ -28,11 +28,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3. Of each class of near-duplicates the row with the least doc_id stays; rows without doc_id all stay."""
+    """Operator 3. Of each class of near-duplicates one row stays: that with the least doc_id, or one without if none has any."""
     rows = similar_classes(docs, SHINGLE, SIMILARITY)
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best")
+    stays = rows.groupBy("root").agg(best).select(F.col("best.row").alias("_row"))
+    return docs.withColumn("_row", row_mark()).join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,19 +41,8 @@ def placed(n: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, doc_start, matched, best, n_tokens: documents that hold a passage of a benchmark item.
-
-    A document overlaps an item if, with the item laid at some place of the document, some ``window`` neighbouring
-    tokens (all of a shorter item) agree in at least ``share`` of the places. Places are found by seeds: with the
-    default masks every such window of 12 has one; an item too short for the longest mask is found if it is
-    whole and unchanged. Each candidate place is checked on all tokens. Of an item's places in a document the best
-    is reported: its first token, the tokens that agree, and those in the best window.
-
-    Null and empty texts have no tokens and overlap nothing. Rows with equal doc_id and text count once; rows with
-    equal doc_id and other texts each count. Seeds of the benchmark are broadcast up to MOST_SEEDS rows and
-    shuffled beyond. Other columns of either table are ignored.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """As overlaps, for each text: doc_id, mark (XXH64 of the text), item_id and top, the best place."""
     span = max(m[-1] for m in masks) + 1
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.coalesce("text", F.lit(""))).alias("item")).distinct()
     items = items.withColumn("n_item", F.size("item")).where("n_item > 0")
@@ -81,10 +70,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...]
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_item") - F.col("w") + 1), lambda i: total(F.slice("agree", i, F.col("w")))))
     met = met.withColumn("best", best).where(F.col("best") >= F.ceil(F.col("w") * F.lit(math.floor(share * 1000)) / 1000))
     top = F.max(F.struct("best", total(F.col("agree")).alias("matched"), (-F.col("shift")).alias("back"), "n_item")).alias("top")
-    return met.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", (-F.col("top.back")).cast("long").alias("doc_start"), F.col("top.matched").cast("long").alias("matched"), F.col("top.best").cast("long").alias("best"), F.col("top.n_item").cast("long").alias("n_tokens"))
+    return met.groupBy("doc_id", "mark", "item_id").agg(top)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, doc_start, matched, best, n_tokens: documents that hold a passage of a benchmark item.
+
+    A document overlaps an item if, with the item laid at some place of the document, some ``window`` neighbouring
+    tokens (all of a shorter item) agree in at least ``share`` of the places. Places are found by seeds: with the
+    default masks every such window of 12 has one; an item too short for the longest mask is found if it is
+    whole and unchanged. Each candidate place is checked on all tokens. Of an item's places in a document the best
+    is reported: its first token, the tokens that agree, and those in the best window.
+
+    Null and empty texts have no tokens and overlap nothing. Rows with equal doc_id and text count once; rows with
+    equal doc_id and other texts each count. Seeds of the benchmark are broadcast up to MOST_SEEDS rows and
+    shuffled beyond. Other columns of either table are ignored.
+    """
+    return matches(docs, benchmark, masks, window, share).groupBy("doc_id", "item_id").agg(F.max("top").alias("top")).select("doc_id", "item_id", (-F.col("top.back")).cast("long").alias("doc_start"), F.col("top.matched").cast("long").alias("matched"), F.col("top.best").cast("long").alias("best"), F.col("top.n_item").cast("long").alias("n_tokens"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id overlaps no item; rows without a doc_id are kept unless one of them overlaps."""
-    dirty = overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["_dirty"]), "left_anti")
+    """The rows of docs that overlap no item; each row is judged by its own text, whatever rows share its doc_id."""
+    dirty = matches(docs, benchmark, **how).select(F.col("doc_id").alias("_dirty"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["_dirty"]) & (F.xxhash64(docs["text"]) == dirty["_mark"]), "left_anti")

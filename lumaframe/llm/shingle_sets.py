@@ -78,7 +78,7 @@ def prefixed(batches: Iterable[pa.RecordBatch], shingle: int, share: float, comm
             keys.append(s[: len(s) - least_shared(len(s), share) + 1].view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "id", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "row", "id", "n", "keys"])
 
 
 def every_shingle(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -133,20 +133,26 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, share: float) -> D
     return checkpointed(met.select("a", "b", "text_a", "text_b").mapInArrow(partial(judged, shingle=shingle, share=share), "a long, b long"))
 
 
+def row_mark() -> Column:
+    """A hash of doc_id and text: what tells a row from all but its exact copies."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.xxhash64(doc_id.isNull(), doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """doc_id, id, component_id of every row: the classes of documents linked by a Jaccard similarity of share or more.
+    """doc_id, row (see row_mark), root, component_id of every row: the classes of documents linked by a Jaccard similarity of share or more.
 
     Complete and exact, but for collisions of 64-bit hashes: sets that are similar enough have one of their first
     n - ceil(share n) + 1 shingles in common, in any order of all shingles; here common ones come last. Rows with equal
     sets are one node with one id. First each key's documents are laid against its least; pairs whose ends this has
     connected needn't be laid against each other, all others of the key are. Every link is checked on the whole sets.
-    component_id is the least doc_id of the documents reachable by links (null only where all of them are null).
+    root numbers the classes; component_id is the least doc_id of the documents reachable by links (null only where all of them are null).
     A null text is an empty one, and all texts without words are equal.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_mark().alias("row"))
     common = common_shingles(docs, shingle)
-    rows = checkpointed(docs.mapInArrow(partial(prefixed, shingle=shingle, share=share, common=common), "doc_id long, id long, n int, keys array<long>"))
+    rows = checkpointed(docs.mapInArrow(partial(prefixed, shingle=shingle, share=share, common=common), "doc_id long, row long, id long, n int, keys array<long>"))
     classes = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     entries = classes.select("id", "n", F.posexplode("keys").alias("at", "key"))
     member = F.struct("id", "n", "at")
@@ -173,5 +179,5 @@ def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Da
         roots = components(checkpointed(found.unionByName(verified(docs, rest, shingle, share))))
     named = rows.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    lookup = checkpointed(named.join(tops, "root").select("id", "component_id"))
-    return rows.select("doc_id", "id").join(lookup, "id").select("doc_id", "id", "component_id")
+    lookup = checkpointed(named.join(tops, "root").select("id", "root", "component_id"))
+    return rows.select("doc_id", "row", "id").join(lookup, "id").select("doc_id", "row", "root", "component_id")

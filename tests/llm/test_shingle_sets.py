@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from lumaframe.llm import shingle_sets
+from lumaframe.llm import decontamination, shingle_sets
 
 
 def documents(spark, rows):
@@ -85,3 +85,14 @@ def test_a_repeated_line_links_no_documents(spark):
     assert all(want[i] == i for i in range(20))
     left = {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, documents(spark, rows), "").collect()}
     assert left == {i for i in want if want[i] == i}
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Rows that share a doc_id, or have none, and differ in their texts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, a), (5, c), (5, a), (None, c), (None, d), (None, d), (7, None)]
+    left = corpus_pipeline.dedup_stage(spark, documents(spark, rows), "").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, a), (1, b), (5, c), (None, d), (7, None)], key=str)
+    bench = spark.createDataFrame([(0, a)], "item_id long, text string")
+    clean = decontamination.decontaminated(documents(spark, rows), bench).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted([r for r in rows if r[1] != a], key=str)
