@@ -247,7 +247,7 @@ def detect_mser(img: np.ndarray, delta: int = 5, area: tuple[int, int] = (60, 14
 
 
 def hough_lines_p(img: np.ndarray, rho: float = 1, theta: float = math.pi / 180, votes: int = 50, length: float = 50, gap: float = 10) -> list[tuple[int, int, int, int]]:
-    """Segments of edge pixels along the lines with most votes, longest support first; all pixels vote, so nothing is drawn by chance."""
+    """Segments of edge pixels along all lines of at least so many votes, most votes first; all pixels vote, so nothing is drawn by chance."""
     edge = img > 0
     angles = np.arange(0, math.pi, theta)
     y, x = np.nonzero(edge)
@@ -256,10 +256,13 @@ def hough_lines_p(img: np.ndarray, rho: float = 1, theta: float = math.pi / 180,
     count = np.zeros((int(2 * reach / rho) + 3, len(angles)), int)
     np.add.at(count, (at, np.broadcast_to(np.arange(len(angles)), at.shape)), 1)
     free, out = np.ones(len(x), bool), []
-    for r, k in zip(*np.unravel_index(np.argsort(-count, axis=None, kind="stable")[:2000], count.shape), strict=True):
-        if count[r, k] < votes:
-            break
-        on = np.flatnonzero(free & (np.abs(at[:, k] - r) <= 1))
+    cells = np.flatnonzero(count >= votes)
+    cells = cells[np.argsort(-count.ravel()[cells], kind="stable")]
+    order = np.argsort(at, axis=0, kind="stable")  # each angle's pixels by their line
+    ends = np.cumsum(count, axis=0)
+    for r, k in zip(*np.unravel_index(cells, count.shape), strict=True):
+        on = order[ends[r - 2, k] if r > 1 else 0 : ends[min(r + 1, len(ends) - 1), k], k]
+        on = np.sort(on[free[on]])
         if len(on) < 2:
             continue
         along = y[on] * np.cos(angles[k]) - x[on] * np.sin(angles[k])
