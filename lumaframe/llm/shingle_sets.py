@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.components import components
@@ -156,20 +156,19 @@ def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Da
     classes = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     entries = classes.select("id", "n", F.posexplode("keys").alias("at", "key"))
     member = F.struct("id", "n", "at")
-    kept = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(member).alias("low"), F.max(member).alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("size > 1")
-    kept = checkpointed(kept)
+    of_key = Window.partitionBy("key")
+    members = entries.withColumn("size", F.count("*").over(of_key)).withColumn("low", F.min(member).over(of_key)).where("size > 1")
+    members = checkpointed(members.select("key", "size", "low", member.alias("x")))  # one shuffle of all keys
 
     def possible(x: str, y: str) -> Column:
         return may_match(F.col(f"{x}.n"), F.col(f"{x}.at"), F.col(f"{y}.n"), F.col(f"{y}.at"), share)
 
-    two = kept.where("size = 2").where(possible("low", "high")).select(F.col("low.id").alias("a"), F.col("high.id").alias("b"))
-    more = checkpointed(entries.join(kept.where("size > 2").select("key", "low"), "key").select("key", "low", member.alias("x")))
-    stars = more.where("x.id <> low.id").where(possible("low", "x")).select(F.col("low.id").alias("a"), F.col("x.id").alias("b"))
-    first = checkpointed(two.unionByName(stars).distinct())
+    stars = members.where("x.id <> low.id").where(possible("low", "x")).select(F.col("low.id").alias("a"), F.col("x.id").alias("b"))
+    first = checkpointed(stars.distinct())
     found = verified(docs, first, shingle, share)
     roots = components(found)
     # what is still apart in a key: all of it against all of it
-    mixed = more.withColumn("id", F.col("x.id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "x", "root")
+    mixed = members.where("size > 2").withColumn("id", F.col("x.id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "x", "root")
     open_keys = mixed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     mixed = checkpointed(mixed.join(open_keys, "key"))
     other = mixed.select("key", F.col("x").alias("y"), F.col("root").alias("root_y"))
