@@ -54,3 +54,27 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_number") -> tu
         return ordered.select(*df.columns, F.lit(0).cast("bigint").alias(name)), 0
     start = F.element_at(F.create_map(*[F.lit(int(x)) for kv in starts.items() for x in kv]), part.cast("int"))
     return ordered.select(*df.columns, (start.cast("bigint") + within).alias(name)), total
+
+
+#: Rows that are broadcast at most, where a table's size is counted first.
+MOST_BROADCAST = 500_000
+#: Bits of the table by which thinned() sorts out rows: at most 2 ** 18 rows of 16 bytes are broadcast, whatever the input.
+THIN_BITS = 24
+
+
+def broadcast_if_small(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows (of a few numbers each); df is counted for it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def thinned(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Those rows of df whose number in the column is in wanted too, and perhaps some others; no row of df moves.
+
+    The numbers' last THIN_BITS hash bits are laid out as a table of bits, whose size doesn't depend on the input, and
+    broadcast. A join on the column itself must follow; it shuffles only what is left.
+    """
+    place = lambda name: F.xxhash64(F.col(name).cast("long")).bitwiseAND((1 << THIN_BITS) - 1)
+    bits = wanted.select(place(column).alias("_p")).groupBy(F.shiftright("_p", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 AS int))")).alias("_bits"))
+    marked = df.withColumn("_p", place(column)).withColumn("_slot", F.shiftright("_p", 6))
+    met = marked.join(F.broadcast(bits), "_slot").where(F.expr("(shiftrightunsigned(_bits, cast(_p & 63 AS int)) & 1) = 1"))
+    return met.select(*df.columns)

@@ -1,23 +1,16 @@
-"""Near-duplicates by the exact Jaccard similarity of documents' sets of shingles."""
+"""Documents' sets of shingles, and their exact Jaccard similarity."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumaframe.llm.components import components
 from lumaframe.llm.memo import claim, coded
-from lumaframe.llm.shared import checkpointed, small_batches
 
-#: Shingles that this many of one document in SAMPLE hold, at least, come last in the order; so many of them at most.
-#: Only the order depends on these, so they change the cost and never a result.
-COMMON, SAMPLE, MOST_COMMON = 6, 8, 1_000_000
 SEED = 42
 
 
@@ -58,45 +51,6 @@ def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
                     yield scattered((of[a:b] * factor[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
 
 
-def least_shared(n: int, share: float) -> int:
-    """How many of its n shingles a set shares at least with one that is similar enough."""
-    return math.ceil(n * share - 1e-9)
-
-
-def prefixed(batches: Iterable[pa.RecordBatch], shingle: int, share: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    claim("")
-    for batch in batches:
-        ids, sizes, keys = [], [], []
-        for s in shingle_sets(batch.column(1), shingle):
-            ids.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes()), "little", signed=True))
-            sizes.append(len(s))
-            if len(common) and len(s):
-                known = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                s = np.concatenate([s[~known], s[known]])
-            keys.append(s[: len(s) - least_shared(len(s), share) + 1].view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "row", "id", "n", "keys"])
-
-
-def every_shingle(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    claim("")
-    for batch in batches:
-        sets = list(shingle_sets(batch.column(0), shingle))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["key"])
-
-
-def identified(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    claim("")
-    for batch in batches:
-        ids = [int.from_bytes(xxhash.xxh64_digest(s.tobytes()), "little", signed=True) for s in shingle_sets(batch.column(0), shingle)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], ["id", "text"])
-
-
 def judged(batches: Iterable[pa.RecordBatch], shingle: int, share: float) -> Iterator[pa.RecordBatch]:
     """Of the pairs (a, b, text_a, text_b) those whose sets are similar enough."""
     claim("")
@@ -110,73 +64,7 @@ def judged(batches: Iterable[pa.RecordBatch], shingle: int, share: float) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in (0, 1)], ["a", "b"])
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """The hashes, rising, of shingles that many documents hold, from one document in SAMPLE."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    counts = some.mapInArrow(partial(every_shingle, shingle=shingle), "key long").groupBy("key").count().where(F.col("count") >= COMMON)
-    rows = counts.orderBy(F.col("count").desc(), "key").limit(MOST_COMMON).select("key").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
-def may_match(n: Column, at: Column, m: Column, bt: Column, share: float) -> Column:
-    """Whether sets of n and m shingles, whose first common one is the at-th and bt-th from 0, can be similar enough."""
-    rest = F.least(n - at, m - bt)
-    return rest * (1 + share) + 1e-6 >= (n + m) * F.lit(share)
-
-
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, share: float) -> DataFrame:
-    """a, b of the pairs whose sets are similar enough, by the texts of docs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select("text").mapInArrow(partial(identified, shingle=shingle), "id long, text string")
-    texts = checkpointed(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]))
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return checkpointed(met.select("a", "b", "text_a", "text_b").mapInArrow(partial(judged, shingle=shingle, share=share), "a long, b long"))
-
-
 def row_mark() -> Column:
     """A hash of doc_id and text: what tells a row from all but its exact copies."""
     doc_id = F.col("doc_id").cast("long")
     return F.xxhash64(doc_id.isNull(), doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """doc_id, row (see row_mark), root, component_id of every row: the classes of documents linked by a Jaccard similarity of share or more.
-
-    Complete and exact, but for collisions of 64-bit hashes: sets that are similar enough have one of their first
-    n - ceil(share n) + 1 shingles in common, in any order of all shingles; here common ones come last. Rows with equal
-    sets are one node with one id. First each key's documents are laid against its least; pairs whose ends this has
-    connected needn't be laid against each other, all others of the key are. Every link is checked on the whole sets.
-    root numbers the classes; component_id is the least doc_id of the documents reachable by links (null only where all of them are null).
-    A null text is an empty one, and all texts without words are equal.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_mark().alias("row"))
-    common = common_shingles(docs, shingle)
-    rows = checkpointed(docs.mapInArrow(partial(prefixed, shingle=shingle, share=share, common=common), "doc_id long, row long, id long, n int, keys array<long>"))
-    classes = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    entries = classes.select("id", "n", F.posexplode("keys").alias("at", "key"))
-    member = F.struct("id", "n", "at")
-    of_key = Window.partitionBy("key")
-    members = entries.withColumn("size", F.count("*").over(of_key)).withColumn("low", F.min(member).over(of_key)).where("size > 1")
-    members = checkpointed(members.select("key", "size", "low", member.alias("x")))  # one shuffle of all keys
-
-    def possible(x: str, y: str) -> Column:
-        return may_match(F.col(f"{x}.n"), F.col(f"{x}.at"), F.col(f"{y}.n"), F.col(f"{y}.at"), share)
-
-    stars = members.where("x.id <> low.id").where(possible("low", "x")).select(F.col("low.id").alias("a"), F.col("x.id").alias("b"))
-    first = checkpointed(stars.distinct())
-    found = verified(docs, first, shingle, share)
-    roots = components(found)
-    # what is still apart in a key: all of it against all of it
-    mixed = members.where("size > 2").withColumn("id", F.col("x.id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "x", "root")
-    open_keys = mixed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    mixed = checkpointed(mixed.join(open_keys, "key"))
-    other = mixed.select("key", F.col("x").alias("y"), F.col("root").alias("root_y"))
-    rest = mixed.join(other, "key").where("x.id < y.id and root <> root_y").where(possible("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = checkpointed(rest.distinct().join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(checkpointed(found.unionByName(verified(docs, rest, shingle, share))))
-    named = rows.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    lookup = checkpointed(named.join(tops, "root").select("id", "root", "component_id"))
-    return rows.select("doc_id", "row", "id").join(lookup, "id").select("doc_id", "row", "root", "component_id")

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from lumaframe.llm import decontamination, shingle_sets
+from lumaframe.llm import decontamination, near_copies
 
 
 def documents(spark, rows):
@@ -63,17 +63,48 @@ def test_classes_with_groups_and_short_texts(spark):
             w[int(at)] = f"x{int(rng.integers(9))}"
         rows.append((100 + k, " ".join(w)))
     rows += [(200, ""), (201, None), (202, " \n"), (203, "one two"), (204, "ONE  two"), (205, "two one"), (206, "one"), (207, "a b c d e"), (208, "a b c d e a b c d e a b c d e")]
-    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.similar_classes(documents(spark, rows)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(spark, rows)).collect()}
     assert got == brute_components(rows)
-    assert shingle_sets.similar_classes(documents(spark, [])).count() == 0
+    assert near_copies.similar_classes(documents(spark, [])).count() == 0
 
 
-def test_order_of_common_shingles_changes_nothing(spark, monkeypatch):
-    rows = around(np.random.default_rng(2), 60)
-    rows = [(i, f"{t} the same line stands below every one of these texts") for i, t in rows]
-    monkeypatch.setattr(shingle_sets, "COMMON", 1)
-    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.similar_classes(documents(spark, rows)).collect()}
-    assert got == brute_components(rows)
+def test_crowded_keys_find_the_same(spark, monkeypatch):
+    """With every key's rows laid out in small blocks, and classes that aren't laid against themselves."""
+    rng = np.random.default_rng(2)
+    rows = around(rng, 60)
+    base = [f"g{k}" for k in range(120)]
+    for k in range(150):
+        w = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 6))):
+            w[int(at)] = f"x{int(rng.integers(10**6))}"
+        rows.append((1000 + k, " ".join(w)))
+    want = brute_components(rows)
+    for name, value in (("DENSE", 3), ("BLOCK", 7), ("LARGE", 5)):
+        monkeypatch.setattr(near_copies, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(spark, rows)).collect()}
+    assert got == want
+
+
+def test_recall_of_candidates_by_similarity():
+    """Keys alone, at the sizes of larger tables too: pairs just at the limit are missed once in 1000 times by design."""
+    rng = np.random.default_rng(5)
+    c = 2 * 0.8 / 1.8
+    x, z = rng.normal(size=(2, 3000, 64 * near_copies.WORDS))
+    a, b = (np.rint(1e4 * m).astype(np.int64) for m in (x, c * x + np.sqrt(1 - c * c) * z))
+    for rows in (1000, 250_000, 15_000_000):
+        how = near_copies.keys_for(rows, 0.8)
+        p, q = near_copies.keys_of(a, how)[0], near_copies.keys_of(b, how)[0]
+        assert ((p == q) & (p >= 0)).any(axis=1).mean() > 0.5
+        found = [len(np.intersect1d(s[s >= 0], t[t >= 0])) > 0 for s, t in zip(p, q, strict=True)]
+        assert np.mean(found) > 0.99, rows
+
+
+def test_counts_of_bits():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 4, 5, 100, 40_000):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        want = np.unpackbits(np.ascontiguousarray(near_copies.wide(h).T).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").sum(axis=0)
+        assert (near_copies.counts(h) == want).all()
 
 
 def test_a_repeated_line_links_no_documents(spark):
