@@ -12,7 +12,8 @@ from lumaframe.llm.decontamination import decontaminated
 from lumaframe.llm.language_id import held_out, keep_identified, train
 from lumaframe.llm.packing import pack
 from lumaframe.llm.shared import shared_dir
-from lumaframe.llm.shingle_sets import row_mark, similar_classes
+from lumaframe.llm.near_copies import similar_classes
+from lumaframe.llm.shingle_sets import row_mark
 
 #: A document goes if it has no letter, or if no learned language has at least this share of its probability.
 LEAST_SCORE = 0.3
