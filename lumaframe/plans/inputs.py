@@ -33,7 +33,9 @@ def rows(df: DataFrame, pixels: Column, value: str = "v") -> DataFrame:
 
 
 IM = "im AS (SELECT CAST(vec_id AS BIGINT) AS img_id, label, CAST(i AS INT) AS i, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CAST(least(255, greatest(0, floor(CAST(embedding[CAST(i AS INT) + 1] AS DOUBLE) * 32 + 128))) AS INT) AS v FROM embeddings, range(64) r(i))"
-PR = IM + ", pr AS (SELECT p.img_id, p.i, p.v AS a, q.v AS b FROM im p JOIN im q ON q.img_id = p.img_id + 1 AND q.i = p.i)"
+#: Whole images are joined, not their pixels.
+PV = IM + ", pv AS (SELECT img_id, list(v ORDER BY i) AS px FROM im GROUP BY img_id)"
+PR = PV + ", pr AS (SELECT p.img_id, CAST(r.i AS INT) AS i, p.px[r.i + 1] AS a, q.px[r.i + 1] AS b FROM pv p JOIN pv q ON q.img_id = p.img_id + 1, range(64) r(i))"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.operators import kernels as K
 from lumaframe.operators.images import on_pixels
-from lumaframe.plans.inputs import IM, images, pairs, rows
+from lumaframe.plans.inputs import IM, PV, images, pairs, rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -66,9 +66,9 @@ kernel("resize", lambda a: K.resize(a, 12, 5))
 kernel("resize_area", lambda a: K.resize_area(a, 4, 4), f"WITH {IM} SELECT img_id, CAST(y // 2 * 4 + x // 2 AS INT) AS i, {BYTE.format('avg(v)')} AS v FROM im GROUP BY img_id, y // 2 * 4 + x // 2")
 kernel("letter_box", lambda a: K.letter_box(a, 12, 9))
 kernel("rotate", lambda a: K.rotate(a, 30))
-kernel("warp_affine", lambda a: K.warp_affine(a, [[1, 0, 2], [0, 1, -1]]), f"WITH {IM} SELECT t.img_id, t.i, coalesce(p.v, 0)::DOUBLE AS v FROM im t LEFT JOIN im p ON p.img_id = t.img_id AND p.x = t.x - 2 AND p.y = t.y + 1")
+kernel("warp_affine", lambda a: K.warp_affine(a, [[1, 0, 2], [0, 1, -1]]), f"WITH {PV} SELECT t.img_id, t.i, CASE WHEN t.x >= 2 AND t.y < 7 THEN w.px[t.y * 8 + t.x + 7] ELSE 0 END::DOUBLE AS v FROM im t JOIN pv w USING (img_id)")
 kernel("warp_perspective", lambda a: K.warp_perspective(a, [[1, 0.1, 0], [0, 1, 0], [0.01, 0, 1]]))
-kernel("remap", lambda a: K.remap(a, *np.meshgrid(np.arange(7, -1, -1), np.arange(8))), f"WITH {IM} SELECT t.img_id, t.i, p.v::DOUBLE AS v FROM im t JOIN im p ON p.img_id = t.img_id AND p.y = t.y AND p.x = 7 - t.x")
+kernel("remap", lambda a: K.remap(a, *np.meshgrid(np.arange(7, -1, -1), np.arange(8))), f"WITH {PV} SELECT t.img_id, t.i, w.px[t.y * 8 + 8 - t.x]::DOUBLE AS v FROM im t JOIN pv w USING (img_id)")
 
 
 def measure(name: str, f) -> None:
