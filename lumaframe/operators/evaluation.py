@@ -7,11 +7,12 @@ Spark's. Only the matching of detections is sequential; it runs frame by frame.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.errors import require
 from lumaframe.operators.groups import Columns, per_group
+from lumaframe.operators.running import running_sums
 
 VOID = 255
 THRESHOLDS = tuple((50 + 5 * k) / 100 for k in range(10))
@@ -80,10 +81,9 @@ def mean_iou(df: DataFrame, classes: int) -> DataFrame:
 def pr_curves(matches: DataFrame, truths: DataFrame, order: list[Column], by: tuple[str, ...] = ("cls",), on: tuple[str, ...] = ("cls",)) -> DataFrame:
     """Running recall and precision, from matches (by, tp 0/1) in the given order and truths (on, n).
 
-    A window a group; groups without truth have no curve.
+    Running sums by partitions, so one large group isn't one task; groups without truth have no curve.
     """
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    curve = matches.join(truths.where("n > 0"), list(on)).withColumns({"hits": F.sum("tp").over(run), "rank": F.count("*").over(run)})
+    curve = running_sums(matches.join(truths.where("n > 0"), list(on)), order, {"hits": F.col("tp").cast("long"), "rank": F.lit(1).cast("long")}, by)
     return curve.select(*by, "rank", ratio(F.col("hits"), F.col("n")).alias("recall"), ratio(F.col("hits"), F.col("rank")).alias("precision"))
 
 
@@ -104,22 +104,22 @@ def average_precision(curve: DataFrame, by: tuple[str, ...] = ("cls",)) -> DataF
 
 def matched(g: Columns, thresholds: tuple[float, ...]) -> Columns:
     """Greedy matching in one frame: by falling confidence, each detection takes the free truth of its class with the
-    greatest overlap if that is at least the threshold. Ties: least k. Rows: detections (kind 0) in this order, then truths."""
+    greatest overlap if that is at least the threshold. Ties: least k. Rows: detections (kind 0) in this order, then truths.
+    ``hits`` has a bit for each threshold."""
     cut = int((g["kind"] == 0).sum())
     boxes = np.stack([g[c] for c in "xywh"], axis=1)
     overlap = iou_matrix(boxes[:cut], boxes[cut:])
     overlap[g["cls"][:cut, None] != g["cls"][None, cut:]] = -1
-    hits = np.zeros((len(thresholds), cut), np.int32)
+    hits = np.zeros(cut, np.int64)
     if overlap.size:
         for t, level in enumerate(thresholds):
             free = overlap.copy()
             for i in range(cut):
                 j = int(free[i].argmax())
                 if free[i, j] >= level:
-                    hits[t, i] = 1
+                    hits[i] |= 1 << t
                     free[:, j] = -1
-    n = len(thresholds)
-    return {c: np.tile(g[c][:cut], n) for c in ("frame", "k", "cls", "conf")} | {"level": np.repeat(np.arange(n, dtype=np.int32), cut), "tp": hits.ravel()}
+    return {c: g[c][:cut] for c in ("frame", "k", "cls", "conf")} | {"hits": hits}
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,20 +131,31 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 
 
-def detection_matches(dets: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """frame, k, cls, conf, level, tp of every detection at every threshold. One shuffle, by frame."""
+def detection_hits(dets: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """frame, k, cls, conf, hits of every detection: bit t is set if it is a hit at threshold t (62 at most). One shuffle, by frame."""
+    require(0 < len(thresholds) <= 62, "1 to 62 thresholds")
     cols = ["frame", "k", "x", "y", "w", "h", "cls", "conf", "kind"]
     both = dets.withColumn("kind", F.lit(0)).select(*cols).unionByName(truths.withColumns({"kind": F.lit(1), "conf": F.lit(0)}).select(*cols))
     both = both.select("frame", F.col("k").cast("long"), *[F.col(c).cast("double") for c in "xywh"], F.col("cls").cast("string"), F.col("conf").cast("double"), "kind")
     both = both.withColumn("_o", -F.col("conf"))
-    return per_group(both, ["frame"], ["kind", "_o", "k"], lambda g: matched(g, thresholds), "frame long, k long, cls string, conf double, level int, tp int")
+    return per_group(both, ["frame"], ["kind", "_o", "k"], lambda g: matched(g, thresholds), "frame long, k long, cls string, conf double, hits long")
+
+
+def detection_matches(dets: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """frame, k, cls, conf, level, tp of every detection at every threshold."""
+    rows = detection_hits(dets, truths, thresholds).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
+    return rows.select("frame", "k", "cls", "conf", "level", F.getbit("hits", F.col("level")).cast("int").alias("tp"))
 
 
 def detection_eval(dets: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """cls, level, ap: every class of truths or detections; one that is only predicted has 0."""
-    matches = detection_matches(dets, truths, thresholds)
+    hits = detection_hits(dets, truths, thresholds)
     counts = truths.groupBy(F.col("cls").cast("string").alias("cls")).agg(F.count("*").alias("n"))
-    curve = pr_curves(matches, counts, [F.col("conf").desc(), "frame", "k"], ("cls", "level"))
+    levels = range(len(thresholds))
+    sums = {f"_h{t}": F.shiftright("hits", t).bitwiseAND(1) for t in levels} | {"rank": F.lit(1).cast("long")}
+    run = running_sums(hits.join(counts.where("n > 0"), "cls"), [F.col("conf").desc(), "frame", "k"], sums, ("cls",))  # all thresholds in one row
+    curve = run.select("cls", "rank", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("level"), F.col(f"_h{t}").alias("hits")) for t in levels])).alias("_l"))
+    curve = curve.select("cls", "_l.level", ratio(F.col("_l.hits"), F.col("n")).alias("recall"), ratio(F.col("_l.hits"), F.col("rank")).alias("precision"))
     found = average_precision(curve, ("cls", "level"))
     classes = counts.select("cls").union(dets.select(F.col("cls").cast("string"))).distinct()
     spine = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))).alias("level"))
@@ -159,18 +170,16 @@ def mean_ap(evaluated: DataFrame) -> DataFrame:
 def roc(df: DataFrame) -> DataFrame:
     """threshold, fpr, tpr from rows (score, y 0/1), a point for each distinct score, all scores at least it."""
     per = df.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     sums = per.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    run = per.select("score", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"))
+    run = running_sums(per, [F.col("score").desc()], {"cp": F.col("p"), "cn": F.col("n")})
     return run.join(F.broadcast(sums)).select(F.col("score").alias("threshold"), ratio(F.col("cn"), F.col("tn")).alias("fpr"), ratio(F.col("cp"), F.col("tp")).alias("tpr"))
 
 
 def auc(df: DataFrame) -> DataFrame:
     """Area under the curve of rows (score, y): the share of (positive, negative) pairs in right order, ties half.
 
-    Equal to the trapezoid sum; from the counts of each distinct score, range-partitioned, and a running sum.
+    Equal to the trapezoid sum; from the counts of each distinct score and their running sum by range partitions.
     """
     per = df.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("p") * (F.coalesce(F.sum("n").over(up), F.lit(0)) + F.col("n") / 2)
-    return per.withColumn("won", won).agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))
+    up = running_sums(per, ["score"], {"cn": F.col("n")})
+    return up.withColumn("won", F.col("p") * (F.col("cn") - F.col("n") / 2)).agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))

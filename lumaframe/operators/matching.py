@@ -2,60 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumaframe.errors import require
-from lumaframe.functions.distance import hamming, hamming_words, iou, l2
+from lumaframe.functions.distance import hamming, iou
 
-SMALL = 64 << 20
+#: Bytes of queries that are sent to the tasks at once.
+SENT = 32 << 20
 
 
 def per(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
-def blocks(query: DataFrame, size: int = 256) -> DataFrame:
-    """The queries in arrays of about size, numbered: a stated set that is laid against all rows block by block."""
-    n = query.count()
-    parts = max(1, -(-n // size))
-    return query.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("queries")), parts
-
-
-def nearest(query: DataFrame, train: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def nearest(query: DataFrame, train: DataFrame, k: int, metric: str = "l2", but_itself: bool = False) -> DataFrame:
     """q, t, d, rank: the k nearest rows of train for every row of query; both (id, vec). Ties: least t.
 
-    Exact. Queries stand in blocks; each partition of train keeps k rows a query before anything is shuffled, so what
-    moves is k rows a query and partition, not all pairs.
+    Exact. The queries are a stated set, which is laid against all rows block by block: each block of at most SENT bytes
+    goes to the tasks, one pass over train lays it against Arrow batches, and a batch keeps k rows a query before anything is
+    shuffled. but_itself: rows with the query's own id aren't its neighbours. Rows without a vector have none.
     """
     require(k > 0, "k must be over 0")
-    far = {"l2": l2, "hamming": hamming_words}.get(metric)
-    require(far is not None, "metric must be l2 or hamming")
-    arranged, parts = blocks(query)
-    held = train.select(F.col("id").alias("t"), F.col("vec").alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
-    met = held.join(arranged, "block").select("t", "tv", F.explode("queries").alias("q")).select(F.col("q.id").alias("q"), "t", far(F.col("q.vec"), F.col("tv")).cast("double").alias("d"))
+    require(metric in ("l2", "hamming"), "metric must be l2 or hamming")
+    kind = "double" if metric == "l2" else "long"
+    query, train = (df.where(F.col("vec").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vec").cast(f"array<{kind}>").alias("vec")) for df in (query, train))
+    n, width = query.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    parts = max(1, -(-n * (width + 1) * 8 // SENT))
+    found = None
+    for p in range(parts):
+        rows = query.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).collect() if n else []
+        ids = np.array([r[0] for r in rows], np.int64)
+        vectors = np.array([r[1] for r in rows], np.float64 if metric == "l2" else np.int64).reshape(len(rows), -1)
+        block = train.mapInArrow(partial(_nearest_of_batches, ids=ids, vectors=vectors, k=k, but_itself=but_itself), "q long, t long, d double")
+        found = block if found is None else found.unionByName(block)
     order = Window.partitionBy("q").orderBy("d", "t")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def match_bf(query: DataFrame, train: DataFrame, metric: str = "l2", cross_check: bool = False, max_distance: float = 0) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest_of_batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, k: int, but_itself: bool) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of each batch for every query; a task keeps the best k of its batches so far."""
+    best_d, best_t = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    for whole in batches:
+        for at in range(0, whole.num_rows if len(ids) else 0, 1024):
+            batch = whole.slice(at, 1024)
+            t, flat = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten())
+            rows = flat.reshape(len(t), -1)
+            for i in range(0, len(ids), 64):
+                mine = vectors[i : i + 64]
+                if vectors.dtype.kind == "f":
+                    d = np.zeros((len(mine), len(t)))
+                    for c in range(mine.shape[1]):
+                        d += (mine[:, c, None] - rows[None, :, c]) ** 2
+                    d = np.sqrt(d)
+                else:
+                    d = np.zeros((len(mine), len(t)))
+                    for c in range(mine.shape[1]):
+                        d += np.bitwise_count(mine[:, c, None] ^ rows[None, :, c])
+                if but_itself:
+                    d[ids[i : i + 64, None] == t[None, :]] = np.inf
+                d = np.concatenate([best_d[i : i + 64], d], axis=1)
+                who = np.concatenate([best_t[i : i + 64], np.broadcast_to(t, (len(mine), len(t)))], axis=1)
+                order = np.lexsort((who, d), axis=1)[:, :k]
+                best_d[i : i + 64], best_t[i : i + 64] = np.take_along_axis(d, order, 1), np.take_along_axis(who, order, 1)
+    some = np.isfinite(best_d)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[some]), pa.array(best_t[some]), pa.array(best_d[some])], ["q", "t", "d"])
+
+
+def match_bf(query: DataFrame, train: DataFrame, metric: str = "l2", cross_check: bool = False, max_distance: float = 0, but_itself: bool = False) -> DataFrame:
     """q, t, d: the nearest row for each query; with cross_check only where each is the other's nearest.
 
     max_distance 0 is no limit; otherwise matches at that distance or under stay.
     """
     require(max_distance >= 0, "max_distance must be 0 or more")
-    best = nearest(query, train, 1, metric).select("q", "t", "d")
+    best = nearest(query, train, 1, metric, but_itself).select("q", "t", "d")
     if cross_check:
-        back = nearest(train, query, 1, metric).select(F.col("q").alias("t"), F.col("t").alias("q"))
+        back = nearest(train.join(best.select(F.col("t").alias("id")).distinct(), "id", "left_semi"), query, 1, metric, but_itself).select(F.col("q").alias("t"), F.col("t").alias("q"))
         best = best.join(back, ["q", "t"])
     return best.where(F.col("d") <= max_distance) if max_distance else best
 
 
-def match_ratio(query: DataFrame, train: DataFrame, ratio: float = 0.7) -> DataFrame:
+def match_ratio(query: DataFrame, train: DataFrame, ratio: float = 0.7, but_itself: bool = False) -> DataFrame:
     """q, t, d where the nearest row is nearer than ratio times the next; a query with one neighbour has no match."""
     require(0 < ratio <= 1, "ratio must be over 0 and at most 1")
-    two = nearest(query, train, 2)
+    two = nearest(query, train, 2, "l2", but_itself)
     next_d = F.lead("d").over(Window.partitionBy("q").orderBy("rank"))
     return two.withColumn("n", next_d).where((F.col("rank") == 1) & F.col("n").isNotNull() & (F.col("d") < F.lit(ratio) * F.col("n"))).select("q", "t", "d")
 
@@ -65,7 +100,8 @@ def hamming_pairs(df: DataFrame, key: str, word: str, radius: int) -> DataFrame:
 
     By the pigeonhole principle, two hashes within radius agree in one of radius + 1 bit ranges: an equijoin on
     (range, value), checked and then made distinct. With many ranges these are short; the join then prunes
-    less, never wrongly.
+    less, never wrongly. For many rows of one hash give the distinct hashes as rows (key and word the same column): all
+    pairs of equal rows are the square of their number.
     """
     require(0 <= radius < 64, "radius must be from 0 to 63")
     parts = radius + 1

@@ -155,6 +155,11 @@ class ByteTracker(SortTracker):
     high_conf_threshold: float = 0.6
     low_conf_threshold: float = 0.1
 
+    def __post_init__(self):
+        if hasattr(super(), "__post_init__"):
+            super().__post_init__()
+        require(0 <= self.low_conf_threshold < self.high_conf_threshold <= 1, "thresholds must be from 0 to 1, the low one under the high one")
+
     def update(self, boxes: np.ndarray, confidence: np.ndarray) -> list[dict]:
         self.predict()
         sure = boxes[confidence >= self.high_conf_threshold]

@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumaframe.errors import require
+from lumaframe.errors import ParameterError, require
 
 Kernel = Callable[[object], object]
 
@@ -108,19 +108,35 @@ def _names(df: DataFrame, condition: Column | str) -> list[str]:
     return [refs.apply(i).name() for i in range(refs.length())]
 
 
+def checkpointing(spark: SparkSession) -> None:
+    """Sets the folder of checkpoints, if it isn't yet: that of spark.checkpoint.dir, which all executors share; a local one
+    only where the session is local."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ParameterError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="lumaframe-")
+    spark.sparkContext.setCheckpointDir(found)
+
+
+def held_in_order(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """df range-partitioned and sorted, checkpointed, with _id: the partition's number above the place in it, 33 bits."""
+    checkpointing(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint().withColumn("_id", F.monotonically_increasing_id())
+
+
 def positions(df: DataFrame, order: tuple[str, ...], name: str, start: int = 0) -> DataFrame:
     """df with exact positions from start in the given order, by range partitions and their counts.
 
     No window over all rows: rows are range-partitioned and sorted, each partition's rows are counted, and positions are the
     partition's start plus the place in it. The partitions are held for both passes by a checkpoint.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumaframe-"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint().withColumn("_id", F.monotonically_increasing_id())
+    held = held_in_order(df, list(order))
     part, within = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     starts, total = [], start
     for r in sorted(held.groupBy(part.alias("part")).count().collect()):

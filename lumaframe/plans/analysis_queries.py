@@ -10,6 +10,7 @@ from lumaframe.operators import aggregates as A
 from lumaframe.operators import evaluation as E
 from lumaframe.operators import matching as M
 from lumaframe.plans.inputs import BOX, IM, PR, boxes, images, pairs, rows, table
+from lumaframe.plans.vision_sql import EVALUATED, MEAN_AP, SUPPRESSED
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -215,12 +216,12 @@ def _detections(spark, sf):
     return b, truths
 
 
-@query()
+@query(EVALUATED)
 def detection_eval(spark, sf):
     return six(E.detection_eval(*_detections(spark, sf)), "ap")
 
 
-@query()
+@query(MEAN_AP)
 def mean_average_precision(spark, sf):
     return six(E.mean_ap(E.detection_eval(*_detections(spark, sf))), "map50", "map50_95")
 
@@ -237,12 +238,16 @@ def average_hash(spark, sf):
     return _hashes(spark, sf).select("img_id", "h")
 
 
-@query(f"WITH {_AH} SELECT a.label AS label_a, b.label AS label_b, count(*) AS n, CAST(sum(bit_count(xor(a.h, b.h))) AS BIGINT) AS d FROM hs a JOIN hs b ON a.img_id < b.img_id WHERE bit_count(xor(a.h, b.h)) <= 10 GROUP BY ALL")
+@query(f"WITH {_AH} SELECT least(a.label, b.label) AS label_a, greatest(a.label, b.label) AS label_b, count(*) AS n, CAST(sum(bit_count(xor(a.h, b.h))) AS BIGINT) AS d FROM hs a JOIN hs b ON a.img_id < b.img_id WHERE bit_count(xor(a.h, b.h)) <= 10 GROUP BY ALL")
 def average_hash_pairs(spark, sf):
-    near = M.hamming_pairs(_hashes(spark, sf), "img_id", "h", 10)
-    label = _hashes(spark, sf).select("img_id", "label")
-    near = near.join(label.withColumnsRenamed({"img_id": "a", "label": "label_a"}), "a").join(label.withColumnsRenamed({"img_id": "b", "label": "label_b"}), "b")
-    return near.groupBy("label_a", "label_b").agg(F.count("*").alias("n"), F.sum("d").alias("d"))
+    """Pairs of images with near hashes, counted by their labels: near pairs of distinct hashes, and the images of each by label."""
+    of = _hashes(spark, sf).groupBy("h", "label").agg(F.count("*").alias("n"))
+    near = M.hamming_pairs(of.select(F.col("h").alias("id"), "h").distinct(), "id", "h", 10)
+    side = lambda c: of.select(F.col("h").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"))
+    apart = near.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.col("na") * F.col("nb"))
+    alike = side("a").join(side("b"), (F.col("a") == F.col("b")) & (F.col("la") <= F.col("lb"))).withColumns({"d": F.lit(0), "n": F.when(F.col("la") == F.col("lb"), F.floor(F.col("na") * (F.col("na") - 1) / 2)).otherwise(F.col("na") * F.col("nb"))})
+    both = apart.select("la", "lb", "n", "d").unionByName(alike.where("n > 0").select("la", "lb", "n", "d"))
+    return both.groupBy(F.least("la", "lb").alias("label_a"), F.greatest("la", "lb").alias("label_b")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("d"))
 
 
 @query(f"WITH {PR}, mn AS (SELECT img_id, avg(a) AS ma, avg(b) AS mb FROM pr GROUP BY img_id) SELECT pr.img_id, CAST(sum(CASE WHEN (a > ma) <> (b > mb) THEN 1 ELSE 0 END) AS INT) AS d FROM pr JOIN mn USING (img_id) GROUP BY pr.img_id")
@@ -260,40 +265,40 @@ def cosine_similarity(spark, sf):
     return six(pairs(spark, sf).select("img_id", distance.cosine(F.col("a"), F.col("b")).alias("s")), "s")
 
 
-#: Queries are every tenth image, against all the others: the operators' two sets of descriptors.
-_D = f"{IM}, d AS (SELECT q.img_id AS q, t.img_id AS t, sum((q.v - t.v) * (q.v - t.v)) AS d2 FROM im q JOIN im t ON t.i = q.i WHERE q.img_id % 10 = 0 AND t.img_id % 10 <> 0 GROUP BY ALL)"
+#: Queries are the images whose id 50 divides, against all the others.
+_D = f"{IM}, d AS (SELECT q.img_id AS q, t.img_id AS t, sum((q.v - t.v) * (q.v - t.v)) AS d2 FROM im q JOIN im t ON t.i = q.i AND t.img_id <> q.img_id WHERE q.img_id % 50 = 0 GROUP BY ALL)"
 
 
 def _sets(spark, sf):
     v = images(spark, sf).select(F.col("img_id").alias("id"), F.col("px").alias("vec"))
-    return v.where("id % 10 = 0"), v.where("id % 10 <> 0")
+    return v.where("id % 50 = 0"), v
 
 
 @query(f"WITH {_D}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, t) AS k FROM d) SELECT q, t, round(sqrt(d2), 6) AS d FROM r WHERE k = 1")
 def match_bf(spark, sf):
-    return six(M.match_bf(*_sets(spark, sf)), "d")
+    return six(M.match_bf(*_sets(spark, sf), but_itself=True), "d")
 
 
 @query(f"WITH {_D}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, t) AS k, row_number() OVER (PARTITION BY t ORDER BY d2, q) AS b FROM d) SELECT q, t, round(sqrt(d2), 6) AS d FROM r WHERE k = 1 AND b = 1 AND sqrt(d2) <= 400")
 def match_bf_cross_check(spark, sf):
-    return six(M.match_bf(*_sets(spark, sf), cross_check=True, max_distance=400), "d")
+    return six(M.match_bf(*_sets(spark, sf), cross_check=True, max_distance=400, but_itself=True), "d")
 
 
 @query(f"WITH {_D}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, t) AS k, lead(d2) OVER (PARTITION BY q ORDER BY d2, t) AS n2 FROM d) SELECT q, t, round(sqrt(d2), 6) AS d FROM r WHERE k = 1 AND n2 IS NOT NULL AND sqrt(d2) < 0.9 * sqrt(n2)")
 def match_flann(spark, sf):
-    return six(M.match_ratio(*_sets(spark, sf), ratio=0.9), "d")
+    return six(M.match_ratio(*_sets(spark, sf), ratio=0.9, but_itself=True), "d")
 
 
-@query(f"WITH {BOX} SELECT a.frame, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS by, a.w AS aw, b.w AS bw, a.h AS ah, b.h AS bh, a.cls AS acls, b.cls AS bcls, a.conf AS aconf, b.conf AS bconf, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))::DOUBLE / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))), 6) AS iou FROM bx a JOIN bx b USING (frame) WHERE a.conf < b.conf AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)")
+@query(f"WITH {BOX}, nb AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY x, y, w, h, cls, conf) AS k FROM bx) SELECT a.frame, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS by, a.w AS aw, b.w AS bw, a.h AS ah, b.h AS bh, a.cls AS acls, b.cls AS bcls, a.conf AS aconf, b.conf AS bconf, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))::DOUBLE / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))), 6) AS iou FROM nb a JOIN nb b USING (frame) WHERE a.k < b.k AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)")
 def iou_pairs(spark, sf):
-    b = boxes(spark, sf)
-    names = ("x", "y", "w", "h", "cls", "conf")
+    b, _ = _detections(spark, sf)
+    names = ("x", "y", "w", "h", "cls", "conf", "k")
     a, c = (b.select("frame", *[F.col(n).alias(s + n) for n in names]) for s in "ab")
-    met = a.join(c, "frame").where("aconf < bconf")
+    met = a.join(c, "frame").where("ak < bk").drop("ak", "bk")
     iou = distance.iou(*[F.col(s + n) for s in "ab" for n in ("x", "y", "w", "h")])
     return six(met.withColumn("iou", iou).where("iou > 0"), "iou")
 
 
-@query()
+@query(SUPPRESSED)
 def non_maximum_suppression(spark, sf):
     return M.nms(boxes(spark, sf), ["frame"], [F.col("conf").desc(), "x", "y", "w", "h", "cls"], 0.3)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumaframe.operators import kernels as K
 from lumaframe.operators.images import on_pixels
 from lumaframe.plans.inputs import IM, PV, images, pairs, rows
+from lumaframe.plans.kernel_sql import COLORS, KERNELS
+from lumaframe.plans.vision_sql import STEPS
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -81,6 +83,9 @@ measure("gmsd", K.gmsd)
 
 
 def vector(name: str, f, result: str) -> None:
+    if name in COLORS:
+        QUERIES[name], ORACLE[name] = lambda spark, sf: rows(images(spark, sf), on_pixels(f, F.col("px"), 8, result)), COLORS[name]
+        return
     QUERIES[name] = lambda spark, sf: images(spark, sf).select("img_id", on_pixels(f, F.col("px"), 8, result).alias("h"))
 
 
@@ -90,3 +95,4 @@ vector("radial_variance_hash", K.radial_variance_hash, "array<double>")
 vector("color_moment_hash", K.color_moment_hash, "array<double>")
 vector("match_template", lambda a: K.match_template(a, a[2:5, 3:6], "sqdiff"), "array<double>")
 vector("phase_correlate", lambda a: K.phase_correlate(a.astype(float), np.roll(a, 1, 1).astype(float)), "array<double>")
+ORACLE |= KERNELS | STEPS

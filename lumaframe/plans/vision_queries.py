@@ -17,7 +17,9 @@ from lumaframe.operators import motion as M
 from lumaframe.operators import photo as P
 from lumaframe.operators import tracking as T
 from lumaframe.operators.images import on_pixels
-from lumaframe.plans.inputs import BOX, boxes, images, table
+from lumaframe.plans.inputs import BOX, boxes, images, rows, table
+from lumaframe.plans.kernel_sql import COLORS
+from lumaframe.plans.vision_sql import VISION
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +46,10 @@ def numbers(found) -> np.ndarray:
 
 
 def image_query(name: str, f) -> None:
+    """What the operator finds on each image: one row a number where SQL states it, otherwise one list an image."""
+    if sql := COLORS.get(name) or VISION.get(name):
+        QUERIES[name], ORACLE[name] = lambda spark, sf: rows(images(spark, sf), F.transform(on_pixels(lambda a: numbers(f(a)), F.col("px"), 8), lambda v: F.round(v, 4) + F.lit(0.0))), sql
+        return
     QUERIES[name] = lambda spark, sf: images(spark, sf).select("img_id", F.transform(on_pixels(lambda a: numbers(f(a)), F.col("px"), 8), lambda v: F.round(v, 4)).alias("found"))
 
 
@@ -198,7 +204,9 @@ SELECT frame, round(abs(sum(x * ny - nx * y)) / 2, 6) AS area, round(sum(sqrt((x
 
 def make_chessboard_points(spark, sf):
     n = table(spark, sf, "nation")
-    return n.select(F.col("n_nationkey").cast("int").alias("k"), (F.col("n_nationkey") % 5 * 0.5).alias("x"), (F.floor(F.col("n_nationkey") / 5) * 0.5).alias("y"))
+    points, k = C.make_chessboard_points(5, 5, 0.5), F.col("n_nationkey").cast("int")
+    at = lambda c: F.get(F.array(*[F.lit(float(v)) for v in points[:, c]]), k)
+    return n.select(k.alias("k"), at(0).alias("x"), at(1).alias("y"))
 
 
 QUERIES["chessboard_points"] = make_chessboard_points

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumaframe.errors import FormatError, require
+from lumaframe.operators.views import positions
 from lumaframe.schema import BBOX
 
 SUFFIXES = ("jpg", "jpeg", "png")
@@ -260,11 +261,10 @@ def load_voc_seg(spark: SparkSession, root: str, instance_masks: bool = False) -
     rows = rows.join(masks("SegmentationObject", "instance_mask"), "stem", "left") if instance_masks else rows.withColumn("instance_mask", F.lit(None).cast(first.schema["image"].dataType))
 
     def tails(df: DataFrame) -> DataFrame:
-        whole = Window.partitionBy()
-        n = F.count("*").over(whole)
-        rank = F.row_number().over(whole.orderBy("stem")) - 1
+        ranked = positions(df.select("stem"), ("stem",), "_r")
+        n = F.lit(ranked.count())
         test, val = F.greatest(F.lit(1), F.floor(n / 10)), F.floor(n / 10)
         none = test + val >= n
-        return df.join(df.select("stem").withColumns({"_r": rank, "_t": F.when(none, 0).otherwise(test), "_v": F.when(none, 0).otherwise(val), "_n": n}), "stem").withColumn("split", F.when(F.col("_r") >= F.col("_n") - F.col("_t"), "test").when(F.col("_r") >= F.col("_n") - F.col("_t") - F.col("_v"), "val").otherwise("train")).drop("_r", "_t", "_v", "_n")
+        return df.join(ranked.withColumns({"_t": F.when(none, 0).otherwise(test), "_v": F.when(none, 0).otherwise(val), "_n": n}), "stem").withColumn("split", F.when(F.col("_r") >= F.col("_n") - F.col("_t"), "test").when(F.col("_r") >= F.col("_n") - F.col("_t") - F.col("_v"), "val").otherwise("train")).drop("_r", "_t", "_v", "_n")
 
     return with_lists(spark, rows, f"{root}/ImageSets/Segmentation", tails)
