@@ -40,48 +40,91 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
-HEADS = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "Zlib": ["zlib License"], "BSD-2-Clause": ["BSD 2-Clause License"]}
-#: Equivalent spellings, applied to whole words of the lower-cased text in this order.
+HEADS = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "Zlib": ["zlib License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "MIT-0": ["MIT No Attribution"], "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"]}
+#: Equivalent spellings of whole words, after lower-casing.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "merchantibility": "merchantability", "organisation": "organization", "whilst": "while", "behaviour": "behavior", "favour": "favor", "fulfil": "fulfill", "acknowledgement": "acknowledgment", "noncommercial": "non commercial", "ver": "version", "v": "version"}
 #: A line is a copyright line if it starts so; after lower-casing.
 COPYRIGHT = r"(?m)^[^\p{L}\n(©]*(?:copyright\s*(?:\(c\)|©|\d)|\(c\)\s*\d|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form: lower case; no copyright lines; punctuation and white space as single spaces; one spelling."""
+    """The canonical form: lower case; no copyright lines; punctuation and white space as single spaces; one spelling.
+
+    Each word has a blank of its own on either side while spellings are replaced, so that neighbours can both be.
+    """
     t = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for old, new in SPELLINGS.items():
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(t)
-
-
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form, as hex."""
-    return F.sha2(canonical(text), 256)
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """license_id and digest of every known text, with and without its usual heading. Fixed size."""
+    """license_id, digest and length of the canonical form of every known text, with and without its usual heading. Fixed size."""
     rows = [(k, t) for k, ts in NOTICES.items() for t in ts] + [(k, t) for k, t in TEXTS.items()] + [(k, f"{h}\n\n{TEXTS[k]}") for k, hs in HEADS.items() for h in hs]
-    return spark.createDataFrame(rows, "license_id string, known_text string").select("license_id", digest(F.col("known_text")).alias("digest")).distinct()
+    forms = spark.createDataFrame(rows, "license_id string, known_text string").select("license_id", canonical(F.col("known_text")).alias("form"))
+    return forms.select("license_id", F.sha2("form", 256).alias("digest"), F.length("form").alias("length")).distinct()
 
 
 def license_scan(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """doc_id, scope, license_id, digest, n: the known licences that a document is, or holds as whole lines.
 
     Scope ``document``: the entire text is a licence. Scope ``line``: n of its lines are, each taken entire. A
-    document of one line is reported as a document only. Null and empty texts match nothing; rows that repeat a
-    doc_id add up under it. ``table`` (license_id, digest) replaces the known licences; it is broadcast only
-    below 100,000 rows and shuffled otherwise. Columns of docs other than doc_id and text are ignored.
+    document of one line is reported as a document only. Null and empty texts match nothing; texts of any length are taken
+    whole; rows that repeat a doc_id add up under it, and so do those without one. ``table`` (license_id, digest, and
+    perhaps length, of the canonical form in characters: then only forms of such a length are hashed) replaces the known
+    licences; it is broadcast only below 100,000 rows and shuffled otherwise. Columns of docs other than doc_id and text
+    are ignored; empty tables give no rows.
+
+    Lines are brought into their form once; a document's form is theirs in a row.
     """
     bounded = table is None or table.limit(100_001).count() <= 100_000
-    table = known(docs.sparkSession) if table is None else table.select("license_id", "digest")
-    kind = F.struct
-    whole = F.array(kind(F.lit("document").alias("scope"), F.col("text").alias("unit")))
-    lines = F.split("text", "\n")
-    units = F.when(F.size(lines) > 1, F.concat(whole, F.transform(lines, lambda x: kind(F.lit("line").alias("scope"), x.alias("unit"))))).otherwise(whole)
-    parts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.scope", digest(F.col("u.unit")).alias("digest"))
+    table = known(docs.sparkSession) if table is None else table
+    fits = None
+    if "length" in table.columns and bounded:
+        lengths = [r[0] for r in table.select("length").distinct().collect()]
+        fits = lambda u: F.length(u["form"]).isin(lengths)
+    table = table.select("license_id", "digest")
+    unit = lambda scope, form: F.struct(F.lit(scope).alias("scope"), form.alias("form"))
+    forms = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(F.split("text", "\n"), canonical).alias("forms"))
+    whole = F.array(unit("document", F.array_join(F.filter("forms", lambda x: x != ""), " ")))
+    units = F.when(F.size("forms") > 1, F.concat(whole, F.transform("forms", lambda x: unit("line", x)))).otherwise(whole)
+    parts = forms.select("doc_id", F.explode(F.filter(units, fits) if fits else units).alias("u")).select("doc_id", "u.scope", F.sha2("u.form", 256).alias("digest"))
     found = parts.join(F.broadcast(table) if bounded else table, "digest")
     return found.groupBy("doc_id", "scope", "license_id", "digest").agg(F.count("*").alias("n"))

@@ -28,14 +28,14 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 def encoder(path: str, remember: int):
     """Texts to their ids as little-endian unsigned 32-bit bytes, word by word.
 
-    Blanks and line feeds end every pre-token of this tokenizer's kind, and its normaliser never works across
-    them, so the ids of a text are those of its blank-separated parts in a row.
+    Blanks and line feeds end every pre-token of this tokenizer's kind, its normaliser never works across them, and none
+    of its special tokens holds one, so the ids of a text are those of its blank-separated parts in a row. A special
+    token's name in a text is that token.
     """
     import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def ids_of(text: str) -> bytes:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()

@@ -18,7 +18,15 @@ from lumaframe.llm.sharding import shard_documents
 from lumaframe.llm.simhash import near_duplicates
 from lumaframe.llm.token_counts import count_tokens
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, which every node must have: in TOKENIZER_DIR, or where the package of the files says."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +52,7 @@ def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end=2)
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
@@ -57,7 +65,7 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +86,14 @@ def _quoted(text: str) -> str:
 def _license_sql() -> str:
     """The scan in SQL, from the same texts, pattern and spellings."""
     known = [(k, t) for k, ts in NOTICES.items() for t in ts] + list(TEXTS.items()) + [(k, f"{h}\n\n{TEXTS[k]}") for k, hs in HEADS.items() for h in hs]
-    form = "' ' || trim(regexp_replace(regexp_replace(lower(x), " + _quoted(COPYRIGHT) + ", ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
-    for old, new in SPELLINGS.items():
-        form = f"replace({form}, ' {old} ', ' {new} ')"
+    spelled = " ".join(f"WHEN {_quoted(old)} THEN {_quoted(new)}" for old, new in SPELLINGS.items())
+    words = "list_filter(string_split_regex(regexp_replace(lower(x), " + _quoted(COPYRIGHT) + ", ' ', 'g'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    form = f"array_to_string(list_transform({words}, lambda w: CASE w {spelled} ELSE w END), ' ')"
     return f"""WITH k(license_id, x) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in known)}),
- kd AS (SELECT DISTINCT license_id, sha256(trim({form})) AS digest FROM k),
+ kd AS (SELECT DISTINCT license_id, sha256({form}) AS digest FROM k),
  u AS (SELECT doc_id, 'document' AS scope, text AS x FROM documents WHERE text IS NOT NULL UNION ALL
   SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
- ud AS (SELECT doc_id, scope, sha256(trim({form})) AS digest FROM u)
+ ud AS (SELECT doc_id, scope, sha256({form}) AS digest FROM u)
  SELECT doc_id, scope, license_id, digest, count(*) AS n FROM ud JOIN kd USING (digest) GROUP BY ALL"""
 
 

@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset and the session is local (tests), a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="lumaframe-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, as rows are whole texts; a session's own choice stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
+    """Fewer rows and bytes in an Arrow batch than Spark's defaults, as rows are whole texts; a session's own choice stays."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -67,14 +69,36 @@ def broadcast_if_small(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def thinned(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Those rows of df whose number in the column is in wanted too, and perhaps some others; no row of df moves.
+def thinned(df: DataFrame, column: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """Those rows of df whose number in the column is in wanted too, and perhaps some others (or, inside False, the rest); no row of df moves.
 
     The numbers' last THIN_BITS hash bits are laid out as a table of bits, whose size doesn't depend on the input, and
     broadcast. A join on the column itself must follow; it shuffles only what is left.
     """
     place = lambda name: F.xxhash64(F.col(name).cast("long")).bitwiseAND((1 << THIN_BITS) - 1)
-    bits = wanted.select(place(column).alias("_p")).groupBy(F.shiftright("_p", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 AS int))")).alias("_bits"))
-    marked = df.withColumn("_p", place(column)).withColumn("_slot", F.shiftright("_p", 6))
-    met = marked.join(F.broadcast(bits), "_slot").where(F.expr("(shiftrightunsigned(_bits, cast(_p & 63 AS int)) & 1) = 1"))
-    return met.select(*df.columns)
+    at, slot, bits = (fresh(x, df) for x in ("at", "slot", "bits"))
+    table = wanted.select(place(column).alias(at)).groupBy(F.shiftright(at, 6).alias(slot)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 AS int))")).alias(bits))
+    marked = df.withColumn(at, place(column)).withColumn(slot, F.shiftright(at, 6))
+    met = marked.join(F.broadcast(table), slot, "inner" if inside else "left").where(F.expr(f"(shiftrightunsigned(coalesce({bits}, 0L), cast({at} & 63 AS int)) & 1) = {int(inside)}"))
+    return met.select(*[F.col(c) for c in df.columns])
+
+
+def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose number in the column isn't in keys (one column). Up to MOST_BROADCAST keys no row of df moves;
+    beyond, only those that thinned() lets through are shuffled."""
+    key = fresh("key", df)
+    keys = keys.toDF(key)
+    met = lambda rows, k: rows.join(k, F.col(column) == F.col(key), "left_anti")
+    if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return met(df, F.broadcast(keys))
+    keys = checkpointed(keys)
+    return met(thinned(df, column, keys.withColumnRenamed(key, column)), keys).unionByName(thinned(df, column, keys.withColumnRenamed(key, column), inside=False))
+
+
+def fresh(name: str, *dfs: DataFrame) -> str:
+    """A column name that no table here has."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name

@@ -15,12 +15,29 @@ from lumaframe.llm.memo import CLEAR, Memo, claim, coded
 from lumaframe.llm.shared import small_batches
 
 UNKNOWN_PENALTY = 10.0
+#: Pieces of a vocabulary that is given as a table, at most.
+MOST_PIECES = 1_000_000
 SPACE = "▁"
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long, score double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64()), ("score", pa.float64())])
 
 
-def vocabulary(path: str) -> list[tuple[str, float]]:
+def vocabulary(path: str | tuple) -> list[tuple[str, float]]:
+    """The pieces and log probabilities given, or those of the file at a path: a unigram model's own, where the file is the JSON of
+    a ``tokenizers`` model of that kind, otherwise those of a piece model by Zipf's law over its ranks."""
+    if not isinstance(path, str):
+        return list(path)
+    if path.endswith(".json"):
+        import json
+
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        if model["type"] != "Unigram":
+            raise ValueError("not a unigram model")
+        return [(p, float(s)) for p, s in model["vocab"]]
+    return ranked_pieces(path)
+
+
+def ranked_pieces(path: str) -> list[tuple[str, float]]:
     """Pieces in the order of their ids, with log probabilities by Zipf's law over that order.
 
     The public model file ranks its pieces but has no unigram probabilities; the piece of rank r (from 1, after
@@ -86,7 +103,7 @@ class Counter:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str) -> Memo:
+def counter(path: str | tuple) -> Memo:
     word = Counter(vocabulary(path)).word
     return Memo(lambda words: [word(SPACE + w) for w in words])
 
@@ -94,8 +111,8 @@ def counter(path: str) -> Memo:
 CLEAR.append(counter.cache_clear)
 
 
-def counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    claim(f"counts {path}")
+def counted(batches: Iterable[pa.RecordBatch], path: str | tuple) -> Iterator[pa.RecordBatch]:
+    claim(f"counts {path if isinstance(path, str) else hash(path)}")
     memo = counter(path)
     for batch in batches:
         done = 0
@@ -111,13 +128,21 @@ def counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
-def count_tokens(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_words, n_tokens, n_unknown, score of each row, by the vocabulary of the model file at the path ``model``.
+def count_tokens(docs: DataFrame, model: str | DataFrame) -> DataFrame:
+    """doc_id, n_words, n_tokens, n_unknown, score of each row, by a vocabulary: a model file's (its path; see vocabulary),
+    or a table of piece and score (log probability), of MOST_PIECES rows at most, which each task gets; ids rise with the
+    score's fall.
 
     Words are separated by white space; each is counted with a leading space mark. A null or blank text has no
-    words and no tokens. Rows with equal doc_id stay apart. One pass over the whole texts, without a shuffle;
-    each Python worker remembers a bounded number of words. Other columns of docs are ignored.
+    words and no tokens; texts of any length are taken whole, an empty table gives no rows. Rows with equal or null doc_id stay
+    apart. One pass over the texts, without a shuffle; each Python worker remembers a bounded number of words. Other
+    columns of docs are ignored.
     """
     small_batches(docs.sparkSession)
+    if isinstance(model, DataFrame):
+        rows = model.select(F.col("piece").cast("string"), F.col("score").cast("double")).limit(MOST_PIECES + 1).collect()
+        if not 0 < len(rows) <= MOST_PIECES:
+            raise ValueError(f"a vocabulary has 1 to {MOST_PIECES} pieces")
+        model = tuple(sorted((tuple(r) for r in rows), key=lambda r: (-r[1], r[0])))
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return small.mapInArrow(partial(counted, path=model), SCHEMA)
