@@ -87,6 +87,43 @@ class EliasFano:
         return low
 
 
+class Runs:
+    """Rising runs of numbers, one for each context, in one sequence: each run goes on from where the one before it ends.
+
+    A number is sought within its context's run only, by the place where the run begins and the number that ends the run before.
+    """
+
+    def __init__(self, sequence: EliasFano):
+        self.sequence = sequence
+
+    @staticmethod
+    def build(values: np.ndarray, first: np.ndarray) -> EliasFano:
+        """first: where each run begins, and the number of all values; no run is empty."""
+        values = values.astype(np.uint64)
+        if not len(values):
+            return EliasFano.build(values)
+        tops = values[first[1:] - 1] + np.uint64(1)
+        start = np.concatenate([[np.uint64(0)], np.cumsum(tops)[:-1].astype(np.uint64)])
+        return EliasFano.build(values + np.repeat(start, np.diff(first)))
+
+    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each value in its run [begin, end), -1 if it isn't there; empty runs hold nothing."""
+        out = np.full(len(values), -1, np.int64)
+        some = np.flatnonzero(end > begin)
+        if not len(some):
+            return out
+        begin, end = begin[some], end[some]
+        start = np.zeros(len(some), np.uint64)
+        later = begin > 0
+        start[later] = self.sequence[begin[later] - 1] + np.uint64(1)
+        wanted = values[some].astype(np.uint64) + start
+        at = self.sequence.first_not_below(wanted, begin, end)
+        hit = at < end
+        hit[hit] = self.sequence[at[hit]] == wanted[hit]
+        out[some[hit]] = at[hit]
+        return out
+
+
 def filesystem(uri: str):
     """The file system of a folder's URI, and the path in it."""
     from pyarrow import fs

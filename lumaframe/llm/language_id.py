@@ -18,6 +18,8 @@ DOCS_PER_LANG = 160
 WORDS_PER_DOC = 120
 HIDDEN = 12
 LONGEST = 32
+#: Words that are labelled at once.
+AT_ONCE = 8192
 EPOCHS = 3
 BATCH = 256
 RATE = 0.01
@@ -119,24 +121,38 @@ class Network:
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """For each word the sum over its positions of the classes' log probabilities, and the positions, as float32 bytes."""
-        groups = defaultdict(list)
-        for i, w in enumerate(words):
-            for s in sequences(w):
-                groups[len(s)].append((i, s))
-        out = np.zeros((len(words), len(self.p["bias"]) + 1), np.float32)
-        for length, rows in groups.items():
-            for j in range(0, len(rows), 4096):
-                part = rows[j : j + 4096]
-                x = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(-1, length)
-                logs, _ = self.log_probabilities(x)
-                at = np.array([i for i, _ in part])
-                np.add.at(out[:, :-1], at, logs.sum(1))
-                np.add.at(out[:, -1], at, length)
-        return [row.tobytes() for row in out]
+        out: list[bytes] = []
+        for first in range(0, len(words), AT_ONCE):
+            some = words[first : first + AT_ONCE]
+            groups = defaultdict(list)
+            for i, w in enumerate(some):
+                for s in sequences(w):
+                    groups[len(s)].append((i, s))
+            sums = np.zeros((len(some), len(self.p["bias"]) + 1), np.float32)
+            for length, rows in groups.items():
+                for j in range(0, len(rows), 1024):
+                    part = rows[j : j + 1024]
+                    x = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(-1, length)
+                    logs, _ = self.log_probabilities(x)
+                    at = np.array([i for i, _ in part])
+                    np.add.at(sums[:, :-1], at, logs.sum(1))
+                    np.add.at(sums[:, -1], at, length)
+            out += [row.tobytes() for row in sums]
+        return out
 
 
 def sequences(word: bytes) -> list[bytes]:
-    return [b" " + word[i : i + LONGEST] + b" " for i in range(0, len(word), LONGEST)]
+    """The word's parts of at most LONGEST bytes, cut between code points, with a blank at each end."""
+    if len(word) <= LONGEST:
+        return [b" " + word + b" "]
+    out, i = [], 0
+    while i < len(word):
+        j = min(len(word), i + LONGEST)
+        while i + LONGEST - 3 <= j < len(word) and word[j] & 0xC0 == 0x80:
+            j -= 1
+        out.append(b" " + word[i:j] + b" ")
+        i = j
+    return out
 
 
 MODELS: dict[bytes, Memo] = {}

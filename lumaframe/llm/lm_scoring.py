@@ -1,4 +1,4 @@
-"""Language-model scoring by an Elias-Fano trie of word pairs."""
+"""Language-model scoring by an Elias-Fano trie of words, pairs and runs of three words."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.elias_fano import EliasFano, load, remove, save
+from lumaframe.llm.elias_fano import EliasFano, Runs, load, remove, save
 from lumaframe.llm.memo import CLEAR, Memo, claim, coded
-from lumaframe.llm.shared import shared_dir, small_batches
+from lumaframe.llm.shared import checkpointed, shared_dir, small_batches
+from lumaframe.llm.shingle_sets import scattered
 
 SEED = 7
 END = 1  # the hash of the end of a text; no word is given it
@@ -24,7 +25,9 @@ PAIRS_PER_SHARD = 3_000_000
 STEP = 4096
 BUCKETS = 64
 MOST = (1 << 31) - 1
-DEALT = "shard int, blob binary"
+DEALT = "level int, shard long, blob binary"
+#: Shards to a file of a manifest, and mapped files that a worker keeps at once.
+GROUP, MOST_MAPPED = 1024, 4096
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -35,46 +38,52 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.maximum(np.array([digest(w, SEED) for w in words], np.uint64), np.uint64(END + 1))
 
 
-def pressed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rising keys as differences, and counts, compressed."""
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, lower keys (of three words: the last), counts
+
+
+def pressed(keys: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising keys as differences, lower keys and counts, compressed."""
     import zstandard
 
+    planes = lambda x, width: x.view(np.uint8).reshape(-1, width).T.tobytes()  # noqa: E731  bytes of like weight together
     differences = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = differences.view(np.uint8).reshape(-1, 8).T.tobytes()  # bytes of like weight together
-    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + planes + counts.astype("<u4").tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + planes(differences, 8) + planes(lower.astype("<u4"), 4) + planes(counts.astype("<u4"), 4))
 
 
-def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def opened(blob: bytes) -> Counted:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
-    differences = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(differences, dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64)
+    planes = lambda at, width: np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(f"<u{width}").ravel()
+    return np.cumsum(planes(8, 8), dtype=np.uint64), planes(8 + 8 * n, 4), planes(8 + 12 * n, 4).astype(np.int64)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def summed(keys: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> Counted:
+    if not len(keys):
+        return keys, lower, counts
+    order = np.lexsort((lower, keys)) if lower.any() else np.argsort(keys, kind="stable")
+    keys, lower, counts = keys[order], lower[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (lower[1:] != lower[:-1])]))
+    return keys[first], lower[first], np.add.reduceat(counts, first)
 
 
-def dealt(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
-    """Sorted keys in blobs, one for each shard they are in; shards rise with keys."""
-    which, first = np.unique(shards, return_index=True)
-    ends = [*first[1:].tolist(), len(keys)]
-    blobs = [pressed(keys[a:b], counts[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+def dealt(found: Counted, shards: np.ndarray, level: int) -> pa.RecordBatch:
+    """Sorted keys in blobs, one for each shard they are in."""
+    order = np.argsort(shards, kind="stable")
+    which, first = np.unique(shards[order], return_index=True)
+    ends = [*first[1:].tolist(), len(order)]
+    blobs = [pressed(*(x[order[a:b]] for x in found)) for a, b in zip(first.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), level), pa.int32()), pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], ["level", "shard", "blob"])
 
 
 def word_counts(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     parts, ends, held = [], 0, 0
 
     def out() -> pa.RecordBatch:
-        last = (np.array([END], np.uint64), np.array([ends]))
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, last, strict=True)))
-        return dealt(keys, counts, (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64))
+        keys, counts = (np.concatenate(x) for x in zip(*parts, (np.array([END], np.uint64), np.array([ends])), strict=True))
+        found = summed(keys, np.zeros(len(keys), np.uint32), counts)
+        return dealt(found, (found[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found[0]), np.int64), 1)
 
     for batch in batches:
         for n, codes, words, _ in coded(batch.column(0), "lower"):
@@ -90,19 +99,19 @@ def word_counts(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
         yield out()
 
 
-def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The summed keys of each shard in turn; rows come sorted by shard. Blobs are merged as they pile up."""
-    shard, parts, size, least = None, [], 0, 1 << 22
+def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, Counted]]:
+    """(level, shard, summed keys) of each shard in turn; rows come sorted by both. Blobs are merged as they pile up."""
+    at, parts, size, least = None, [], 0, 1 << 22
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    def merged() -> Counted:
+        return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     for batch in batches:
-        for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if s != shard and parts:
-                yield shard, *merged()
+        for level, shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (level, shard) != at and parts:
+                yield *at, merged()
                 parts, size = [], 0
-            shard = s
+            at = level, shard
             parts.append(opened(blob.as_py()))
             size += len(parts[-1][0])
             if size > least:
@@ -110,7 +119,7 @@ def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
                 size = len(parts[0][0])
                 least = max(1 << 22, 2 * size)
     if parts:
-        yield shard, *merged()
+        yield *at, merged()
 
 
 def slot(hashes: np.ndarray, bits: int, depth: int) -> np.ndarray:
@@ -121,29 +130,82 @@ def slot(hashes: np.ndarray, bits: int, depth: int) -> np.ndarray:
 def word_level(batches: Iterable[pa.RecordBatch], home: str, bits: int) -> Iterator[pa.RecordBatch]:
     """Level 1: a shard's word hashes, and the running sums of their counts, both rising; and where each run of
     about eight hashes with like upper bits begins."""
-    for shard, keys, counts in by_shard(batches):
+    for _, shard, (keys, _, counts) in by_shard(batches):
         name, depth = f"{home}/words-{shard}-{uuid.uuid4().hex}", max(0, min(len(keys).bit_length() - 3, 32 - bits))
         runs = np.searchsorted(slot(keys, bits, depth), np.arange((1 << depth) + 1)).astype(np.int32)
         save(name, EliasFano.build(keys).arrays("hash") | EliasFano.build(np.cumsum(counts)).arrays("sum") | {"runs": runs})
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n": len(keys), "total": int(counts.sum())}])
 
 
+class Files:
+    """The files of a level's shards by a manifest in the shared folder, GROUP shards to a file of it; mapped when they are needed."""
+
+    def __init__(self, home: str, level: str, open_: Callable):
+        self.home, self.level, self.open = home, level, open_
+        self.names: dict[int, dict[int, str]] = {}
+        self.held: dict[int, object] = {}
+
+    def __call__(self, shard: int):
+        """What open_ makes of the shard's arrays; None if there is no such shard."""
+        if shard not in self.held:
+            group = shard // GROUP
+            if group not in self.names:
+                try:
+                    listing = load(f"{self.home}/{self.level}-manifest-{group}")
+                    ends = np.cumsum(listing["length"])
+                    text = bytes(listing["names"])
+                    self.names[group] = {int(s): text[e - n : e].decode() for s, e, n in zip(listing["shard"], ends, listing["length"], strict=True)}
+                except FileNotFoundError:
+                    self.names[group] = {}
+            if len(self.held) >= MOST_MAPPED:
+                self.held.clear()
+            name = self.names[group].get(shard)
+            self.held[shard] = self.open(load(name)) if name else None
+        return self.held[shard]
+
+
+def listed(batches: Iterable[pa.RecordBatch], home: str) -> Iterator[pa.RecordBatch]:
+    """Writes the manifest files of a level: rows (level, shard, name) come sorted by group."""
+    held: list[tuple[str, int, str]] = []
+
+    def done() -> int:
+        names = [n.encode() for _, _, n in held]
+        arrays = {"shard": np.array([s for _, s, _ in held], np.int64), "length": np.array([len(n) for n in names], np.int64), "names": np.frombuffer(b"".join(names), np.uint8)}
+        save(f"{home}/{held[0][0]}-manifest-{held[0][1] // GROUP}", arrays)
+        return len(held)
+
+    n = 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("level", "shard", "name")), strict=True):
+            if held and (held[0][0], held[0][1] // GROUP) != (row[0], row[1] // GROUP):
+                n += done()
+                held = []
+            held.append(row)
+    if held:
+        n += done()
+    yield pa.RecordBatch.from_pydict({"n": [n]})
+
+
+def write_manifest(rows: DataFrame, home: str) -> int:
+    """rows: level, shard, name. The number of files; nothing of them comes to the driver."""
+    rows = rows.withColumn("part", F.floor(F.col("shard") / GROUP))
+    return rows.repartition("level", "part").sortWithinPartitions("level", "part", "shard").mapInArrow(partial(listed, home=home), "n long").agg(F.sum("n")).first()[0] or 0
+
+
 class Words:
     """Level 1 of the trie, over its shards: word hashes to ids, which are their ranks, and ids to exact counts."""
 
-    def __init__(self, files: list[tuple[int, str, int, int]], bits: int):
-        self.bits, self.files = bits, files
-        self.first = np.cumsum([0] + [n for _, _, n, _ in files])
-        self.size, self.total = int(self.first[-1]), sum(t for *_, t in files)
-        self.levels: dict[int, dict] = {}
-        self.places = {s: k for k, (s, *_) in enumerate(files)}
+    def __init__(self, home: str):
+        table = load(f"{home}/words")
+        self.bits = int(table["bits"][0])
+        self.first, self.shards = np.concatenate([[0], np.cumsum(table["n"])]), np.array(table["shard"])
+        self.size, self.total = int(self.first[-1]), int(table["total"].sum())
+        self.places = {int(s): k for k, s in enumerate(self.shards)}
+        self.file = Files(home, "words", lambda a: (EliasFano.of(a, "hash"), EliasFano.of(a, "sum"), a["runs"]))
         self.memo = Memo(self.look_up)
 
     def level(self, k: int) -> tuple[EliasFano, EliasFano, np.ndarray]:
-        if k not in self.levels:
-            arrays = load(self.files[k][1])
-            self.levels[k] = (EliasFano.of(arrays, "hash"), EliasFano.of(arrays, "sum"), arrays["runs"])
-        return self.levels[k]
+        return self.file(int(self.shards[k]))
 
     def ids_of(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
@@ -178,6 +240,11 @@ class Words:
         ids = self.ids_of(hashes_of(words))
         return (np.minimum(self.counts_of(ids), MOST) << 32 | ids + 1).tolist()
 
+    def stop(self) -> int:
+        """What look_up would give for the end of a text."""
+        end = self.ids_of(np.array([END], np.uint64))
+        return int((np.minimum(self.counts_of(end), MOST) << 32 | end + 1)[0])
+
     def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Some texts at a time: what look_up gives for all their words in a row, and where each text begins and the last ends."""
         for _, codes, words, first in coded(column, "lower"):
@@ -194,32 +261,65 @@ CLEAR.append(SEEN.clear)
 
 def kept(key: str, make: Callable):
     """What a worker keeps of one model: its mapped levels and remembered words."""
-    claim(f"model {key.removesuffix('/pairs')}")
+    claim(f"model {key.removesuffix('/pairs').removesuffix('/triples')}")
     if key not in SEEN:
         SEEN[key] = make()
     return SEEN[key]
 
 
-def pair_counts(batches: Iterable[pa.RecordBatch], key: str, files: list, bits: int, shards: int) -> Iterator[pa.RecordBatch]:
-    words = kept(key, lambda: Words(files, bits))
-    end = int(words.ids_of(np.array([END], np.uint64))[0])
+def shards2(words: Words, context: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each context of one word: ids are ranks of hashes, so shards hold like numbers of words."""
+    return context * shards // words.size
+
+
+def shards3(words: Words, one: np.ndarray, two: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each context of two words. A word that is frequent (count) has its contexts dealt out to several shards by the
+    word before it, so no word's contexts are one shard's."""
+    several = np.minimum(shards, count * shards // max(words.total, 1) + 1)
+    return (one * shards // words.size + (scattered(two.astype(np.uint64) + np.uint64(1)) % several.astype(np.uint64)).astype(np.int64)) % shards
+
+
+def contexts_of(found: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each, and the one before that, as look_up gives words; before a text stands its end, twice."""
+    one = np.concatenate([[stop], found[:-1]])
+    two = np.concatenate([[stop], one[:-1]])
+    two[one == stop] = stop
+    return one, two
+
+
+def id_of(found: np.ndarray) -> np.ndarray:
+    return (found & 0xFFFFFFFF) - 1
+
+
+def gram_counts(batches: Iterable[pa.RecordBatch], key: str, shards: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (level 2) and, for order 3, runs of three words (level 3), counted for some tokens at a time."""
+    words = kept(key, lambda: Words(key))
+    stop = words.stop()
     parts, held = [], 0
 
-    def out() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return dealt(keys, counts, (keys >> np.uint64(32)).astype(np.int64) * shards // words.size)
+    def out() -> Iterator[pa.RecordBatch]:
+        found = np.concatenate(parts)
+        before, earlier = contexts_of(found, stop)
+        ids, one, two = id_of(found), id_of(before), id_of(earlier)
+        keys, counts = np.unique(one.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
+        context = (keys >> np.uint64(32)).astype(np.int64)
+        yield dealt((keys, np.zeros(len(keys), np.uint32), counts), shards2(words, context, shards), 2)
+        if order > 2:
+            alone, first = np.unique(one, return_index=True)
+            grams = summed(one.astype(np.uint64) << np.uint64(32) | two.astype(np.uint64), ids.astype(np.uint32), np.ones(len(ids), np.int64))
+            one = (grams[0] >> np.uint64(32)).astype(np.int64)
+            count = (before[first] >> 32)[np.searchsorted(alone, one)]
+            yield dealt(grams, shards3(words, one, (grams[0] & np.uint64(0xFFFFFFFF)).astype(np.int64), count, shards), 3)
 
     for batch in batches:
         for found, first in words.texts(batch.column(0)):
-            ids = np.insert(found & 0xFFFFFFFF, first[1:], end + 1) - 1  # with an end after each text
-            before = np.concatenate([[end], ids[:-1]])
-            parts.append(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-            held += len(ids)
+            parts.append(np.insert(found, first[1:], stop))  # with an end after each text
+            held += len(parts[-1])
             if held >= PAIRS_HELD:
-                yield out()
+                yield from out()
                 parts, held = [], 0
     if parts:
-        yield out()
+        yield from out()
 
 
 def bucket(counts: np.ndarray) -> np.ndarray:
@@ -227,98 +327,132 @@ def bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(counts < 4, counts, np.floor(2 * np.log2(np.maximum(counts, 1)))), BUCKETS - 1).astype(np.int64)
 
 
-def pair_level(batches: Iterable[pa.RecordBatch], home: str, key: str, files: list, bits: int) -> Iterator[pa.RecordBatch]:
-    """A shard's pairs and counts, and how often a pair was alone, by what its context's count is without it."""
-    words = kept(key, lambda: Words(files, bits))
-    for shard, keys, counts in by_shard(batches):
-        contexts = (keys >> np.uint64(32)).astype(np.int64)
+def gram_level(batches: Iterable[pa.RecordBatch], home: str, least: int) -> Iterator[pa.RecordBatch]:
+    """A shard's grams and counts, and how often a gram was alone, by what its context's count is without it.
+
+    Grams of three words that occur less than ``least`` times are counted in their contexts and not kept.
+    """
+    for level, shard, (keys, lower, counts) in by_shard(batches):
+        contexts, following = (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)) if level == 2 else (keys, lower)
         which, first = np.unique(contexts, return_index=True)
         total, alone = np.add.reduceat(counts, first), np.add.reduceat((counts == 1).astype(np.int64), first)
         b, more = bucket(total - 1), total > 1
-        name = f"{home}/raw-{shard}-{uuid.uuid4().hex}"
-        save(name, {"context": which, "first": np.append(first, len(keys)), "next": (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), "count": counts.astype(np.uint32)})
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n": len(keys), "alone": np.bincount(b[more], alone[more], BUCKETS).astype(np.int64).tolist(), "all": np.bincount(b[more], total[more], BUCKETS).astype(np.int64).tolist()}])
-
-
-def trie_level(batches: Iterable[pa.RecordBatch], home: str, key: str, files: list, bits: int, escape: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Level 2 of a shard: rising pointers from contexts to their successors; these in order, with quantised log10 probabilities.
-
-    p(w | u) = (1 - e) c(u w) / c(u) + e p(w), e the escape of u's bucket, p(w) the base: a distribution. Steps are
-    rounded down, so what is kept never sums to over 1.
+        stats = {"alone": np.bincount(b[more], alone[more], BUCKETS).astype(np.int64).tolist(), "all": np.bincount(b[more], total[more], BUCKETS).astype(np.int64).tolist()}
+        lengths = np.diff(np.append(first, len(keys)))
+        if level == 3 and least > 1:
+            stay = counts >= least
+            owner = np.repeat(np.arange(len(which)), lengths)[stay]
+            following, counts = following[stay], counts[stay]
+            lengths = np.bincount(owner, minlength=len(which))
+            which, total, lengths = which[lengths > 0], total[lengths > 0], lengths[lengths > 0]
+        name = f"{home}/raw{level}-{shard}-{uuid.uuid4().hex}"
+        save(name, {"context": which, "total": total, "first": np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), "next": following.astype(np.uint32), "count": counts.astype(np.uint32)})
+        yield pa.RecordBatch.from_pylist([{"level": level, "shard": shard, "name": name, **stats}])
+
+
+class Pairs:
+    """Level 2: rising pointers from contexts to their successors, these in rising runs, and quantised log10 probabilities."""
+
+    def __init__(self, home: str, words: Words, shards: int):
+        self.words, self.shards = words, shards
+        self.file = Files(home, "grams2", lambda a: (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pair: its rank among the context's successors (-1: none), its code, and log10 of the context's escape (0: no such context)."""
+        rank, code, escape = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
+        known = np.flatnonzero(context >= 0)
+        shard = np.full(len(context), -1, np.int64)
+        shard[known] = shards2(self.words, context[known], self.shards)
+        for s in np.unique(shard[known]).tolist():
+            if (level := self.file(s)) is None:
+                continue
+            contexts, pointers, following, codes, escapes = level
+            mine = np.flatnonzero(shard == s)
+            at, begin, end = spans(contexts, pointers, context[mine].astype(np.uint64))
+            seen = at >= 0
+            escape[mine[seen]] = escapes[at[seen]]
+            begin[word[mine] < 0] = end[word[mine] < 0] = 0
+            place = following.find(np.maximum(word[mine], 0), begin, end)
+            hit = place >= 0
+            rank[mine[hit]], code[mine[hit]] = place[hit] - begin[hit], codes[place[hit]]
+        return rank, code, escape
+
+
+def spans(contexts: EliasFano, pointers: EliasFano, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each context (-1: none), and where its run begins and ends."""
+    alone, back = np.unique(wanted, return_inverse=True)
+    at = contexts.first_not_below(alone)
+    hit = at < contexts.n
+    hit[hit] = contexts[at[hit]] == alone[hit]
+    begin, end = np.zeros(len(alone), np.int64), np.zeros(len(alone), np.int64)
+    begin[hit], end[hit] = pointers[at[hit]].astype(np.int64), pointers[at[hit] + 1].astype(np.int64)
+    return np.where(hit, at, -1)[back], begin[back], end[back]
+
+
+class Triples:
+    """Level 3: contexts of two words; a successor is its rank among those of the context's last word, so that it is a small number."""
+
+    def __init__(self, home: str, words: Words, shards: int):
+        self.words, self.shards = words, shards
+        self.file = Files(home, "grams3", lambda a: (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
+
+    def find(self, one: np.ndarray, two: np.ndarray, rank: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each run of words (two, one, the one of this rank after one): its code (-1: none) and log10 of the context's escape. count: of one."""
+        code, escape = np.full(len(one), -1.0), np.zeros(len(one))
+        known = np.flatnonzero((one >= 0) & (two >= 0))
+        context = one[known].astype(np.uint64) << np.uint64(32) | two[known].astype(np.uint64)
+        shard = shards3(self.words, one[known], two[known], count[known], self.shards)
+        for s in np.unique(shard).tolist():
+            if (level := self.file(s)) is None:
+                continue
+            contexts, pointers, following, codes, escapes = level
+            here = np.flatnonzero(shard == s)
+            mine = known[here]
+            at, begin, end = spans(contexts, pointers, context[here])
+            seen = at >= 0
+            escape[mine[seen]] = escapes[at[seen]]
+            begin[rank[mine] < 0] = end[rank[mine] < 0] = 0
+            place = following.find(np.maximum(rank[mine], 0), begin, end)
+            hit = place >= 0
+            code[mine[hit]] = codes[place[hit]]
+        return code, escape
+
+
+def trie_level(batches: Iterable[pa.RecordBatch], home: str, level: int, shards: int, escape: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A shard of level 2 or 3 with quantised smoothed probabilities.
+
+    p(w | u) = (1 - e) c(u w) / c(u) + s p(w | shorter u), e the escape of u's bucket, s what the kept grams leave: a
+    distribution. The shorter context of one word is none: the base. Steps are rounded down, so what is kept never sums to over 1.
     """
-    words = kept(key, lambda: Words(files, bits))
+    words = kept(home, lambda: Words(home))
+    pairs = kept(f"{home}/pairs", lambda: Pairs(home, words, shards)) if level == 3 else None
     for batch in batches:
         for shard, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = load(name)
-            first, following, counts = raw["first"], np.array(raw["next"]), np.array(raw["count"]).astype(np.float64)
-            total = np.add.reduceat(counts, first[:-1])
+            first, following, counts, total = np.array(raw["first"]), np.array(raw["next"]), np.array(raw["count"]).astype(np.float64), np.array(raw["total"]).astype(np.float64)
+            context, lengths = np.array(raw["context"]).astype(np.uint64), np.diff(first)
             e = escape[bucket(total.astype(np.int64))]
-            lengths = np.diff(first)
-            distinct, back = np.unique(following, return_inverse=True)
-            base = 10.0 ** words.base(words.counts_of(distinct.astype(np.int64)))[back]
-            p = np.repeat((1 - e) / total, lengths) * counts + np.repeat(e, lengths) * base
-            code = np.minimum(np.ceil(-np.log10(p) * STEP), 65535).astype(np.uint16)
-            low, high = int(raw["context"][0]), int(raw["context"][-1])
-            pointers = np.zeros(high - low + 2, np.int64)
-            pointers[raw["context"] - low + 1] = lengths
-            weight = np.zeros(high - low + 1, np.float32)
-            weight[raw["context"] - low] = np.log10(e)
-            out = f"{home}/pairs-{shard}-{uuid.uuid4().hex}"
-            save(out, EliasFano.build(np.cumsum(pointers)).arrays("pointer") | {"next": following, "code": code, "escape": weight})
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "name": out, "low": low, "high": high}])
-
-
-class Trie:
-    """Words and, by shards of the context's id, their successors."""
-
-    def __init__(self, words: Words, files: list[tuple[int, str, int, int]]):
-        self.words, self.files, self.levels = words, files, {}
-        self.low = np.array([low for _, _, low, _ in files], np.int64)
-        self.high = np.array([high for _, _, _, high in files], np.int64)
-
-    def level(self, k: int) -> tuple[EliasFano, dict]:
-        if k not in self.levels:
-            arrays = load(self.files[k][1])
-            self.levels[k] = (EliasFano.of(arrays, "pointer"), arrays)
-        return self.levels[k]
-
-    def log_probabilities(self, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 p(word | context) for ids (-1: unknown) given the words' log10 base probabilities.
-
-        A pair is sought among the successors of its context only, between that context's two pointers, by halving
-        all ranges together. If it isn't there, the base stands with the context's escape.
-        """
-        out = base.copy()
-        which = np.searchsorted(self.low, context, "right") - 1
-        known = (context >= 0) & (which >= 0)
-        known[known] = context[known] <= self.high[which[known]]
-        for k in np.unique(which[known]).tolist():
-            mine = np.flatnonzero(known & (which == k))
-            pointers, arrays = self.level(k)
-            local, back = np.unique(context[mine] - self.low[k], return_inverse=True)
-            begin, end = pointers[local].astype(np.int64), pointers[local + 1].astype(np.int64)
-            seen = (end > begin)[back]
-            out[mine[seen]] += arrays["escape"][local][back][seen]
-            mine, back = mine[seen & (word[mine] >= 0)], back[seen & (word[mine] >= 0)]
-            low, high, target, following = begin[back], end[back], word[mine].astype(np.uint32), arrays["next"]
-            last, active = high.copy(), np.arange(len(mine))
-            while len(active):
-                middle = (low[active] + high[active]) >> 1
-                less = following[middle] < target[active]
-                low[active] = np.where(less, middle + 1, low[active])
-                high[active] = np.where(less, high[active], middle)
-                active = active[low[active] < high[active]]
-            hit = low < last
-            hit[hit] = following[low[hit]] == target[hit]
-            out[mine[hit]] = -arrays["code"][low[hit]].astype(np.float64) / STEP
-        return out
-
-
-def scored(batches: Iterable[pa.RecordBatch], key: str, files: list, bits: int, pairs: list) -> Iterator[pa.RecordBatch]:
-    words = kept(key, lambda: Words(files, bits))
-    trie = kept(f"{key}/pairs", lambda: Trie(words, pairs))
-    end = int(words.ids_of(np.array([END], np.uint64))[0]) if words.size else -1
-    stop = int(np.minimum(words.counts_of(np.array([end])), MOST)[0]) << 32 | end + 1
+            kept_mass = np.add.reduceat(counts, first[:-1]) / total if len(counts) else np.zeros(0)
+            left = 1 - (1 - e) * kept_mass
+            if level == 2:
+                distinct, back = np.unique(following, return_inverse=True)
+                lower = 10.0 ** words.base(words.counts_of(distinct.astype(np.int64)))[back]
+            else:
+                last = np.repeat((context >> np.uint64(32)).astype(np.int64), lengths)
+                both, back = np.unique(last.astype(np.uint64) << np.uint64(32) | following.astype(np.uint64), return_inverse=True)
+                rank, code, _ = pairs.find((both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                lower, following = 10.0 ** (-code / STEP)[back], rank[back]
+            p = np.repeat((1 - e) / total, lengths) * counts + np.repeat(left, lengths) * lower
+            codes = np.minimum(np.ceil(-np.log10(p) * STEP), 65535).astype(np.uint16)
+            out = f"{home}/grams{level}-{shard}-{uuid.uuid4().hex}"
+            save(out, EliasFano.build(context).arrays("context") | EliasFano.build(first).arrays("pointer") | Runs.build(following, first).arrays("next") | {"code": codes, "escape": np.log10(left).astype(np.float32)})
+            yield pa.RecordBatch.from_pylist([{"level": f"grams{level}", "shard": shard, "name": out}])
+
+
+def scored(batches: Iterable[pa.RecordBatch], key: str, shards: int, order: int) -> Iterator[pa.RecordBatch]:
+    words = kept(key, lambda: Words(key))
+    pairs, triples = kept(f"{key}/pairs", lambda: Pairs(key, words, shards)), kept(f"{key}/triples", lambda: Triples(key, words, shards))
+    stop = words.stop()
     for batch in batches:
         done = 0
         for found, first in words.texts(batch.column(1)):
@@ -326,42 +460,59 @@ def scored(batches: Iterable[pa.RecordBatch], key: str, files: list, bits: int,
             done += len(first) - 1
             lengths = np.diff(first) + 1
             both = np.insert(found, first[1:], stop)
-            ids, counts = (both & 0xFFFFFFFF) - 1, both >> 32
+            ids, counts = id_of(both), both >> 32
             many = counts == MOST
             counts[many] = words.counts_of(ids[many])
             first = np.cumsum(lengths) - lengths
-            before = np.concatenate([[end], ids[:-1]])
             base = words.base(counts) if words.size else np.zeros(len(ids))
-            pair, again = np.unique((before + 1) << 32 | (ids + 1), return_inverse=True)
-            one = np.empty(len(pair))
-            one[again] = base
-            one = trie.log_probabilities((pair >> 32) - 1, (pair & 0xFFFFFFFF) - 1, one) if words.size else one
+            score = log_probabilities(both, base, stop, pairs, triples if order > 2 else None) if words.size else base
             known = np.add.reduceat((counts > 0).astype(np.int64), first)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(one[again], first))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def log_probabilities(found: np.ndarray, base: np.ndarray, stop: int, pairs: Pairs, triples: Triples | None) -> np.ndarray:
+    """log10 p of each token after the two before it; each different pair and run of three is sought once.
+
+    What isn't found at a level has the shorter context's probability, times the longer one's escape.
+    """
+    before, earlier = contexts_of(found, stop)
+    one, ids = id_of(before), id_of(found)
+    pair, first, back = np.unique((one + 1) << 32 | (ids + 1), return_index=True, return_inverse=True)
+    rank, code, escape = pairs.find(one[first], ids[first])
+    shorter = np.where(rank >= 0, -code / STEP, base[first] + escape)
+    if triples is None:
+        return shorter[back]
+    gram, again = np.unique(back.astype(np.int64) << 32 | (earlier & 0xFFFFFFFF), return_inverse=True)
+    which = gram >> 32
+    code, escape = triples.find(one[first[which]], id_of(gram), rank[which], (before >> 32)[first[which]])
+    return np.where(code >= 0, -code / STEP, shorter[which] + escape)[again]
 
 
 class Model:
-    """A trained model: the names of its files in the shared folder, and what is needed to use them."""
+    """A trained model: its folder of files in the shared folder, and what is needed to use them."""
 
-    def __init__(self, key: str, bits: int, words: list, pairs: list):
-        self.key, self.bits, self.words, self.pairs = key, bits, words, pairs
-        self.train_tokens = sum(w[3] for w in words)
+    def __init__(self, home: str, shards: int, order: int, train_tokens: int):
+        self.home, self.shards, self.order, self.train_tokens = home, shards, order, train_tokens
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score of every row's whole text; a null text is an empty one."""
         small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return small.mapInArrow(partial(scored, key=self.key, files=self.words, bits=self.bits, pairs=self.pairs), SCORES)
+        return small.mapInArrow(partial(scored, key=self.home, shards=self.shards, order=self.order), SCORES)
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 3, least: int = 2) -> Model:
     """A model of the texts of docs (null: empty), in files of the shared folder.
 
-    Words and pairs are counted in each task, sent to shards as sorted, compressed runs, and merged there, each
-    shard by itself; a shard writes its part of a level and only its name and sizes come to the driver. Shards
-    grow in number with the input. Files carry a random name, and those of a task that was run again are
-    not referred to. Escapes are estimated by leaving out each pair once: how often it is then unseen, for contexts
-    of like count. Equal hashes (64 bits) would make two words one.
+    Words, pairs and runs of three words are counted in each task, sent to shards as sorted, compressed runs, and merged there,
+    each shard by itself; a shard writes its part of a level, whose name goes into a manifest beside it. Shards grow in
+    number with the input; only sums come to the driver, and a row for each of the words' shards, of which there are as many as
+    shuffle partitions. Files carry a random name, and those of a task that was run again are not referred to. Escapes
+    are estimated by leaving out each gram once: how often it is then unseen, for contexts of like count. Runs of three
+    are kept from ``least`` occurrences on. Equal hashes (64 bits) would make two words one; over 2 ** 32 - 2 different words
+    are refused.
     """
+    if order not in (2, 3) or least < 1:
+        raise ValueError("order is 2 or 3, least 1 or more")
     spark = docs.sparkSession
     small_batches(spark)
     home = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
@@ -370,24 +521,38 @@ def train(docs: DataFrame) -> Model:
     bits = (parts - 1).bit_length()
 
     def sharded(rows: DataFrame, shards: int) -> DataFrame:
-        return rows.repartition(min(shards, 4 * parts), "shard").sortWithinPartitions("shard")
+        return rows.repartition(min(shards, 4 * parts), "level", "shard").sortWithinPartitions("level", "shard")
 
     counted = sharded(texts.mapInArrow(partial(word_counts, bits=bits), DEALT), 1 << bits)
     files = sorted(tuple(r) for r in counted.mapInArrow(partial(word_level, home=home, bits=bits), "shard long, name string, n long, total long").collect())
-    if not files:
-        return Model(home, bits, [], [])
-    tokens = sum(f[3] for f in files)
+    columns = [np.array([f[k] for f in files], np.int64) for k in (0, 2, 3)]
+    save(f"{home}/words", {"bits": np.array([bits]), "shard": columns[0], "n": columns[1], "total": columns[2]})
+    tokens, size = int(columns[2].sum()), int(columns[1].sum())
+    if not tokens:
+        return Model(home, 1, order, 0)
+    if size > (1 << 32) - 2:
+        raise ValueError("too many different words")
+    write_manifest(spark.createDataFrame([("words", f[0], f[1]) for f in files], "level string, shard long, name string"), home)
     shards = max(parts, -(-tokens // PAIRS_PER_SHARD))
-    raw = sharded(texts.mapInArrow(partial(pair_counts, key=home, files=files, bits=bits, shards=shards), DEALT), shards)
-    found = raw.mapInArrow(partial(pair_level, home=home, key=home, files=files, bits=bits), "shard long, name string, n long, alone array<long>, all array<long>").collect()
-    alone, total = np.sum([r["alone"] for r in found], axis=0), np.sum([r["all"] for r in found], axis=0)
-    escape = np.clip((alone + 0.9) / (total + 1.0), 0.001, 0.999)
-    names = spark.createDataFrame([(r["shard"], r["name"]) for r in found], "shard long, name string").repartition(len(found))
-    made = names.mapInArrow(partial(trie_level, home=home, key=home, files=files, bits=bits, escape=escape), "shard long, name string, low long, high long")
-    pairs = sorted((tuple(r) for r in made.collect()), key=lambda r: r[2])
-    for r in found:
-        remove(r["name"])
-    return Model(home, bits, files, pairs)
+    raw = sharded(texts.mapInArrow(partial(gram_counts, key=home, shards=shards, order=order), DEALT), shards)
+    found = checkpointed(raw.mapInArrow(partial(gram_level, home=home, least=least), "level long, shard long, name string, alone array<long>, all array<long>"))
+    for level in range(2, order + 1):
+        rows = found.where(F.col("level") == level)
+        sums = rows.select(F.posexplode(F.arrays_zip("alone", "all")).alias("at", "v")).groupBy("at").agg(F.sum("v.alone"), F.sum("v.all")).collect()
+        alone, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for at, a, n in sums:
+            alone[at], total[at] = a, n
+        escape = np.clip((alone + 0.9) / (total + 1.0), 0.001, 0.999)
+        names = rows.select("shard", "name").repartition(min(shards, 4 * parts), "shard")
+        made = checkpointed(names.mapInArrow(partial(trie_level, home=home, level=level, shards=shards, escape=escape), "level string, shard long, name string"))
+        write_manifest(made, home)
+        rows.select("name").foreachPartition(remove_all)
+    return Model(home, shards, order, tokens)
+
+
+def remove_all(rows: Iterable) -> None:
+    for r in rows:
+        remove(r[0])
 
 
 def held_out() -> Column:

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,24 @@ CLEAR: list = []
 CLAIMED: list[str] = [""]
 
 
+#: glibc's mallopt(): blocks of a megabyte or more are mapped by themselves, free memory over as much goes back, one arena.
+KEPT_FREE = ((-3, 1 << 20), (-1, 1 << 20), (-8, 1))
+
+
+@lru_cache(maxsize=1)
+def give_back_early() -> None:
+    """Has the C library, and Arrow through it, return what is freed; otherwise a worker keeps the most that it ever held."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        library = ctypes.CDLL(None)
+        for what, value in KEPT_FREE:
+            library.mallopt(what, value)
+
+
 def claim(operator: str) -> None:
     """A worker serves many operators in turn and keeps things for one: those of the one before are dropped here, and the
     memory is given back."""
+    give_back_early()
     if CLAIMED[0] != operator:
         CLAIMED[0] = operator
         for f in CLEAR:

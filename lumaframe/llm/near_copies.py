@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm.components import components
 from lumaframe.llm.memo import claim
-from lumaframe.llm.shared import broadcast_if_small, checkpointed, small_batches, thinned
+from lumaframe.llm.shared import broadcast_if_small, checkpointed, fresh, small_batches, thinned
 from lumaframe.llm.shingle_sets import judged, row_mark, scattered, shingle_sets
 from lumaframe.llm.simhash import CHECKS, LENGTH, golay, syndromes
 
@@ -344,3 +344,15 @@ def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Da
     tops = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
     lookup = checkpointed(named.join(tops, "root").select("id", "root", "component_id"))
     return rows.select("doc_id", "row", "id").join(lookup, "id").select("doc_id", "row", "root", "component_id")
+
+
+def distinct_rows(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
+    """docs with one row of each class of near-duplicates, all columns: that with the least doc_id, or one without if none has any.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id or have none are judged by their own texts.
+    """
+    rows = similar_classes(docs, shingle, share)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best")
+    row = fresh("row", docs)
+    stays = rows.groupBy("root").agg(best).select(F.col("best.row").alias(row))
+    return docs.withColumn(row, row_mark()).join(stays, row, "left_semi").dropDuplicates([row]).select(*[F.col(c) for c in docs.columns])

@@ -20,6 +20,8 @@ STEP_TOKENS = 65_536
 REMEMBER = 400_000
 BUFFER_TOKENS = 1 << 20
 MARK = "\ue000"
+#: Words that are encoded in one call; the library holds some hundred bytes for each token meanwhile.
+AT_ONCE = 4000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 
@@ -43,11 +45,13 @@ def encoder(path: str, remember: int):
     mark = ids_of(MARK)
 
     def make(words: list[str]) -> list[bytes]:
-        """Many words in one call, with a word between them whose ids no word here has."""
-        if any(MARK in w for w in words):
-            return [ids_of(w) for w in words]
-        found = ids_of(f" {MARK} ".join(words)).split(mark) if words else []
-        return found if len(found) == len(words) else [ids_of(w) for w in words]
+        """Some words in one call, with a word between them whose ids no word here has."""
+        out: list[bytes] = []
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            found = [] if any(MARK in w for w in some) else ids_of(f" {MARK} ".join(some)).split(mark)
+            out += found if len(found) == len(some) else [ids_of(w) for w in some]
+        return out
 
     memo = Memo(make, remember)
 

@@ -102,3 +102,9 @@ def fresh(name: str, *dfs: DataFrame) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    """Removes a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

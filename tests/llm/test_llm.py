@@ -303,38 +303,78 @@ def test_elias_fano():
         assert (ef.first_not_below(probes) == np.searchsorted(values, probes)).all()
 
 
-def test_lm_scores(spark, texts):
-    got = {r["doc_id"]: r for r in lm_scoring.scores(documents(spark, texts)).collect()}
+def escapes(grams, context):
+    """The escape of each context: how often grams were seen once, by what their context's count is without them."""
+    alone, seen = Counter(), Counter()
+    for g, n in grams.items():
+        if context[g[:-1]] > 1:
+            k = int(lm_scoring.bucket(np.array([context[g[:-1]] - 1]))[0])
+            alone[k] += n == 1
+            seen[k] += n
+    return lambda u: min(0.999, max(0.001, (alone[k := int(lm_scoring.bucket(np.array([context[u]]))[0])] + 0.9) / (seen[k] + 1)))
+
+
+@pytest.mark.parametrize(("order", "least"), [(3, 2), (3, 1), (2, 1)])
+def test_lm_scores(spark, texts, order, least, monkeypatch):
+    """Against a brute-force model in dictionaries. Small tables are held, so that counts are merged from many runs."""
+    monkeypatch.setattr(lm_scoring, "PAIRS_PER_SHARD", 700)
+    model = lm_scoring.train(documents(spark, texts).where(~lm_scoring.held_out()), order, least)
+    got = {r["doc_id"]: r for r in model.score(documents(spark, texts)).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in texts}
     train = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 5 != 1]
-    counts, pairs, context = Counter(), Counter(), Counter()
+    counts, pairs, triples, context = Counter(), Counter(), Counter(), Counter()
     for i in train:
         counts.update(tokens[i])
-        for a, b in zip([None, *tokens[i]], tokens[i], strict=False):
-            pairs[a, b] += 1
-            context[a] += 1
+        for a, b, c in zip([None, None, *tokens[i]], [None, *tokens[i]], tokens[i], strict=False):
+            pairs[b, c] += 1
+            triples[b, a, c] += 1
+            context[b,] += 1
+            context[b, a] += 1
     total, size = sum(counts.values()), len(counts)
     base = lambda w: math.log10((counts[w] + 0.5) / (total + 0.5 * (size + 1)))
-    alone, seen = Counter(), Counter()
-    for (a, _), n in pairs.items():
-        if context[a] > 1:
-            k = int(lm_scoring.bucket(np.array([context[a] - 1]))[0])
-            alone[k] += n == 1
-            seen[k] += n
-    escape = lambda a: min(0.999, max(0.001, (alone[k := int(lm_scoring.bucket(np.array([context[a]]))[0])] + 0.9) / (seen[k] + 1)))
+    two, three = escapes(pairs, context), escapes(triples, context)
+    kept = Counter()
+    for g, n in triples.items():
+        kept[g[:-1]] += n if n >= least else 0
+
+    def after_one(b, c):
+        if pairs[b, c]:
+            return math.log10((1 - two((b,))) * pairs[b, c] / context[b,] + two((b,)) * 10 ** base(c))
+        return base(c) + (math.log10(two((b,))) if context[b,] else 0)
+
+    def after_two(a, b, c):
+        e, shorter = three((b, a)), after_one(b, c)
+        left = 1 - (1 - e) * kept[b, a] / context[b, a] if kept[b, a] else 1
+        if triples[b, a, c] >= least:
+            return math.log10((1 - e) * triples[b, a, c] / context[b, a] + left * 10**shorter)
+        return shorter + math.log10(left)
+
+    assert model.train_tokens == total
     for i, w in tokens.items():
-        assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(counts[x] > 0 for x in w) and got[i]["train_tokens"] == total
+        assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(counts[x] > 0 for x in w)
         assert got[i]["base_score"] == pytest.approx(sum(map(base, w)), rel=1e-9)
-        score = 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            if pairs[a, b]:
-                score += math.log10((1 - escape(a)) * pairs[a, b] / context[a] + escape(a) * 10 ** base(b))
-            else:
-                score += base(b) + (math.log10(escape(a)) if context[a] else 0)
-        assert got[i]["score"] == pytest.approx(score, abs=len(w) / lm_scoring.STEP + 1e-4 * len(w))
+        score = sum(after_two(a, b, c) if order == 3 else after_one(b, c) for a, b, c in zip([None, None, *w], [None, *w], w, strict=False))
+        assert got[i]["score"] == pytest.approx(score, abs=2 * len(w) / lm_scoring.STEP + 1e-4 * len(w))
+
+
+def test_lm_rows(spark):
+    rows = documents(spark, [(1, "a b"), (1, "a b"), (None, "a"), (None, None), (3, "")])
+    got = lm_scoring.scores(rows).collect()
+    assert len(got) == 5 and sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 3]
     assert lm_scoring.scores(documents(spark, [])).count() == 0
 
 
+def test_runs_in_one_sequence():
+    rng = np.random.default_rng(8)
+    runs = [np.unique(rng.integers(0, 50, int(rng.integers(1, 30)))) for _ in range(200)]
+    first = np.cumsum([0] + [len(r) for r in runs])
+    held = elias_fano.Runs(elias_fano.Runs.build(np.concatenate(runs), first))
+    for k in range(0, 200, 7):
+        at = held.find(np.arange(50), np.full(50, first[k]), np.full(50, first[k + 1]))
+        assert [int(v) for v in np.flatnonzero(at >= 0)] == runs[k].tolist()
+        assert (at[runs[k]] == first[k] + np.arange(len(runs[k]))).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
