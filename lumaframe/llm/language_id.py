@@ -209,7 +209,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: in
 
     Learns from at most docs_per_lang documents a language, those with the least hash of doc_id, and from at most
     twice words_per_doc words of each, taken evenly from the whole text. These are the bounds of what comes to the
-    driver. The ids are chosen before any text is read.
+    driver, whatever rows share a doc_id. The ids are chosen before any text is read.
     """
     ids = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -217,6 +217,8 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: in
     if not chosen:
         return Network(1), []
     rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang"), F.col("text"))
+    repeated = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # rows that share a doc_id count too
+    rows = rows.withColumn("_n", F.row_number().over(repeated)).where(F.col("_n") <= docs_per_lang).drop("_n")
     found = rows.mapInArrow(partial(sampled, words_per_doc=words_per_doc), "doc_id long, lang string, words binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["words"])))
     langs = sorted({r["lang"] for r in found})

@@ -42,7 +42,7 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, radius=2)
+    rows = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     digits = F.lower(F.hex("fp"))
     return rows.select("doc_id", F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]).alias("fingerprint"), "component_id")
 

@@ -20,13 +20,6 @@ LENGTH, CHECKS, GENERATOR = 23, 11, 0b110001110101
 SEED = 42
 #: Segments of a 64-bit fingerprint: first bit and width.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Keys for each segment of a wide fingerprint.
-PARTNERS = 2
-#: Bits of a wide fingerprint that a key takes as they are.
-PLAIN = 8
-#: Bits of a wide fingerprint in its id, and how many of them may differ in a pair that is compared at all: at a
-#: similarity of 0.8 there are 6 on average, with a deviation of 2.3; in unrelated texts 20.
-SHOWN, MOST_SHOWN = 40, 14
 BLOCK = 4096
 
 
@@ -80,26 +73,13 @@ def nearby(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([at, rows]), np.concatenate([x ^ least[s], x[rows] ^ more[rows, cols]]) >> CHECKS
 
 
-def mixed(h: np.ndarray, words: int) -> np.ndarray:
-    """So many 64-bit hashes from each 64-bit hash; the first is the hash itself."""
-    out = np.empty((len(h), words), np.uint64)
-    out[:, 0] = h
-    with np.errstate(over="ignore"):
-        for k in range(1, words):
-            z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out[:, k] = z ^ (z >> np.uint64(31))
-    return out
-
-
-def fingerprint(text: str, shingle: int, words: int) -> bytes:
-    """words x 64 bits, little-endian: a bit is 1 if it is set in over half of the shingles' hashes."""
+def fingerprint(text: str, shingle: int) -> bytes:
+    """64 bits, little-endian: a bit is 1 if it is set in over half of the shingles' hashes, repeats included."""
     import xxhash
 
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return bytes(8)
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
@@ -107,31 +87,26 @@ def fingerprint(text: str, shingle: int, words: int) -> bytes:
     starts, stops = (ends - lengths)[:n].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    counts = np.zeros(64 * words, np.int64)
+    counts = np.zeros(64, np.int64)
     for i in range(0, n, 255):
-        block = mixed(hashes[i : i + 255], words).view(np.uint8)
+        block = hashes[i : i + 255, None].view(np.uint8)
         counts += np.add.reduce(np.unpackbits(block, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
-def fingerprinted(batches: Iterable[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
+def fingerprinted(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     claim("")
     for batch in batches:
-        prints = [fingerprint(t.as_py() or "", shingle, words) for t in batch.column(1)]
-        ids = [int.from_bytes(p if words == 1 else xxhash.xxh64_digest(p)[:3] + p[: SHOWN // 8], "little", signed=True) for p in prints]
+        prints = [fingerprint(t.as_py() or "", shingle) for t in batch.column(1)]
+        ids = [int.from_bytes(p, "little", signed=True) for p in prints]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "id", "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, id (long) and fp (binary, little-endian) of every row; a null text is an empty one.
-
-    id is the fingerprint itself if it has 64 bits, otherwise its first SHOWN bits over 24 bits of its hash.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, id and fp of every row: the fingerprint as a long and as 8 bytes, little-endian; a null text is an empty one."""
     small_batches(docs.sparkSession)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small.mapInArrow(partial(fingerprinted, shingle=shingle, words=words), "doc_id long, id long, fp binary")
+    return small.mapInArrow(partial(fingerprinted, shingle=shingle), "doc_id long, id long, fp binary")
 
 
 def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,37 +124,16 @@ def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(keys)
 
 
-def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of wide fingerprints: the nearest codeword of a segment with PLAIN further bits as they are.
-
-    12 segments to 5 words; the bits that are left make groups, and each segment goes with PARTNERS of these.
-    """
-    words = prints.shape[1]
-    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-    n = words * 12 // 5
-    rest = bits[:, LENGTH * n :]
-    groups = rest.shape[1] // PLAIN
-    extra = rest[:, : groups * PLAIN].reshape(len(bits), groups, PLAIN).astype(np.int64) @ (1 << np.arange(PLAIN))
-    weights = 1 << np.arange(LENGTH)
-    places, keys = [], []
-    for k in range(n):
-        index = nearest(bits[:, LENGTH * k : LENGTH * (k + 1)].astype(np.int64) @ weights)
-        for j in range(PARTNERS):
-            places.append(np.arange(len(prints)))
-            keys.append(np.int64(PARTNERS * k + j) << 24 | index << PLAIN | extra[:, (PARTNERS * k + j) % groups])
-    return np.concatenate(places), np.concatenate(keys)
-
-
 def words_of(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
 
 
-def keyed(batches: Iterable[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            places, keys = (exact_keys if exact else wide_keys)(words_of(part.column(1)))
+            places, keys = exact_keys(words_of(part.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.asarray(part.column(0))[places])], ["key", "id"])
 
 
@@ -213,15 +167,14 @@ def bucketed(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
 
     def done() -> list[tuple[int, int]]:
         ids = np.array([r[3] for r in held], np.int64)
-        prints = np.frombuffer(b"".join(r[5] for r in held), "<u8").reshape(len(held), -1)
-        return forest(ids, prints, None if held[0][1] == held[0][2] else np.array([r[4] for r in held]), radius)
+        return forest(ids, ids.view(np.uint64)[:, None], None if held[0][1] == held[0][2] else np.array([r[4] for r in held]), radius)
 
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
         found = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "id", "side", "fp")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "id", "side")), strict=True):
             if held and held[0][:3] != row[:3]:
                 found += done()
                 held = []
@@ -231,47 +184,45 @@ def bucketed(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield out(done())
 
 
-def links(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
+def links(prints: DataFrame, radius: int) -> DataFrame:
     """a, b: links between ids of fingerprints that share a key and are at most radius bits apart.
 
     prints: id, fp, distinct and written. Only a forest of a bucket's links is made, never all its pairs. Buckets
     with the same members are compared once. A bucket of over BLOCK members is dealt out by blocks: every two of
     its blocks meet in a bucket of their own, so no task holds more than two blocks and no pair is left out. A bucket
-    of two is settled by the bits that their ids show before anything else is fetched.
+    of two is settled by its ids, which are the fingerprints.
     """
-    keys = prints.select("id", "fp").mapInArrow(partial(keyed, exact=exact), "key long, id long")
+    keys = prints.select("id", "fp").mapInArrow(keyed, "key long, id long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("n > 1")
-    apart = F.bit_count(F.shiftrightunsigned(F.col("low").bitwiseXOR(F.col("high")), 0 if exact else 64 - SHOWN))
-    sizes = sizes.where((F.col("n") > 2) | (apart <= (radius if exact else MOST_SHOWN)))
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("high")))
+    sizes = sizes.where((F.col("n") > 2) | (apart <= radius))
     kept = checkpointed(sizes.groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key")))
-    pairs = kept.where("n = 2").select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), F.explode(F.array("low", "high")).alias("id"), F.lit(0).alias("side"))
+    sure = kept.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("a"), F.greatest(j, F.col("mine")).alias("b"), F.when(j < F.col("mine"), 1).otherwise(0).alias("side")))
     more = keys.join(kept.where("n > 2").select("key", blocks.alias("blocks")), "key").withColumn("mine", mine)
-    more = more.withColumn("m", F.explode(meets)).select("key", "m.a", "m.b", "id", "m.side")
-    members = pairs.unionByName(more).join(prints.select("id", "fp"), "id")
+    members = more.withColumn("m", F.explode(meets)).select("key", "m.a", "m.b", "id", "m.side")
     ordered = members.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side", "id")
-    return ordered.mapInArrow(partial(bucketed, radius=radius), "a long, b long")
+    return sure.unionByName(ordered.mapInArrow(partial(bucketed, radius=radius), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2) -> DataFrame:
-    """doc_id, fp (binary), component_id of every row: the classes of documents whose fingerprints link.
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, fp (binary), component_id of every row: the classes of documents whose 64-bit fingerprints link.
 
-    Fingerprints at most radius bits apart link if they share a Golay key. One word of 64 bits and radius 2: every
-    such pair does. Wider fingerprints: radius is a limit for the check, and the keys find most pairs (see README).
+    Fingerprints at most radius bits apart (2 at most) link; each such pair shares a Golay key, so none is lost.
     component_id is the least doc_id of the documents reachable by links, the row's own included (null only where
     all of them are null). Equal fingerprints are one node, whatever their number. A document without words
-    has fingerprint zero and links like any other; a null text is an empty one; an empty table gives no rows.
+    has fingerprint zero and links like any other; a null text is an empty one, texts of any length are taken whole; rows with
+    equal or null doc_id stay apart; an empty table gives no rows; other columns are ignored.
     """
-    exact = words == 1
-    if exact and radius > 2:
-        raise ValueError("64-bit fingerprints are compared at 2 bits or fewer")
-    rows = checkpointed(fingerprints(docs, shingle, words))
+    if not 0 <= radius <= 2:
+        raise ValueError("fingerprints are compared at 2 bits or fewer")
+    rows = checkpointed(fingerprints(docs, shingle))
     classes = checkpointed(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    found = checkpointed(links(classes, radius, exact).distinct())
+    found = checkpointed(links(classes, radius).distinct())
     roots = components(found)
-    named = classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = checkpointed(classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    tops = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that the join can split a large class
     lookup = checkpointed(named.join(tops, "root").select("id", "component_id"))
     return rows.join(lookup, "id").select("doc_id", "fp", "component_id")

@@ -95,7 +95,7 @@ def test_golay_keys_find_all_pairs_within_two_bits(spark):
     prints = [int(x) for x in base] + [int(x) ^ 1 << int(rng.integers(64)) ^ 1 << int(rng.integers(64)) for x in base for _ in range(8)]
     prints = list(dict.fromkeys(prints))
     rows = [(int(np.uint64(p).astype(np.int64)), p.to_bytes(8, "little")) for p in prints]
-    found = simhash.links(spark.createDataFrame(rows, "id long, fp binary"), 2, True)
+    found = simhash.links(spark.createDataFrame(rows, "id long, fp binary"), 2)
     roots = {r["id"]: r["root"] for r in components(found).collect()}
     ours = defaultdict(set)
     for i, _ in rows:
@@ -110,23 +110,10 @@ def test_large_buckets_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 5)
     prints = [(1 << 40) + (1 << k) for k in range(22)] + [1 << 40]
     rows = [(p, p.to_bytes(8, "little")) for p in prints]
-    found = simhash.links(spark.createDataFrame(rows, "id long, fp binary"), 2, True)
+    found = simhash.links(spark.createDataFrame(rows, "id long, fp binary"), 2)
     assert {r["root"] for r in components(found).collect()} == {min(prints)}
 
 
-def test_wide_fingerprints_find_near_copies(spark):
-    rng = np.random.default_rng(3)
-    vocabulary = [f"word{k}" for k in range(3000)]
-    texts = []
-    for k in range(30):
-        w = [vocabulary[int(i)] for i in rng.integers(0, 3000, 300)]
-        texts.append((2 * k, " ".join(w)))
-        w[int(rng.integers(300))] = "changed"
-        texts.append((2 * k + 1, " ".join(w)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, texts), shingle=5, words=20, radius=206).collect()}
-    assert got == {i: i // 2 * 2 for i in range(60)}
-
-
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
