@@ -9,7 +9,7 @@ from lumaframe.operators import kernels as K
 from lumaframe.operators.images import on_pixels
 from lumaframe.plans.inputs import IM, PV, images, pairs, rows
 from lumaframe.plans.kernel_sql import COLORS, KERNELS
-from lumaframe.plans.vision_sql import STEPS
+from lumaframe.plans.vision_sql import HASHES, STEPS
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,8 +83,9 @@ measure("gmsd", K.gmsd)
 
 
 def vector(name: str, f, result: str) -> None:
-    if name in COLORS:
-        QUERIES[name], ORACLE[name] = lambda spark, sf: rows(images(spark, sf), on_pixels(f, F.col("px"), 8, result)), COLORS[name]
+    if sql := COLORS.get(name) or HASHES.get(name):
+        tidy = lambda c: c if result == "array<bigint>" else F.transform(c, lambda v: F.round(v, 6) + F.lit(0.0))
+        QUERIES[name], ORACLE[name] = lambda spark, sf: rows(images(spark, sf), tidy(on_pixels(f, F.col("px"), 8, result))), sql
         return
     QUERIES[name] = lambda spark, sf: images(spark, sf).select("img_id", on_pixels(f, F.col("px"), 8, result).alias("h"))
 

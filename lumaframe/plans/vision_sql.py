@@ -7,7 +7,7 @@ import numpy as np
 from lumaframe.operators.evaluation import THRESHOLDS
 from lumaframe.operators.kernels import WHITE, XYZ
 from lumaframe.plans.inputs import BOX, IM, PV
-from lumaframe.plans.kernel_sql import _BGR, BYTE, G5, _three, around, bilinear, offsets, values
+from lumaframe.plans.kernel_sql import _BGR, BYTE, G5, _three, around, bilinear, offsets, scaled, values
 
 _NEXT = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) n(dy, dx)"
 _MIRROR16 = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 15 THEN 30 - ({0}) ELSE {0} END"
@@ -84,3 +84,45 @@ _EVALUATED = f"""WITH RECURSIVE {BOX}, dt AS (SELECT *, row_number() OVER (PARTI
  ap AS (SELECT cls, level, sum(p) / 101 AS ap FROM pts GROUP BY cls, level)"""
 EVALUATED = f"{_EVALUATED} SELECT CAST(cls AS VARCHAR) AS cls, CAST(level AS INT) AS level, round(ap, 6) AS ap FROM ap"
 MEAN_AP = f"{_EVALUATED} SELECT round(avg(CASE WHEN level = 0 THEN ap END), 6) AS map50, round(avg(ap), 6) AS map50_95 FROM ap"
+
+_C16 = f"{PV}, {scaled(16, 16)}, p16 AS (SELECT img_id, list(v ORDER BY i) AS q FROM s GROUP BY img_id), c16 AS (SELECT img_id, CAST(t AS INT) AS i, CAST(t // 16 AS INT) AS y, CAST(t % 16 AS INT) AS x, q[t + 1] AS b, q[t % 16 * 16 + t // 16 + 1] AS g, 255 - q[t + 1] AS r FROM p16, range(256) r(t))"
+_T = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - 1) * 11 + (y - 1) * 8) / 185.0::DOUBLE))"
+
+
+def _painted(share: str) -> list[str]:
+    """Green over the three channels, by its share of each pixel."""
+    return [f"round_even({c} + ({share}) * ({k} - {c}), 0)" for c, k in (("b", 0), ("g", 255), ("r", 0))]
+
+
+_ON_LINE = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - sqrt((x - 1 - {_T} * 11) ** 2 + (y - 1 - {_T} * 8) ** 2)))"
+_ON_CIRCLE = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - abs(sqrt((x - 8) ** 2.0 + (y - 8) ** 2.0) - 5)))"
+_ON_FRAME = "CASE WHEN x BETWEEN 2 AND 10 AND y BETWEEN 3 AND 10 AND (x IN (2, 10) OR y IN (3, 10)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+_RAY = "(SELECT img_id, px, CAST(t AS INT) AS i, (t % 8 - 4) / 8.0::DOUBLE AS x, (t // 8 - 4) / 8.0::DOUBLE AS y FROM pv, range(64) r(t))"
+
+
+def _mapped(bend: str) -> str:
+    """Both coordinates of a map: first all of x, then all of y."""
+    rays = f"m AS (SELECT *, {bend} AS k FROM (SELECT *, sqrt(x * x + y * y) AS d FROM {_RAY}))"
+    return f"WITH {PV}, {rays} SELECT img_id, i, round(x * k * 8 + 4, 4) AS v FROM m UNION ALL SELECT img_id, i + 64, round(y * k * 8 + 4, 4) FROM m"
+
+
+_PIECE = "CASE WHEN gy < 8 AND gx < 8 THEN px[gy * 8 + gx + 1] WHEN gy < 8 AND gx > 9 THEN px[(gx - 10) * 8 + gy + 1] WHEN gy > 9 AND gx < 8 THEN 255 - px[(gy - 10) * 8 + gx + 1] ELSE 0 END"
+VISION |= {
+    "draw_line": f"WITH {_C16} {_three('c16', *_painted(_ON_LINE))}",
+    "draw_circle": f"WITH {_C16} {_three('c16', *_painted(_ON_CIRCLE))}",
+    "draw_rectangle": f"WITH {_C16} {_three('c16', *_painted(_ON_FRAME))}",
+    "montage": f"WITH {PV}, t AS (SELECT img_id, px, t, t // 3 // 18 AS gy, t // 3 % 18 AS gx FROM pv, range(972) r(t)) SELECT img_id, CAST(t AS INT) AS i, ({_PIECE})::DOUBLE AS v FROM t",
+    "top_k_classes": f"WITH {IM}, k AS (SELECT img_id, x, v, row_number() OVER (PARTITION BY img_id ORDER BY v DESC, x) - 1 AS r FROM im WHERE y = 0) SELECT img_id, CAST(2 * r + e AS INT) AS i, CASE e WHEN 0 THEN x::DOUBLE ELSE round(v / 255.0::DOUBLE, 4) END AS v FROM k, range(2) s(e) WHERE r < 3",
+    "instance_masks": f"WITH {PV} SELECT img_id, CAST(t AS INT) AS i, CASE WHEN 1 / (1 + exp(-((px[t + 1] / 128.0::DOUBLE - 1) + 0.5::DOUBLE * (px[t + 33] / 128.0::DOUBLE - 1)))) >= 0.5::DOUBLE THEN 1 ELSE 0 END::DOUBLE AS v FROM pv, range(32) r(t)",
+    "undistort_map": _mapped("1 + d * d * (px[1] / 2550.0::DOUBLE) + d * d * d * d * 0.01::DOUBLE"),
+    "fisheye_init_rectify_map": _mapped("CASE WHEN d > 1e-12::DOUBLE THEN atan(d) * (1 + atan(d) * atan(d) * (px[1] / 2550.0::DOUBLE)) / d ELSE 1 END"),
+}
+
+_LINES = "ln AS (SELECT k, r, CAST(least(63, greatest(0, round_even(31.5::DOUBLE + (r - 31) * cos(pi() * k / 40), 0))) AS INT) AS x, CAST(least(63, greatest(0, round_even(31.5::DOUBLE + (r - 31) * sin(pi() * k / 40), 0))) AS INT) AS y FROM range(40) a(k), range(63) b(r))"
+_COSINES = "cs AS (SELECT u, n, cos(pi() * (2 * n + 1) * u / 64) * CASE WHEN u = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END AS c FROM range(8) a(u), range(32) b(n))"
+#: By query, of those that give a list of numbers as they are.
+HASHES: dict[str, str] = {
+    "radial_variance_hash": f"WITH {PV}, {scaled(64, 64)}, p64 AS (SELECT img_id, list(v ORDER BY i) AS q FROM s GROUP BY img_id), {_LINES} SELECT img_id, CAST(k AS INT) AS i, round(var_pop(q[y * 64 + x + 1]), 6) AS v FROM p64, ln GROUP BY img_id, k",
+    "p_hash": f"""WITH {PV}, {scaled(32, 32)}, {_COSINES}, h AS (SELECT s.img_id, s.i // 32 AS y, cs.u, sum(cs.c * s.v) AS v FROM s JOIN cs ON cs.n = s.i % 32 GROUP BY ALL), d AS (SELECT h.img_id, cs.u * 8 + h.u - 1 AS k, sum(cs.c * h.v) AS v FROM h JOIN cs ON cs.n = h.y GROUP BY ALL),
+ m AS (SELECT img_id, avg(v) AS m FROM d WHERE k >= 0 GROUP BY img_id) SELECT d.img_id, 0 AS i, CAST(sum(CASE WHEN d.v > m.m THEN CAST(1 AS BIGINT) << k ELSE 0 END) AS BIGINT) AS v FROM d JOIN m USING (img_id) WHERE k >= 0 GROUP BY d.img_id""",
+}
