@@ -16,6 +16,7 @@ from lumaframe.operators import markers as R
 from lumaframe.operators import motion as M
 from lumaframe.operators import photo as P
 from lumaframe.operators import tracking as T
+from lumaframe.operators import windows as N
 from lumaframe.operators.images import on_pixels
 from lumaframe.plans.inputs import BOX, boxes, images, rows, table
 from lumaframe.plans.kernel_sql import COLORS
@@ -137,6 +138,12 @@ image_query("stereo_rectify", lambda a: C.stereo_rectify(_K, _K, C.rotation(pose
 image_query("stereo_bm", lambda a: C.stereo_bm(enlarged(a), np.roll(enlarged(a), -3, 1), 8, 5))
 image_query("stereo_sgbm", lambda a: C.stereo_sgbm(enlarged(a, 16), np.roll(enlarged(a, 16), -3, 1), 8, 3))
 image_query("detect_aruco", lambda a: R.detect_aruco(np.pad(R.generate_aruco(R.aruco_dict(20), int(a.sum()) % 20, 48), 16, constant_values=220), R.aruco_dict(20))[0])
+image_query("draw_aruco", lambda a: R.draw_markers(color(a, 32), [(int(a.sum()) % 20, np.array([[4.0, 4], [26, 4], [26, 26], [4, 26]]))]))
+#: A cascade of one stump: the right half of a window is brighter than the left one.
+_STUMP = N.Cascade(12, 12, (np.array([[0, 0, 12, 12, -1.0], [6, 0, 6, 12, 2.0]]),), ((0.5, ((np.array([[0, -1, 0, 0.25]]), np.array([0.0, 1.0])),)),))
+image_query("detect_haar", lambda a: N.detect_haar(enlarged(a, 40), _STUMP, 1.2, 2))
+image_query("hog_descriptor", lambda a: N.hog_descriptor(enlarged(a, 32)))
+image_query("detect_hog", lambda a: N.detect_hog(enlarged(a, 48), np.append(N.hog_descriptor(enlarged(np.tile(np.arange(0, 256, 32), (8, 1)), 32)), -8.0), (32, 32), 1.3))
 image_query("refine_corners", lambda a: R.refine_corners(enlarged(a), np.array([[16.0, 16]])))
 image_query("yolo_decode", lambda a: I.yolo(np.concatenate([a[:, :4] / 4.0, a[:, 4:5] / 255.0, np.eye(8)[:, :3]], axis=1)[None], 64, 64, (64, 64), 0.3, 0.4, ["a", "b"], "v5"))
 image_query("ssd_decode", lambda a: I.ssd(np.concatenate([np.zeros((8, 1)), np.arange(8)[:, None] % 2, a[:, :1] / 255.0, a[:, 1:3] / 510.0, 0.5 + a[:, 3:5] / 510.0], axis=1), 64, 64))
