@@ -103,21 +103,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     last document comes the first, and a lone document follows itself. A null text is an empty one.
 
     Texts are shuffled once, by blocks of neighbours in that order. The bounds of the blocks come from exact row
-    numbers of the ids, at most MOST_BLOCKS of them; a block's first document also goes, as neighbour only, to the
-    block before. Rows that share a doc_id are in one block. Other columns of docs are ignored.
+    numbers of ids and text hashes, at most MOST_BLOCKS of them; a block's first document also goes, as neighbour only, to the
+    block before. Rows that share a doc_id, or have none, are in several blocks, but for those that share the text too.
+    Texts of any length are taken whole; an empty table gives no rows; other columns of docs are ignored.
     """
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last()]
-    ids, n = numbered(small.select("doc_id"), order)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()]
+    ids, n = numbered(small.select("doc_id", F.xxhash64("text").alias("mark")), order)
     step = max(BLOCK, -(-n // MOST_BLOCKS))
-    bounds = sorted({r[0] if r[0] is not None else -(1 << 63) for r in ids.where(F.col("row_number") % step == 0).select("doc_id").collect()}, reverse=True)
+    bounds = {(r[0] if r[0] is not None else -(1 << 63), r[1]) for r in ids.where(F.col("row_number") % step == 0).select("doc_id", "mark").collect()}
+    bounds = sorted(bounds, key=lambda b: (-b[0], b[1]))
     count = max(1, len(bounds))
-    table = f"array({', '.join(_long(b) for b in bounds or [0])})"
+    table, marks = (f"array({', '.join(_long(b[k]) for b in bounds or [(0, 0)])})" for k in (0, 1))
     steps = ", ".join(str(1 << k) for k in range(count.bit_length() - 1, -1, -1))
     own = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     keyed = small.withColumns({"key": own, "mark": F.xxhash64("text")})
-    found = F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(p + s <= {count} and get({table}, p + s - 1) >= key, p + s, p)) - 1")
-    keyed = keyed.withColumn("at", found).withColumn("first", F.expr(f"get({table}, at) = key"))
+    found = F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(p + s <= {count} and (get({table}, p + s - 1) > key or get({table}, p + s - 1) = key and get({marks}, p + s - 1) <= mark), p + s, p)) - 1")
+    keyed = keyed.withColumn("at", found).withColumn("first", F.expr(f"get({table}, at) = key and get({marks}, at) = mark"))
     homes = F.expr(f"if(first, array(named_struct('block', at, 'own', true), named_struct('block', pmod(at - 1, {count}), 'own', false)), array(named_struct('block', at, 'own', true)))")
     dealt = keyed.withColumn("home", F.explode(homes)).select("home.block", "home.own", "doc_id", "mark", "text")
 

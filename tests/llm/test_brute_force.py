@@ -70,6 +70,15 @@ def test_multiset_fingerprints(spark):
         assert abs(r["near_edited"] - likeness(mine, theirs)) < 1e-9 and abs(r["near_next"] - likeness(mine, following)) < 1e-9
 
 
+def test_rows_without_or_with_one_doc_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(multiset_hash, "BLOCK", 4)
+    rows = [(i, f"text {i}\nx {i * i}") for i in range(30)] + [(None, f"none {i} a b c d e f") for i in range(20)] + [(7, f"seven {i}") for i in range(20)] + [(7, "seven 1")] * 9
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in multiset_hash.edited_fingerprints(documents(spark, [(*r, "l") for r in rows])).collect()]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), np.uint64(chained(r[1])).astype(np.int64)))
+    want = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()) for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_labels_of_whole_texts(spark):
     """The same network, a byte at a time and a text at a time."""
     rng = np.random.default_rng(1)
