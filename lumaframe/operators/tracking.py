@@ -215,7 +215,7 @@ def track(detections: DataFrame, kind: str, **options) -> DataFrame:
 
 
 def frame_matches(tracks: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """source_id, frame, gt_id, track_id, iou: per frame, truths in order of id take the free track of greatest overlap over the threshold."""
+    """source_id, frame, gt_id, track_id, iou: per frame, pairs by falling overlap over the threshold, each truth and track once."""
     require(0 <= threshold <= 1, "threshold must be from 0 to 1")
 
     def run(g: Columns) -> Columns:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumaframe.errors import FormatError, require
+from lumaframe.operators.running import running_sums
 from lumaframe.operators.views import positions
 from lumaframe.schema import BBOX
 
@@ -116,21 +117,30 @@ def imwrite(df: DataFrame, folder: str, name: str = "name") -> DataFrame:
 
 
 def split_by_rank(df: DataFrame, by: list[str], key: str, test: float, val: float, seed: int, order: tuple[str, str, str], most: int | None = None) -> DataFrame:
-    """df with ``split``: within each group, rows in a seeded order are cut at the floors of the ratios.
+    """df with ``split``: within each group, rows in a seeded order are cut at the floors of the ratios. key: unique in its group.
 
-    order: the names of the first, second and last cut; the last takes what is left if it is train.
+    order: the names of the first, second and last cut; the last takes what is left if it is train. Only the keys are put in
+    order, by range partitions and their sums, so that neither images move nor one group, or all rows, is one task.
     """
     require(test >= 0 and val >= 0 and test + val < 1, "ratios must be 0 or more, and together under 1")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1
+    keys = df.select(*by, key)
     if most is not None:
         require(most > 0, "the most a class may have is over 0")
-        df = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("_k") <= most).drop("_k")
-    n = F.count("*").over(Window.partitionBy(*by))
+        keys = running_sums(keys, [key], {"_k": F.lit(1).cast("long")}, tuple(by)).where(F.col("_k") <= most).drop("_k")
+    ranked = running_sums(keys.withColumn("_o", F.xxhash64(key, F.lit(seed))), ["_o", key], {"_r": F.lit(1).cast("long")}, tuple(by))
+    totals = ranked.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    ranked, n = ranked.join(totals, same) if by else ranked.join(F.broadcast(totals)), F.col("_n")  # without groups, totals is one row
     sizes = {"val": F.floor(n * val), "test": F.floor(n * test)}
     sizes["train"] = n - sizes["val"] - sizes["test"]
-    a = sizes[order[0]]
-    b = a + sizes[order[1]]
-    return df.withColumns({"_r": rank, "_a": a, "_b": b}).withColumn("split", F.when(F.col("_r") < F.col("_a"), order[0]).when(F.col("_r") < F.col("_b"), order[1]).otherwise(order[2])).drop("_r", "_a", "_b")
+    cut = F.when(F.col("_r") <= sizes[order[0]], order[0]).when(F.col("_r") <= sizes[order[0]] + sizes[order[1]], order[1]).otherwise(order[2])
+    cuts = ranked.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col(key).alias("_key"), cut.alias("split"))
+    met = F.col(key) == F.col("_key")
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    return df.join(cuts, met).select(*[df[c] for c in df.columns], "split")
 
 
 def load_dataset(spark: SparkSession, root: str, test_ratio: float = 0.2, val_ratio: float = 0.1, max_per_class: int | None = None, seed: int = 0) -> DataFrame:
