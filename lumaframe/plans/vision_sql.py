@@ -7,7 +7,7 @@ import numpy as np
 from lumaframe.operators.evaluation import THRESHOLDS
 from lumaframe.operators.kernels import WHITE, XYZ
 from lumaframe.plans.inputs import BOX, IM, PV
-from lumaframe.plans.kernel_sql import _BGR, BYTE, G5, _three, around, bilinear, offsets, scaled, values
+from lumaframe.plans.kernel_sql import _BGR, BYTE, G5, MIRROR, _three, around, bilinear, offsets, scaled, values
 
 _NEXT = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) n(dy, dx)"
 _MIRROR16 = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 15 THEN 30 - ({0}) ELSE {0} END"
@@ -126,3 +126,31 @@ HASHES: dict[str, str] = {
     "p_hash": f"""WITH {PV}, {scaled(32, 32)}, {_COSINES}, h AS (SELECT s.img_id, s.i // 32 AS y, cs.u, sum(cs.c * s.v) AS v FROM s JOIN cs ON cs.n = s.i % 32 GROUP BY ALL), d AS (SELECT h.img_id, cs.u * 8 + h.u - 1 AS k, sum(cs.c * h.v) AS v FROM h JOIN cs ON cs.n = h.y GROUP BY ALL),
  m AS (SELECT img_id, avg(v) AS m FROM d WHERE k >= 0 GROUP BY img_id) SELECT d.img_id, 0 AS i, CAST(sum(CASE WHEN d.v > m.m THEN CAST(1 AS BIGINT) << k ELSE 0 END) AS BIGINT) AS v FROM d JOIN m USING (img_id) WHERE k >= 0 GROUP BY d.img_id""",
 }
+
+
+def _bent(bend: str) -> str:
+    """Samples of the image at the bent places of its pixels; outside it stands 0."""
+    x, y = "((tx - 4) / 8.0::DOUBLE)", "((ty - 4) / 8.0::DOUBLE)"
+    k = bend.format(f"sqrt({x} * {x} + {y} * {y})")
+    return f"WITH {PV}, {bilinear(8, 8, f'{x} * ({k}) * 8 + 4', f'{y} * ({k}) * 8 + 4', True)} SELECT img_id, i, v FROM s"
+
+
+_POSE = """v AS (SELECT img_id, [x / 255.0::DOUBLE FOR x IN px] AS v FROM pv), a AS (SELECT img_id, v[1] * 0.4::DOUBLE - 0.2::DOUBLE AS rx, v[2] * 0.4::DOUBLE - 0.2::DOUBLE AS ry, v[3] * 0.4::DOUBLE - 0.2::DOUBLE AS rz,
+ v[4] * 0.1::DOUBLE - 0.1::DOUBLE AS tx, v[5] * 0.1::DOUBLE - 0.1::DOUBLE AS ty, 0.4::DOUBLE + v[6] * 0.2::DOUBLE AS tz FROM v), n AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS t FROM a),
+ u AS (SELECT *, CASE WHEN t < 1e-12::DOUBLE THEN 0 ELSE rx / t END AS x, CASE WHEN t < 1e-12::DOUBLE THEN 0 ELSE ry / t END AS y, CASE WHEN t < 1e-12::DOUBLE THEN 0 ELSE rz / t END AS z FROM n)"""
+#: A point turned about the axis (x, y, z) by t: p cos t + axis x p sin t + axis (axis . p)(1 - cos t); the board lies in the plane 0.
+_TURNED = """b AS (SELECT CAST(k AS INT) AS k, k % 5 * 0.03::DOUBLE AS px, k // 5 * 0.03::DOUBLE AS py FROM range(20) r(k)),
+ c AS (SELECT img_id, k, px * cos(t) - z * py * sin(t) + x * (x * px + y * py) * (1 - cos(t)) + tx AS cx, py * cos(t) + z * px * sin(t) + y * (x * px + y * py) * (1 - cos(t)) + ty AS cy, (x * py - y * px) * sin(t) + z * (x * px + y * py) * (1 - cos(t)) + tz AS cz FROM u, b),
+ q AS (SELECT img_id, k, cx / cz AS x, cy / cz AS y, cx / cz * (cx / cz) + cy / cz * (cy / cz) AS r FROM c),
+ d AS (SELECT img_id, k, x * (1 + r * (0.1::DOUBLE - r * 0.05::DOUBLE)) + 0.002::DOUBLE * x * y + 0.001::DOUBLE * (r + 2 * x * x) AS x, y * (1 + r * (0.1::DOUBLE - r * 0.05::DOUBLE)) + 0.001::DOUBLE * (r + 2 * y * y) + 0.002::DOUBLE * x * y AS y FROM q)"""
+VISION |= {
+    "undistort": _bent("1 + {0} * {0} * (0.1::DOUBLE + {0} * {0} * 0.01::DOUBLE)"),
+    "fisheye_undistort": _bent("CASE WHEN {0} > 1e-12::DOUBLE THEN atan({0}) * (1 + atan({0}) * atan({0}) * (0.05::DOUBLE + atan({0}) * atan({0}) * 0.01::DOUBLE)) / {0} ELSE 1 END"),
+    "project_points": f"WITH {PV}, {_POSE}, {_TURNED} SELECT img_id, 2 * k AS i, round(x * 500 + 320, 4) AS v FROM d UNION ALL SELECT img_id, 2 * k + 1, round(y * 510 + 240, 4) FROM d",
+}
+#: Means over 5 x 5 shifts, weighted by the mirrored 3 x 3 means of the squared differences.
+STEPS["nl_means_denoising"] = f"""WITH {PV}, sh AS (SELECT a - 2 AS sy, b - 2 AS sx, a * 5 + b AS s FROM range(5) q(a), range(5) r(b)),
+ df AS (SELECT pv.img_id, s, CAST(t AS INT) AS i, px[({MIRROR.format('(t // 8 + sy)')}) * 8 + ({MIRROR.format('(t % 8 + sx)')}) + 1] AS q, px[t + 1] AS v FROM pv, sh, range(64) g(t)),
+ dl AS (SELECT img_id, s, list((q - v) * (q - v) ORDER BY i) AS d, list(q ORDER BY i) AS q FROM df GROUP BY img_id, s),
+ nb AS (SELECT img_id, s, CAST(t AS INT) AS i, q[t + 1] AS q, d[({MIRROR.format('(t // 8 + dy)')}) * 8 + ({MIRROR.format('(t % 8 + dx)')}) + 1] AS d FROM dl, range(64) g(t), (VALUES {values(offsets(3))}) o(dy, dx)),
+ w AS (SELECT img_id, s, i, any_value(q) AS q, exp(-avg(d) / 100) AS w FROM nb GROUP BY ALL) SELECT img_id, i, {BYTE.format('sum(w * q) / sum(w)')} AS v FROM w GROUP BY img_id, i"""
