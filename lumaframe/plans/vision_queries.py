@@ -163,7 +163,7 @@ def _per_source(spark, sf):
 def _tracked(kind):
     def run(spark, sf):
         out = T.track(_per_source(spark, sf), kind)
-        return out.select("source_id", "frame", "track_id", *[F.round(c, 4).alias(c) for c in ("x", "y", "w", "h", "confidence")], "age", "is_confirmed")
+        return out.select("source_id", "frame", "track_id", *[F.round(c, 4).alias(c) for c in ("x", "y", "w", "h")], F.round("confidence", 6).alias("confidence"), "age", "is_confirmed")
 
     return run
 
@@ -193,6 +193,10 @@ def background_models(spark, sf):
 
 
 QUERIES |= {f.__name__: f for f in (tracking_eval, background_models)}
+#: A user's two boxes stay 200 apart and move by at most 7 and 6 a frame, so each overlaps itself by over 0.4 and no other: track k follows box k.
+_LANES = "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events), b AS (SELECT source_id, frame, CAST(k AS INT) AS k, (3 * frame + event_id % 5 + 200 * k)::DOUBLE AS x, (event_id % 7)::DOUBLE AS y, round(value / 500 * (1 - 0.5::DOUBLE * k), 6) AS confidence FROM e, range(2) r(k))"
+ORACLE["iou_tracker"] = f"{_LANES} SELECT source_id, frame, k AS track_id, x, y, 30.0::DOUBLE AS w, 30.0::DOUBLE AS h, confidence, 0 AS age, true AS is_confirmed FROM b"
+ORACLE["tracking_eval"] = f"{_LANES} SELECT count(*) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 0::BIGINT AS id_switches, 1.0::DOUBLE AS mota, 1.0::DOUBLE AS motp, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS idf1 FROM b"
 
 
 def contour_measures(spark, sf):
