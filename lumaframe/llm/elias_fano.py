@@ -14,6 +14,12 @@ EACH, TOPS, FIVES, THREES, NIBBLES = (np.uint64(int(x * 8, 16)) for x in ("01",
 PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
 
 
+#: A marked sequence keeps one value in so many as it is.
+EVERY = 16
+#: Places that are looked up together.
+TOGETHER = 1 << 14
+
+
 class EliasFano:
     """A rising sequence of n unsigned integers in about 2 + log2(universe / n) bits each.
 
@@ -21,11 +27,12 @@ class EliasFano:
     among the bits of all high parts. Both live in plain arrays, so a sequence can be used straight from a file.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.before = n, low_bits, low, high, before
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray, marks: np.ndarray | None = None):
+        self.n, self.low_bits, self.low, self.high, self.before, self.marks = n, low_bits, low, high, before, marks
 
     @classmethod
-    def build(cls, values: np.ndarray) -> EliasFano:
+    def build(cls, values: np.ndarray, marked: bool = False) -> EliasFano:
+        """marked: every EVERY-th value is also kept as it is, for searches over the whole sequence."""
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
@@ -42,19 +49,22 @@ class EliasFano:
         high = np.zeros(((top >> low_bits) + n) // 64 * 8 + 8, np.uint8)
         np.bitwise_or.at(high, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
         before = np.concatenate([[0], np.cumsum(ONES[high], dtype=np.int64)])[:-1:8].astype(np.int64)
-        return cls(n, low_bits, low, high, before)
+        return cls(n, low_bits, low, high, before, values[::EVERY].copy() if marked else None)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.n": np.array([self.n, self.low_bits], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.before": self.before}
+        arrays = {f"{name}.n": np.array([self.n, self.low_bits], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.before": self.before}
+        return arrays if self.marks is None else arrays | {f"{name}.marks": self.marks}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, low_bits = arrays[f"{name}.n"].tolist()
-        return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.before"])
+        return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.before"], arrays.get(f"{name}.marks"))
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        """The values at these places (each in [0, n))."""
+        """The values at these places (each in [0, n)), some at a time, so that what is in hand stays in the processor's cache."""
         at = np.asarray(at, np.int64)
+        if len(at) > TOGETHER:
+            return np.concatenate([self[at[i : i + TOGETHER]] for i in range(0, len(at), TOGETHER)])
         block = np.searchsorted(self.before, at, "right") - 1
         left = (at - self.before[block]).astype(np.uint64)
         word = self.high.view(np.uint64)[block]
@@ -75,8 +85,13 @@ class EliasFano:
 
     def first_not_below(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
         """For each value the place of the first element that is not less, which lies in [low, high]; n if there is none."""
+        if low is None and high is None and self.marks is not None:
+            after = np.searchsorted(self.marks, values)
+            low, high = np.maximum(0, (after - 1) * EVERY + 1), np.minimum(self.n, after * EVERY)
         low = np.zeros(len(values), np.int64) if low is None else low.astype(np.int64)
         high = np.full(len(values), self.n, np.int64) if high is None else high.astype(np.int64)
+        if len(values) > TOGETHER:
+            return np.concatenate([self.first_not_below(values[i : i + TOGETHER], low[i : i + TOGETHER], high[i : i + TOGETHER]) for i in range(0, len(values), TOGETHER)])
         active = np.flatnonzero(low < high)
         while len(active):
             middle = (low[active] + high[active]) >> 1
@@ -159,13 +174,13 @@ def load(uri: str) -> dict[str, np.ndarray]:
 
     store, path = filesystem(uri)
     if isinstance(store, fs.LocalFileSystem):
-        memory = np.memmap(path, np.uint8, "r")
+        memory = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         with tempfile.TemporaryFile() as copy, store.open_input_stream(path) as source:
             while block := source.read(1 << 24):
                 copy.write(block)
             copy.flush()
-            memory = np.memmap(copy, np.uint8, "r")
+            memory = np.memmap(copy, np.uint8, "r").view(np.ndarray)
     size = int.from_bytes(memory[:8].tobytes(), "little")
     out = {}
     for name, (dtype, n, at) in json.loads(memory[8 : 8 + size].tobytes()).items():

@@ -351,11 +351,11 @@ def gram_level(batches: Iterable[pa.RecordBatch], home: str, least: int) -> Iter
 
 
 class Pairs:
-    """Level 2: rising pointers from contexts to their successors, these in rising runs, and quantised log10 probabilities."""
+    """Level 2: rising pointers from the ids of contexts to their successors, these in rising runs, and quantised log10 probabilities."""
 
     def __init__(self, home: str, words: Words, shards: int):
         self.words, self.shards = words, shards
-        self.file = Files(home, "grams2", lambda a: (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
+        self.file = Files(home, "grams2", lambda a: (int(a["low"][0]), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pair: its rank among the context's successors (-1: none), its code, and log10 of the context's escape (0: no such context)."""
@@ -366,11 +366,12 @@ class Pairs:
         for s in np.unique(shard[known]).tolist():
             if (level := self.file(s)) is None:
                 continue
-            contexts, pointers, following, codes, escapes = level
+            low, pointers, following, codes, escapes = level
             mine = np.flatnonzero(shard == s)
-            at, begin, end = spans(contexts, pointers, context[mine].astype(np.uint64))
-            seen = at >= 0
-            escape[mine[seen]] = escapes[at[seen]]
+            mine = mine[(context[mine] >= low) & (context[mine] < low + len(escapes))]
+            alone, back = np.unique(context[mine] - low, return_inverse=True)
+            begin, end = pointers[alone].astype(np.int64)[back], pointers[alone + 1].astype(np.int64)[back]
+            escape[mine] = escapes[alone][back]
             begin[word[mine] < 0] = end[word[mine] < 0] = 0
             place = following.find(np.maximum(word[mine], 0), begin, end)
             hit = place >= 0
@@ -445,7 +446,17 @@ def trie_level(batches: Iterable[pa.RecordBatch], home: str, level: int, shards:
             p = np.repeat((1 - e) / total, lengths) * counts + np.repeat(left, lengths) * lower
             codes = np.minimum(np.ceil(-np.log10(p) * STEP), 65535).astype(np.uint16)
             out = f"{home}/grams{level}-{shard}-{uuid.uuid4().hex}"
-            save(out, EliasFano.build(context).arrays("context") | EliasFano.build(first).arrays("pointer") | Runs.build(following, first).arrays("next") | {"code": codes, "escape": np.log10(left).astype(np.float32)})
+            escapes = np.log10(left).astype(np.float32)
+            if level == 2:  # a place for every id from the least to the greatest
+                low = int(context[0])
+                at, sizes = (context - np.uint64(low)).astype(np.int64), np.zeros(int(context[-1]) - low + 2, np.int64)
+                sizes[at + 1] = lengths
+                spread = np.zeros(len(sizes) - 1, np.float32)
+                spread[at] = escapes
+                arrays = {"low": np.array([low]), "escape": spread} | EliasFano.build(np.cumsum(sizes)).arrays("pointer")
+            else:
+                arrays = {"escape": escapes} | EliasFano.build(context, marked=True).arrays("context") | EliasFano.build(first).arrays("pointer")
+            save(out, arrays | Runs.build(following, first).arrays("next") | {"code": codes})
             yield pa.RecordBatch.from_pylist([{"level": f"grams{level}", "shard": shard, "name": out}])
 
 
