@@ -29,11 +29,11 @@ MISS = 0.001
 FEWER = 3
 #: Segments that make keys of two whole codewords, by which groups of copies are joined first.
 STARS = 8
-#: Bits of the first two words that may differ in a pair that is looked at: 19 of 128 on average at a similarity of
-#: 0.8, with a deviation of 4, 24 for sets of a few shingles, 64 for unrelated ones.
-MOST_APART = 40
+#: Fingerprints are let through to the check of the texts up to so many deviations over the bits that differ on average at the
+#: limit; SMALL / n of the bits more for sets of n shingles, as a few shingles make no normal sums.
+DEVIATIONS, SMALL = 3.2, 0.18
 #: Keys with more rows than this are laid out in blocks of BLOCK rows, by their whole fingerprints.
-DENSE, BLOCK = 128, 1024
+DENSE, BLOCK = 32, 1024
 #: Classes with more texts than this aren't laid against themselves.
 LARGE = 1024
 CHUNK = 1 << 15
@@ -187,13 +187,15 @@ def may_link(x: str, y: str, share: float) -> Column:
     """Whether the first words of two fingerprints and the sizes of the sets let them be similar enough."""
     c = lambda of, name: F.col(f"{of}.{name}")
     bits = F.bit_count(c(x, "s1").bitwiseXOR(c(y, "s1"))) + F.bit_count(c(x, "s2").bitwiseXOR(c(y, "s2")))
-    return (bits <= MOST_APART) & (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * share - 1e-6)
+    p = apart(share)
+    most = 128 * p + DEVIATIONS * math.sqrt(128 * p * (1 - p))
+    return (bits <= F.lit(most) + F.lit(128 * SMALL) / F.least(c(x, "n"), c(y, "n"))) & (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * share - 1e-6)
 
 
 def most_apart(sizes: np.ndarray, share: float) -> np.ndarray:
-    """Bits of whole fingerprints that may differ: four deviations over the average, more for sets of a few shingles."""
+    """Bits of whole fingerprints that may differ."""
     p, bits = apart(share), 64 * WORDS
-    return np.rint(bits * (p + 0.18 / np.maximum(sizes, 1)) + 4 * math.sqrt(bits * p * (1 - p))).astype(np.int64)
+    return np.rint(bits * (p + SMALL / np.maximum(sizes, 1)) + DEVIATIONS * math.sqrt(bits * p * (1 - p))).astype(np.int64)
 
 
 def laid(held: list[tuple], share: float, every: bool) -> list[tuple[int, int]]:
@@ -297,8 +299,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Da
 
     A text's SimHash fingerprint has 64 * WORDS bits, from its set of shingles, repeats counting once. Segments of it
     are decoded to their nearest Golay codewords, uncertain bits first; texts that share a codeword and some further bits
-    meet. Every link is checked on the whole sets. So no link is wrong; a pair just at the limit is missed with a
-    chance of about MISS (fewer above it), whatever the number of rows: keys get longer and more with log2 of it.
+    meet, and those whose fingerprints are near enough are checked on the whole sets. So no link is wrong; a pair just at the limit
+    is missed with a chance of about 0.002 (MISS and DEVIATIONS; fewer above it), whatever the number of rows: keys get longer
+    and more with log2 of it.
 
     Rows with equal sets are one node. Copies are joined first, by keys of two codewords, each text laid against the
     least of its key; then rows of different classes that share a key, all of them. Keys with many rows are laid out in
