@@ -393,14 +393,14 @@ def spans(contexts: EliasFano, pointers: EliasFano, wanted: np.ndarray) -> tuple
 class Triples:
     """Level 3: contexts of two words; a successor is its rank among those of the context's last word, so that it is a small number."""
 
-    def __init__(self, home: str, words: Words, shards: int):
-        self.words, self.shards = words, shards
+    def __init__(self, home: str, words: Words, shards: int, least: int):
+        self.words, self.shards, self.least = words, shards, least
         self.file = Files(home, "grams3", lambda a: (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
 
     def find(self, one: np.ndarray, two: np.ndarray, rank: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each run of words (two, one, the one of this rank after one): its code (-1: none) and log10 of the context's escape. count: of one."""
         code, escape = np.full(len(one), -1.0), np.zeros(len(one))
-        known = np.flatnonzero((one >= 0) & (two >= 0))
+        known = np.flatnonzero((one >= 0) & (two >= 0) & (count >= self.least))  # a rarer word has no kept grams
         context = one[known].astype(np.uint64) << np.uint64(32) | two[known].astype(np.uint64)
         shard = shards3(self.words, one[known], two[known], count[known], self.shards)
         for s in np.unique(shard).tolist():
@@ -460,9 +460,9 @@ def trie_level(batches: Iterable[pa.RecordBatch], home: str, level: int, shards:
             yield pa.RecordBatch.from_pylist([{"level": f"grams{level}", "shard": shard, "name": out}])
 
 
-def scored(batches: Iterable[pa.RecordBatch], key: str, shards: int, order: int) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterable[pa.RecordBatch], key: str, shards: int, order: int, least: int) -> Iterator[pa.RecordBatch]:
     words = kept(key, lambda: Words(key))
-    pairs, triples = kept(f"{key}/pairs", lambda: Pairs(key, words, shards)), kept(f"{key}/triples", lambda: Triples(key, words, shards))
+    pairs, triples = kept(f"{key}/pairs", lambda: Pairs(key, words, shards)), kept(f"{key}/triples", lambda: Triples(key, words, shards, least))
     stop = words.stop()
     for batch in batches:
         done = 0
@@ -502,13 +502,13 @@ def log_probabilities(found: np.ndarray, base: np.ndarray, stop: int, pairs: Pai
 class Model:
     """A trained model: its folder of files in the shared folder, and what is needed to use them."""
 
-    def __init__(self, home: str, shards: int, order: int, train_tokens: int):
-        self.home, self.shards, self.order, self.train_tokens = home, shards, order, train_tokens
+    def __init__(self, home: str, shards: int, order: int, least: int, train_tokens: int):
+        self.home, self.shards, self.order, self.least, self.train_tokens = home, shards, order, least, train_tokens
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score of every row's whole text; a null text is an empty one."""
         small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return small.mapInArrow(partial(scored, key=self.home, shards=self.shards, order=self.order), SCORES)
+        return small.mapInArrow(partial(scored, key=self.home, shards=self.shards, order=self.order, least=self.least), SCORES)
 
 
 def train(docs: DataFrame, order: int = 3, least: int = 2) -> Model:
@@ -540,7 +540,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2) -> Model:
     save(f"{home}/words", {"bits": np.array([bits]), "shard": columns[0], "n": columns[1], "total": columns[2]})
     tokens, size = int(columns[2].sum()), int(columns[1].sum())
     if not tokens:
-        return Model(home, 1, order, 0)
+        return Model(home, 1, order, least, 0)
     if size > (1 << 32) - 2:
         raise ValueError("too many different words")
     write_manifest(spark.createDataFrame([("words", f[0], f[1]) for f in files], "level string, shard long, name string"), home)
@@ -558,7 +558,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2) -> Model:
         made = checkpointed(names.mapInArrow(partial(trie_level, home=home, level=level, shards=shards, escape=escape), "level string, shard long, name string"))
         write_manifest(made, home)
         rows.select("name").foreachPartition(remove_all)
-    return Model(home, shards, order, tokens)
+    return Model(home, shards, order, least, tokens)
 
 
 def remove_all(rows: Iterable) -> None:
