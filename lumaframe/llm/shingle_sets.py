@@ -51,17 +51,26 @@ def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
                     yield scattered((of[a:b] * factor[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
 
 
-def judged(batches: Iterable[pa.RecordBatch], shingle: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Of the pairs (a, b, text_a, text_b) those whose sets are similar enough."""
+def compared(batches: Iterable[pa.RecordBatch], shingle: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Of the pairs (meet, a, b) those whose sets are similar enough; a meeting's texts (meet, a, null, text) stand before its pairs."""
     claim("")
-    for batch in batches:
-        left, right = (shingle_sets(batch.column(c), shingle) for c in (2, 3))
-        good = []
-        for s, t in zip(left, right, strict=True):
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            good.append(both >= share * (len(s) + len(t) - both) - 1e-9)
-        good = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in (0, 1)], ["a", "b"])
+    meet, sets = None, {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            has = batch.filter(batch.column("text").is_valid())
+            found, good = iter(list(shingle_sets(has.column("text"), shingle))), []
+            for m, a, b in zip(*(batch.column(c).to_pylist() for c in ("meet", "a", "b")), strict=True):
+                if m != meet:
+                    meet, sets = m, {}
+                if b is None:
+                    sets[a] = next(found)
+                    continue
+                s, t = sets[a], sets[b]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= share * (len(s) + len(t) - both) - 1e-9:
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in good], pa.int64()), pa.array([p[1] for p in good], pa.int64())], ["a", "b"])
 
 
 def row_mark() -> Column:

@@ -127,3 +127,38 @@ def test_rows_are_judged_by_their_own_text(spark):
     bench = spark.createDataFrame([(0, a)], "item_id long, text string")
     clean = decontamination.decontaminated(documents(spark, rows), bench).collect()
     assert sorted(map(tuple, clean), key=str) == sorted([r for r in rows if r[1] != a], key=str)
+
+
+def test_keys_dont_grow_with_moderate_tables():
+    """What is shuffled stays in proportion to the rows; larger tables need some keys more."""
+    assert near_copies.keys_for(50_000, 0.8).number == near_copies.keys_for(4_000_000, 0.8).number
+    assert near_copies.keys_for(15_000_000, 0.8).number < 2 * near_copies.keys_for(50_000, 0.8).number
+
+
+def test_texts_of_many_pairs_are_handed_out_once_a_meeting(spark):
+    """Not once a pair: 60 texts in 1770 pairs."""
+    whole = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    rows = near_copies.handed(whole, pairs, 8).collect()
+    given = {(r["meet"], r["a"]) for r in rows if r["b"] is None}
+    assert len(rows) == 1770 + len(given) and len(given) <= 60 * 8
+    assert all((r["meet"], c) in given for r in rows if r["b"] is not None for c in (r["a"], r["b"]))
+
+
+def test_pairs_come_from_the_least_key_they_share():
+    """Every near pair of a key once over all keys, with plain bits too."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=64 * near_copies.WORDS)
+    margins = np.rint(1e4 * (base + 0.3 * rng.normal(size=(90, len(base))))).astype(np.int64)
+    how = near_copies.Keys(12, 2, 0)
+    keys, _, near = near_copies.keys_of(margins, how)
+    prints = np.packbits(margins > 0, axis=1, bitorder="little").view("<u8")
+    ids = np.arange(90)
+    found = []
+    for key in np.unique(keys[keys >= 0]).tolist():
+        rows = np.flatnonzero((keys == key).any(axis=1))
+        g = near_copies.Group(key, np.zeros(len(rows), np.int64), ids[rows], ids[rows], np.full(len(rows), 1000), prints[rows], near[rows])
+        found += [tuple(sorted(p)) for a, b in near_copies.crossing(g, 0.8, how) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    away = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    meet = [(a, b) for a in range(90) for b in range(a + 1, 90) if away[a, b] <= near_copies.most_apart(np.array(1000), 0.8) and set(keys[a][keys[a] >= 0]) & set(keys[b][keys[b] >= 0])]
+    assert len(meet) > 1000 and sorted(found) == meet
