@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumaframe.errors import require
-from lumaframe.functions.distance import hamming, iou
+from lumaframe.functions.distance import iou
 
 #: Bytes of queries that are sent to the tasks at once.
 SENT = 32 << 20
+#: Ranges of a hash, and hashes of a block, in the search for near pairs.
+PARTS, WORDS_MET = 4, 1 << 17
 
 
 def per(*keys: str) -> WindowSpec:
@@ -96,21 +99,90 @@ def match_ratio(query: DataFrame, train: DataFrame, ratio: float = 0.7, but_itse
 
 
 def hamming_pairs(df: DataFrame, key: str, word: str, radius: int) -> DataFrame:
-    """a, b, d with a < b: all pairs of 64-bit hashes at most radius bits apart.
+    """a, b, d with a < b: all pairs of 64-bit hashes at most radius bits apart. Rows without a hash have none.
 
-    By the pigeonhole principle, two hashes within radius agree in one of radius + 1 bit ranges: an equijoin on
-    (range, value), checked and then made distinct. With many ranges these are short; the join then prunes
-    less, never wrongly. For many rows of one hash give the distinct hashes as rows (key and word the same column): all
-    pairs of equal rows are the square of their number.
+    The hashes are dealt out to blocks of at most WORDS_MET on average, and every two blocks meet in a task. There, by the pigeonhole
+    principle, two hashes within radius have at most radius // PARTS bits apart in one of PARTS ranges: the rows of one side are
+    sorted by a range and looked up by each change of so few bits, if that is less than laying all against all.
+    For many rows of one hash give the distinct hashes as rows (key and word the same column): all pairs of equal rows are
+    the square of their number.
     """
     require(0 <= radius < 64, "radius must be from 0 to 63")
-    parts = radius + 1
-    edges = [64 * k // parts for k in range(parts + 1)]
-    keys = F.array(*[F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(F.col(word), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1)).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    spread = df.select(F.col(key).alias("id"), F.col(word).alias("h"), F.explode(keys).alias("s")).select("id", "h", "s.part", "s.value")
-    left, right = (spread.select(F.col("id").alias(n), F.col("h").alias(f"h{n}"), "part", "value") for n in "ab")
-    met = left.join(right, ["part", "value"]).where("a < b").withColumn("d", hamming(F.col("ha"), F.col("hb"))).where(F.col("d") <= radius)
-    return met.select("a", "b", "d").distinct()
+    rows = df.where(F.col(word).isNotNull()).select(F.col(key).alias("id"), F.col(word).cast("long").alias("h"))
+    n = rows.count()
+    blocks = max(1, -(-n // WORDS_MET), min(8, n // 2048))
+    own, other = F.pmod(F.xxhash64("h", "id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    seats = rows.withColumn("own", own.cast("int")).select("id", "h", "own", other.alias("other"))
+    seats = seats.select((F.least("own", "other") * F.lit(blocks).cast("long") + F.greatest("own", "other")).alias("meet"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "h")
+    kind = df.schema[key].dataType.simpleString()
+    met = seats.repartition(blocks * (blocks + 1) // 2, "meet").sortWithinPartitions("meet", "side").mapInArrow(partial(_hashes_met, radius=radius, blocks=blocks), f"x {kind}, y {kind}, d int")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d").where("a < b")
+
+
+def _hashes_met(batches: Iterator[pa.RecordBatch], radius: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each meeting; a task holds the two blocks of one."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        side, h, ids = rows.column("side").to_numpy(), rows.column("h").to_numpy().view(np.uint64), rows.column("id").combine_chunks()
+        meet = rows.column("meet")[0].as_py()
+        alone = meet // blocks == meet % blocks
+        left = np.flatnonzero(side == 0)
+        right = left if alone else np.flatnonzero(side == 1)
+        for x, y in _near(h, left, right, radius):
+            if alone:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(np.bitwise_count(h[x] ^ h[y]).astype(np.int32))], ["x", "y", "d"])
+
+    for batch in batches:
+        meet = batch.column("meet").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]])) if len(meet) else []
+        for a, b in zip(starts, [*starts[1:], len(meet)], strict=True):
+            if held and held[0].column("meet")[0].as_py() != meet[a]:
+                yield from pairs()
+            held.append(batch.slice(int(a), int(b - a)))
+    if held:
+        yield from pairs()
+
+
+def _near(h: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of left and right within radius, each once."""
+    bits, most = 64 // PARTS, radius // PARTS
+    changes = [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)] if most < 4 else []
+    if not changes or len(changes) * PARTS > len(right):  # all against all
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for i in range(0, len(left), step):
+            x, y = np.nonzero(np.bitwise_count(h[left[i : i + step], None] ^ h[right][None, :]) <= radius)
+            yield left[i + x], right[y]
+        return
+    part = lambda words, p: (words >> np.uint64(bits * p)) & np.uint64((1 << bits) - 1)
+    for p in range(PARTS):
+        value = part(h[right], p).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        at = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))])
+        mine, there, sought = part(h[left], p).astype(np.int64), right[order], h[right][order]
+        for change in changes:
+            first = at[mine ^ change]
+            ends = np.cumsum(at[(mine ^ change) + 1] - first)
+            i = 0
+            while i < len(left):  # some rows at once, whatever the size of a value's run
+                base = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
+                count = np.diff(ends[i:j], prepend=base)
+                for lo in range(0, int(count.sum()), 1 << 22):
+                    pos = np.arange(lo, min(lo + (1 << 22), int(count.sum())))
+                    row = np.searchsorted(np.cumsum(count), pos, "right") if lo or len(count) == 1 else np.repeat(np.arange(len(count)), count)[: len(pos)]
+                    spot = first[i:j][row] + pos - (np.cumsum(count) - count)[row]
+                    differ = h[left[i:j]][row] ^ sought[spot]
+                    good = np.bitwise_count(differ) <= radius
+                    for q in range(p):  # in the first range that lets them meet
+                        good[good] = np.bitwise_count(part(differ[good], q)) > most
+                    if good.any():
+                        yield left[i:j][row[good]], there[spot[good]]
+                i = j
 
 
 def nms(boxes: DataFrame, by: list[str], order: list[Column | str], threshold: float) -> DataFrame:
