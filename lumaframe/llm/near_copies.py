@@ -234,7 +234,7 @@ def forest(g: Group, share: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def crossing(g: Group, share: float, how: Keys) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near rows of different classes, in the least of the keys that they share. Blocks meet, or one block itself."""
+    """All near rows of different classes, in the least of the keys that they share, some at a time, nearest first. Blocks meet, or one block itself."""
     left = np.flatnonzero(g.side == 0)
     right = np.flatnonzero(g.side == 1) if g.side.any() else left
     words, deviations = FIRST
@@ -254,7 +254,8 @@ def crossing(g: Group, share: float, how: Keys) -> Iterator[tuple[np.ndarray, np
             a, b = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
             small, large = np.minimum(g.sizes[a], g.sizes[b]), np.maximum(g.sizes[a], g.sizes[b])
             away = np.bitwise_count(g.prints[a] ^ g.prints[b]).sum(axis=1, dtype=np.int16)
-            good = (away <= most_apart(small, share)) & (small >= share * large - 1e-6)
+            good = np.flatnonzero((away <= most_apart(small, share)) & (small >= share * large - 1e-6))
+            good = good[np.argsort(away[good], kind="stable")]
             a, b = a[good], b[good]
             if len(a):
                 good = ~met_before(g, a, b, how)
@@ -317,13 +318,34 @@ def grouped(batches: Iterable[pa.RecordBatch], most: int = 1 << 62) -> Iterator[
         yield from runs(pa.Table.from_batches(held), True)
 
 
+#: Pairs as lists: a row, its class, its partners and their classes.
+LISTS = "a long, root long, bs array<long>, roots array<long>"
+
+
+def lists(g: Group, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Pairs as LISTS, in their order: those of the row whose class has fewer rows here. So an entry makes few rows, whatever its pairs."""
+    order = np.argsort(g.ids, kind="stable")
+    ids, roots = g.ids[order], g.roots[order]
+    number = np.unique(roots, return_inverse=True, return_counts=True)
+    number = number[2][number[1]]
+    for a, b in pairs:
+        if not len(a):
+            continue
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        turn = (number[a] > number[b]) | (number[a] == number[b]) & (ids[a] > ids[b])
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        order = np.argsort(a, kind="stable")
+        own, first = np.unique(a[order], return_index=True)
+        offsets, b = pa.array(np.append(first, len(b)).astype(np.int32)), b[order]
+        arrays = [pa.array(ids[own]), pa.array(roots[own])] + [pa.ListArray.from_arrays(offsets, pa.array(x[b])) for x in (ids, roots)]
+        yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in LISTS.split(", ")])
+
+
 def met(batches: Iterable[pa.RecordBatch], share: float, how: Keys, every: bool) -> Iterator[pa.RecordBatch]:
-    """a, b: pairs of the groups, whose texts are to be compared."""
+    """The pairs of the groups whose texts are to be compared, as LISTS."""
     claim("")
     for g in grouped(batches) if every else grouped(batches, 16 * LAID):
-        for a, b in crossing(g, share, how) if every else [forest(g, share)]:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        yield from lists(g, crossing(g, share, how) if every else [forest(g, share)])
 
 
 def entries(nodes: DataFrame, keys: str) -> DataFrame:
@@ -331,13 +353,13 @@ def entries(nodes: DataFrame, keys: str) -> DataFrame:
 
 
 def meetings(seated: DataFrame, share: float, how: Keys, every: bool) -> DataFrame:
-    """a, b: what the rows that share a meeting make; these are dealt out by it once."""
+    """LISTS of what the rows that share a meeting make; these are dealt out by it once. The same list may come more than once."""
     rows = seated.select("meet", "key", "side", "id", "root", "n", "fp").repartition("meet").sortWithinPartitions("meet", "side", "id")
-    return checkpointed(rows.mapInArrow(partial(met, share=share, how=how, every=every), "a long, b long").distinct())
+    return checkpointed(rows.mapInArrow(partial(met, share=share, how=how, every=every), LISTS))
 
 
 def crossing_pairs(nodes: DataFrame, share: float, how: Keys) -> DataFrame:
-    """a, b: near rows of different classes that share a key. The rows of a key that more than DENSE have are dealt out to
+    """LISTS of near rows of different classes that share a key. The rows of a key that more than DENSE have are dealt out to
     blocks, and every two blocks meet by themselves, so no task holds more than two; blocks of one large class don't meet each other."""
     seated = entries(nodes, "keys")
     dense = checkpointed(seated.groupBy("key").count().where(F.col("count") > DENSE).select("key"))
@@ -355,27 +377,67 @@ def crossing_pairs(nodes: DataFrame, share: float, how: Keys) -> DataFrame:
     seats = meets.withColumn("seat", F.explode(F.when(F.col("p") == F.col("q"), F.slice(sides, 1, 1)).otherwise(sides))).select("key", F.col("seat.part").alias("part"), F.xxhash64("key", "p", "q").alias("meet"), F.col("seat.side").alias("side"))
     dealt = of.join(broadcast_if_small(checkpointed(seats)), ["key", "part"])
     light = seated.join(broadcast_if_small(dense), "key", "left_anti")
-    return checkpointed(meetings(light, share, how, every=True).unionByName(meetings(dealt, share, how, every=True)).distinct())
+    return meetings(light, share, how, every=True).unionByName(meetings(dealt, share, how, every=True))
+
+
+def placed(batches: Iterable[pa.RecordBatch], sides: int) -> Iterator[pa.RecordBatch]:
+    """LISTS with the meeting of two sides, and the first partner as b; partners of different sides are different rows."""
+    side = lambda x: (scattered(x.astype(np.uint64)) % np.uint64(sides)).astype(np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, root, bs, roots = (batch.column(c) for c in ("a", "root", "bs", "roots"))
+        owner = np.repeat(np.arange(batch.num_rows), np.asarray(bs.value_lengths()))
+        a, root, bs, roots = a.to_numpy(), root.to_numpy(), bs.flatten().to_numpy(), roots.flatten().to_numpy()
+        mine, other = side(a)[owner], side(bs)
+        order = np.argsort(owner * sides + other, kind="stable")
+        owner, other, bs, roots = owner[order], other[order], bs[order], roots[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]))
+        meet = np.minimum(mine, other)[first] * sides + np.maximum(mine, other)[first]
+        offsets = pa.array(np.append(first, len(bs)).astype(np.int32))
+        own = owner[first]
+        arrays = [pa.array(x) for x in (meet, a[own], bs[first], root[own])] + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (bs, roots)]
+        yield pa.RecordBatch.from_arrays(arrays, ["meet", "a", "b", "root", "bs", "roots"])
+
+
+def seats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meet, id: the rows of lists, each once a meeting and batch. Without meetings all are one, 0."""
+    for batch in batches:
+        a, bs = batch.column("a").to_numpy(), batch.column("bs")
+        meet = batch.column("meet").to_numpy() if "meet" in batch.schema.names else np.zeros(len(a), np.int64)
+        meet, ids = np.concatenate([meet, np.repeat(meet, np.asarray(bs.value_lengths()))]), np.concatenate([a, bs.flatten().to_numpy()])
+        order = np.lexsort((ids, meet))
+        meet, ids = meet[order], ids[order]
+        new = np.concatenate([[True], (meet[1:] != meet[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)]
+        yield pa.RecordBatch.from_arrays([pa.array(meet[new]), pa.array(ids[new])], ["meet", "id"])
+
+
+SEATS = "meet long, id long"
 
 
 def handed(whole: DataFrame, pairs: DataFrame, sides: int) -> DataFrame:
-    """meet, a, b, text: the pairs, without texts, and the texts (id, text) of each meeting of two sides, b being null; a text is in so many meetings at most."""
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
-    met = pairs.select((F.least(side("a"), side("b")) * sides + F.greatest(side("a"), side("b"))).alias("meet"), "a", "b", F.lit(None).cast("string").alias("text"))
-    seats = met.select("meet", F.explode(F.array("a", "b")).alias("id")).distinct()
-    return met.unionByName(seats.join(whole, "id").select("meet", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text"))
+    """meet, a, b, root, bs, roots, text: the pairs, without texts, and the texts (id, text) of each meeting of two sides, b being null.
+
+    pairs: LISTS, or a, b. A text is in so many meetings at most.
+    """
+    if "bs" not in pairs.columns:
+        pairs = pairs.select("a", F.col("a").alias("root"), F.array("b").alias("bs"), F.array("b").alias("roots"))
+    met = checkpointed(pairs.mapInArrow(partial(placed, sides=sides), f"meet long, a long, b long, {LISTS[8:]}"))
+    given = broadcast_if_small(checkpointed(met.mapInArrow(seats, SEATS).distinct()))
+    given = whole.join(given, "id").select("meet", F.col("id").alias("a"), "text")
+    return met.withColumn("text", F.lit(None).cast("string")).unionByName(given, allowMissingColumns=True)
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, share: float) -> DataFrame:
-    """a, b of the pairs whose sets are similar enough, by their texts. texts: text, mark (a hash of it).
+    """a, b: of the pairs (LISTS) those whose sets are similar enough, by their texts, as many as connect the classes. texts: text, mark (a hash of it).
 
     Texts are dealt out to sides, and each two sides with a pair meet: a text goes once to each meeting in which it has pairs, not once a pair.
     """
-    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "mark"), "id"))
-    whole = thinned(texts, "mark", ends).join(ends, "mark").dropDuplicates(["id"]).select("id", "text")
+    ends = checkpointed(pairs.mapInArrow(seats, SEATS).select("id").distinct().join(nodes.select("id", "mark"), "id"))
+    whole = thinned(texts, "mark", ends).join(broadcast_if_small(ends), "mark").dropDuplicates(["id"]).select("id", "text")
     whole = checkpointed(whole)
     sides = max(8, -(-(whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHECKED))
-    both = handed(whole, pairs, sides).repartition("meet").sortWithinPartitions("meet", F.col("b").asc_nulls_first())
+    both = handed(whole, pairs, sides).repartition("meet").sortWithinPartitions("meet", F.col("b").isNotNull(), "a")
     return checkpointed(both.mapInArrow(partial(compared, shingle=shingle, share=share), "a long, b long"))
 
 
@@ -404,7 +466,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Da
 
     pairs = meetings(entries(nodes.withColumn("root", F.col("id")), "stars"), share, how, every=False)
     found = verified(texts, nodes, pairs, shingle, share)
-    roots = components(found)
+    roots = broadcast_if_small(components(found))  # else every row's fingerprint and keys would be shuffled for it
     labelled = nodes.select("id", "n", "fp", "keys").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rest = crossing_pairs(labelled, share, how)
     if not rest.isEmpty():

@@ -52,24 +52,40 @@ def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
 
 
 def compared(batches: Iterable[pa.RecordBatch], shingle: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Of the pairs (meet, a, b) those whose sets are similar enough; a meeting's texts (meet, a, null, text) stand before its pairs."""
+    """a, b: pairs whose sets are similar enough, as many as connect the classes that such pairs here connect.
+
+    Rows are lists of a row's partners (meet, a, root, bs, roots), the roots being their classes; a meeting's texts (meet, a, text) stand
+    before its lists. Pairs of classes that links found here have connected aren't compared any more.
+    """
     claim("")
-    meet, sets = None, {}
+    meet, sets, above = None, {}, {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             has = batch.filter(batch.column("text").is_valid())
             found, good = iter(list(shingle_sets(has.column("text"), shingle))), []
-            for m, a, b in zip(*(batch.column(c).to_pylist() for c in ("meet", "a", "b")), strict=True):
+            for m, a, root, bs, roots in zip(*(batch.column(c).to_pylist() for c in ("meet", "a", "root", "bs", "roots")), strict=True):
                 if m != meet:
                     meet, sets = m, {}
-                if b is None:
+                if bs is None:
                     sets[a] = next(found)
                     continue
-                s, t = sets[a], sets[b]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if both >= share * (len(s) + len(t) - both) - 1e-9:
-                    good.append((a, b))
+                s = sets[a]
+                for b, other in zip(bs, roots, strict=True):
+                    if (p := top(root)) == (q := top(other)):
+                        continue
+                    t = sets[b]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if both >= share * (len(s) + len(t) - both) - 1e-9:
+                        good.append((a, b))
+                        above[max(p, q)] = min(p, q)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in good], pa.int64()), pa.array([p[1] for p in good], pa.int64())], ["a", "b"])
 
 

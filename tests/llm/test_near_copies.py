@@ -1,9 +1,11 @@
 """The pipeline's near-duplicates against all pairs by brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from lumaframe.llm import decontamination, near_copies
+from lumaframe.llm.shingle_sets import compared
 
 
 def documents(spark, rows):
@@ -162,3 +164,44 @@ def test_pairs_come_from_the_least_key_they_share():
     away = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     meet = [(a, b) for a in range(90) for b in range(a + 1, 90) if away[a, b] <= near_copies.most_apart(np.array(1000), 0.8) and set(keys[a][keys[a] >= 0]) & set(keys[b][keys[b] >= 0])]
     assert len(meet) > 1000 and sorted(found) == meet
+
+
+def test_lists_hold_a_keys_pairs_in_few_rows():
+    """80 rows of one class and 10 others near to all of it: as many lists as others and their own pairs need, not 800 rows."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64 * near_copies.WORDS)
+    margins = np.rint(1e4 * (base + 0.1 * rng.normal(size=(90, len(base))))).astype(np.int64)
+    how = near_copies.Keys(1, 0, 0)
+    _, _, near = near_copies.keys_of(margins, how)
+    prints = np.packbits(margins > 0, axis=1, bitorder="little").view("<u8")
+    ids = rng.permutation(90)
+    roots = np.where(np.arange(90) < 80, 1000, ids)
+    g = near_copies.Group(0, np.zeros(90, np.int64), ids, roots, np.full(90, 1000), prints, near)
+    pairs = [(a, b) for x, y in near_copies.crossing(g, 0.8, how) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    rows = [r for batch in near_copies.lists(g, near_copies.crossing(g, 0.8, how)) for r in batch.to_pylist()]
+    assert len(pairs) == 845 and len(rows) <= 10
+    root = dict(zip(ids.tolist(), roots.tolist(), strict=True))
+    assert sorted(tuple(sorted((r["a"], b))) for r in rows for b in r["bs"]) == sorted(tuple(sorted(p)) for p in pairs)
+    assert all(r["root"] == root[r["a"]] and r["roots"] == [root[b] for b in r["bs"]] for r in rows)
+
+
+def test_small_tables_of_seats_move_no_texts(spark):
+    """The texts stay where they are until they are dealt out to meetings: seats are broadcast, whatever the texts' size."""
+    whole = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+        plan = near_copies.handed(whole, pairs, 8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pairs_of_connected_classes_arent_compared():
+    texts = [" ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)), " ".join(f"v{k}" for k in range(60))]
+    schema = pa.schema([("meet", pa.int64()), ("a", pa.int64()), ("root", pa.int64()), ("bs", pa.list_(pa.int64())), ("roots", pa.list_(pa.int64())), ("text", pa.string())])
+    rows = [{"meet": 0, "a": k, "text": texts[k % 3]} for k in range(6)]
+    rows += [{"meet": 0, "a": 0, "root": 7, "bs": [1, 3, 2], "roots": [8, 8, 2]}, {"meet": 0, "a": 4, "root": 8, "bs": [3, 5], "roots": [7, 2]}, {"meet": 0, "a": 2, "root": 2, "bs": [5, 0], "roots": [9, 7]}]
+    out = [tuple(r.values()) for b in compared([pa.RecordBatch.from_pylist(rows, schema)], 5, 0.8) for r in b.to_pylist()]
+    assert out == [(0, 1), (2, 5)]
