@@ -16,10 +16,23 @@ PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in r
 
 #: A marked sequence keeps one value in so many as it is.
 EVERY = 16
+#: Ranges of more places than this are narrowed by the high parts before they are halved.
+WIDE = 6
 #: Places that are looked up together.
 TOGETHER = 1 << 14
 
 
+def place_in(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The place of each word's set bit with so many set ones before it."""
+    # set bits up to each byte of the word, as its bytes; how many of these are at most left; the rest from a table
+    s = word - (word >> np.uint64(1) & FIVES)
+    s = (s & THREES) + (s >> np.uint64(2) & THREES)
+    s = ((s + (s >> np.uint64(4))) & NIBBLES) * EACH
+    shift = (((((left * EACH) | TOPS) - s & TOPS) >> np.uint64(7)) * EACH >> np.uint64(56)) << np.uint64(3)
+    left = left - ((s << np.uint64(8)) >> shift & np.uint64(255))
+    return shift.astype(np.int64) + PLACE[(word >> shift & np.uint64(255)).astype(np.int64), left.astype(np.int64)]
+
+
 class EliasFano:
     """A rising sequence of n unsigned integers in about 2 + log2(universe / n) bits each.
 
@@ -27,12 +40,13 @@ class EliasFano:
     among the bits of all high parts. Both live in plain arrays, so a sequence can be used straight from a file.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray, marks: np.ndarray | None = None):
-        self.n, self.low_bits, self.low, self.high, self.before, self.marks = n, low_bits, low, high, before, marks
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray, marks: np.ndarray | None = None, zeros: np.ndarray | None = None):
+        self.n, self.low_bits, self.low, self.high, self.before, self.marks, self.zeros = n, low_bits, low, high, before, marks, zeros
 
     @classmethod
-    def build(cls, values: np.ndarray, marked: bool = False) -> EliasFano:
-        """marked: every EVERY-th value is also kept as it is, for searches over the whole sequence."""
+    def build(cls, values: np.ndarray, marked: bool = False, narrowed: bool = False) -> EliasFano:
+        """marked: every EVERY-th value is also kept as it is, for searches over the whole sequence. narrowed: so are the numbers of unset
+        bits before each 64 of the high parts, for searches in wide ranges."""
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
@@ -49,16 +63,16 @@ class EliasFano:
         high = np.zeros(((top >> low_bits) + n) // 64 * 8 + 8, np.uint8)
         np.bitwise_or.at(high, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
         before = np.concatenate([[0], np.cumsum(ONES[high], dtype=np.int64)])[:-1:8].astype(np.int64)
-        return cls(n, low_bits, low, high, before, values[::EVERY].copy() if marked else None)
+        return cls(n, low_bits, low, high, before, values[::EVERY].copy() if marked else None, 64 * np.arange(len(before)) - before if narrowed else None)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         arrays = {f"{name}.n": np.array([self.n, self.low_bits], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.before": self.before}
-        return arrays if self.marks is None else arrays | {f"{name}.marks": self.marks}
+        return arrays | {f"{name}.{k}": v for k, v in (("marks", self.marks), ("zeros", self.zeros)) if v is not None}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, low_bits = arrays[f"{name}.n"].tolist()
-        return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.before"], arrays.get(f"{name}.marks"))
+        return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.before"], arrays.get(f"{name}.marks"), arrays.get(f"{name}.zeros"))
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The values at these places (each in [0, n)), some at a time, so that what is in hand stays in the processor's cache."""
@@ -68,13 +82,7 @@ class EliasFano:
         block = np.searchsorted(self.before, at, "right") - 1
         left = (at - self.before[block]).astype(np.uint64)
         word = self.high.view(np.uint64)[block]
-        # set bits up to each byte of the word, as its bytes; how many of these are at most left; the rest from a table
-        s = word - (word >> np.uint64(1) & FIVES)
-        s = (s & THREES) + (s >> np.uint64(2) & THREES)
-        s = ((s + (s >> np.uint64(4))) & NIBBLES) * EACH
-        shift = (((((left * EACH) | TOPS) - s & TOPS) >> np.uint64(7)) * EACH >> np.uint64(56)) << np.uint64(3)
-        left -= (s << np.uint64(8)) >> shift & np.uint64(255)
-        high = block * 64 + shift.astype(np.int64) + PLACE[(word >> shift & np.uint64(255)).astype(np.int64), left.astype(np.int64)] - at
+        high = block * 64 + place_in(word, left) - at
         out = high.astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             bit = at.astype(np.uint64) * np.uint64(self.low_bits)
@@ -92,6 +100,10 @@ class EliasFano:
         high = np.full(len(values), self.n, np.int64) if high is None else high.astype(np.int64)
         if len(values) > TOGETHER:
             return np.concatenate([self.first_not_below(values[i : i + TOGETHER], low[i : i + TOGETHER], high[i : i + TOGETHER]) for i in range(0, len(values), TOGETHER)])
+        if self.zeros is not None:
+            wide = np.flatnonzero(high - low > WIDE)
+            if len(wide):
+                low[wide], high[wide] = self.narrow(values[wide], low[wide], high[wide])
         active = np.flatnonzero(low < high)
         while len(active):
             middle = (low[active] + high[active]) >> 1
@@ -102,6 +114,25 @@ class EliasFano:
         return low
 
 
+    def narrow(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each range where elements with the value's high part lie: the set bits after the unset one that ends the high part before.
+        Where these go on in the next word, the range's end stays."""
+        part = values >> np.uint64(self.low_bits)
+        ends = np.uint64(64 * len(self.zeros) - self.n)
+        some = np.flatnonzero((part > 0) & (part <= ends))
+        before = part[some].astype(np.int64) - 1
+        block = np.searchsorted(self.zeros, before, "right") - 1
+        word = self.high.view(np.uint64)[block]
+        place = place_in(~word, (before - self.zeros[block]).astype(np.uint64))
+        after = np.where(place < 63, word >> (np.minimum(place, 62) + 1).astype(np.uint64), 0)
+        ones = np.bitwise_count(after & ~(after + np.uint64(1))).astype(np.int64)
+        first = block * 64 + place - before
+        last = np.where(place + 1 + ones < 64, first + ones, self.n)
+        low, high = low.copy(), high.copy()
+        low[some], high[some] = np.clip(first, low[some], high[some]), np.clip(last, low[some], high[some])
+        return np.where(part > ends, high, low), high
+
+
 class Runs:
     """Rising runs of numbers, one for each context, in one sequence: each run goes on from where the one before it ends.
 
@@ -116,10 +147,10 @@ class Runs:
         """first: where each run begins, and the number of all values; no run is empty."""
         values = values.astype(np.uint64)
         if not len(values):
-            return EliasFano.build(values)
+            return EliasFano.build(values, narrowed=True)
         tops = values[first[1:] - 1] + np.uint64(1)
         start = np.concatenate([[np.uint64(0)], np.cumsum(tops)[:-1].astype(np.uint64)])
-        return EliasFano.build(values + np.repeat(start, np.diff(first)))
+        return EliasFano.build(values + np.repeat(start, np.diff(first)), narrowed=True)
 
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place of each value in its run [begin, end), -1 if it isn't there; empty runs hold nothing."""
