@@ -8,16 +8,14 @@ import tempfile
 
 import numpy as np
 
-#: Set bits of each byte value, and the place of its k-th set bit.
+#: Set bits of each byte value, and the place of its k-th set bit, at 8 * value + k.
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 EACH, TOPS, FIVES, THREES, NIBBLES = (np.uint64(int(x * 8, 16)) for x in ("01", "80", "55", "33", "0f"))
-PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
+PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64).ravel()
 
 
 #: A marked sequence keeps one value in so many as it is.
 EVERY = 16
-#: Ranges of more places than this are narrowed by the high parts before they are halved.
-WIDE = 6
 #: Places that are looked up together.
 TOGETHER = 1 << 14
 
@@ -28,9 +26,9 @@ def place_in(word: np.ndarray, left: np.ndarray) -> np.ndarray:
     s = word - (word >> np.uint64(1) & FIVES)
     s = (s & THREES) + (s >> np.uint64(2) & THREES)
     s = ((s + (s >> np.uint64(4))) & NIBBLES) * EACH
-    shift = (((((left * EACH) | TOPS) - s & TOPS) >> np.uint64(7)) * EACH >> np.uint64(56)) << np.uint64(3)
+    shift = np.bitwise_count(((left * EACH) | TOPS) - s & TOPS).astype(np.uint64) << np.uint64(3)
     left = left - ((s << np.uint64(8)) >> shift & np.uint64(255))
-    return shift.astype(np.int64) + PLACE[(word >> shift & np.uint64(255)).astype(np.int64), left.astype(np.int64)]
+    return shift.view(np.int64) + PLACE[((word >> shift & np.uint64(255)) << np.uint64(3) | left).view(np.int64)]
 
 
 class EliasFano:
@@ -74,22 +72,45 @@ class EliasFano:
         n, low_bits = arrays[f"{name}.n"].tolist()
         return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.before"], arrays.get(f"{name}.marks"), arrays.get(f"{name}.zeros"))
 
+    def lows(self, at: np.ndarray) -> np.ndarray:
+        """The low bits of the values at these places (int64), which need no search."""
+        bit = at * self.low_bits
+        word, shift = bit >> 6, (bit & 63).view(np.uint64)
+        return (self.low[word] >> shift | self.low[word + 1] << np.uint64(1) << (np.uint64(63) - shift)) & np.uint64((1 << self.low_bits) - 1)
+
+    def bit_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The word of the high parts where the value at each place stands, its number, and the bit's place in it."""
+        block = np.searchsorted(self.before, at, "right") - 1
+        word = self.high.view(np.uint64)[block]
+        return word, block, place_in(word, (at - self.before[block]).view(np.uint64))
+
+    def value(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The value at each place, from its bit's place in all the high parts."""
+        out = (bit - at).view(np.uint64) << np.uint64(self.low_bits)
+        return out | self.lows(at) if self.low_bits else out
+
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The values at these places (each in [0, n)), some at a time, so that what is in hand stays in the processor's cache."""
         at = np.asarray(at, np.int64)
         if len(at) > TOGETHER:
             return np.concatenate([self[at[i : i + TOGETHER]] for i in range(0, len(at), TOGETHER)])
-        block = np.searchsorted(self.before, at, "right") - 1
-        left = (at - self.before[block]).astype(np.uint64)
-        word = self.high.view(np.uint64)[block]
-        high = block * 64 + place_in(word, left) - at
-        out = high.astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bit = at.astype(np.uint64) * np.uint64(self.low_bits)
-            word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-            both = (self.low[word] >> shift) | np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), 0)
-            out |= both & np.uint64((1 << self.low_bits) - 1)
-        return out
+        _, block, place = self.bit_of(at)
+        return self.value(at, block * 64 + place)
+
+    def two_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at these places and at the next ones (each in [0, n - 1)); the next bit is mostly in the same word."""
+        at = np.asarray(at, np.int64)
+        if len(at) > TOGETHER:
+            both = [self.two_at(at[i : i + TOGETHER]) for i in range(0, len(at), TOGETHER)]
+            return np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+        word, block, place = self.bit_of(at)
+        after = word & (~np.uint64(1) << place.view(np.uint64))
+        bit = block * 64 + np.bitwise_count((after & (~after + np.uint64(1))) - np.uint64(1))
+        following = self.value(at + 1, bit)
+        later = np.flatnonzero(after == 0)
+        if len(later):
+            following[later] = self[at[later] + 1]
+        return self.value(at, block * 64 + place), following
 
     def first_not_below(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
         """For each value the place of the first element that is not less, which lies in [low, high]; n if there is none."""
@@ -100,37 +121,64 @@ class EliasFano:
         high = np.full(len(values), self.n, np.int64) if high is None else high.astype(np.int64)
         if len(values) > TOGETHER:
             return np.concatenate([self.first_not_below(values[i : i + TOGETHER], low[i : i + TOGETHER], high[i : i + TOGETHER]) for i in range(0, len(values), TOGETHER)])
-        if self.zeros is not None:
-            wide = np.flatnonzero(high - low > WIDE)
-            if len(wide):
-                low[wide], high[wide] = self.narrow(values[wide], low[wide], high[wide])
+        read, wanted = self.__getitem__, values
+        if self.zeros is not None:  # where only elements with the value's high part are left, their low bits tell
+            low, high = self.narrow(values, low, high)
+            read, wanted = self.lows, values & np.uint64((1 << self.low_bits) - 1)
         active = np.flatnonzero(low < high)
         while len(active):
             middle = (low[active] + high[active]) >> 1
-            less = self[middle] < values[active]
+            less = read(middle) < wanted[active]
             low[active] = np.where(less, middle + 1, low[active])
             high[active] = np.where(less, high[active], middle)
             active = active[low[active] < high[active]]
         return low
 
+    def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value in [low, high), -1 if it isn't there. The sequence is narrowed and none of its values occurs twice."""
+        if len(values) > TOGETHER:
+            cut = lambda x, i: None if x is None else x[i : i + TOGETHER]
+            return np.concatenate([self.find(values[i : i + TOGETHER], cut(low, i), cut(high, i)) for i in range(0, len(values), TOGETHER)])
+        out = np.full(len(values), -1, np.int64)
+        low = np.zeros(len(values), np.int64) if low is None else low
+        low, high = self.narrow(values, low, np.full(len(values), self.n, np.int64) if high is None else high)
+        active = np.flatnonzero(low < high)
+        low, high, wanted = low[active], high[active], values[active] & np.uint64((1 << self.low_bits) - 1)
+        while len(active):
+            middle = (low + high) >> 1
+            found = self.lows(middle)
+            hit = found == wanted
+            out[active[hit]] = middle[hit]
+            less = found < wanted
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            on = np.flatnonzero((low < high) & ~hit)
+            active, low, high, wanted = active[on], low[on], high[on], wanted[on]
+        return out
 
     def narrow(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The part of each range where elements with the value's high part lie: the set bits after the unset one that ends the high part before.
-        Where these go on in the next word, the range's end stays."""
+        """The part of each range where elements with the value's high part lie, which is where the value would stand: the set bits after
+        the unset one that ends the high part before."""
         part = values >> np.uint64(self.low_bits)
-        ends = np.uint64(64 * len(self.zeros) - self.n)
-        some = np.flatnonzero((part > 0) & (part <= ends))
-        before = part[some].astype(np.int64) - 1
+        ends = 64 * len(self.zeros) - self.n
+        over = part >= np.uint64(ends)  # above all elements
+        part = np.where(over, np.uint64(0), part).view(np.int64)
+        before = np.maximum(part - 1, 0)
         block = np.searchsorted(self.zeros, before, "right") - 1
         word = self.high.view(np.uint64)[block]
-        place = place_in(~word, (before - self.zeros[block]).astype(np.uint64))
-        after = np.where(place < 63, word >> (np.minimum(place, 62) + 1).astype(np.uint64), 0)
+        place = place_in(~word, (before - self.zeros[block]).view(np.uint64))
+        after = word >> place.view(np.uint64) >> np.uint64(1)
         ones = np.bitwise_count(after & ~(after + np.uint64(1))).astype(np.int64)
         first = block * 64 + place - before
-        last = np.where(place + 1 + ones < 64, first + ones, self.n)
-        low, high = low.copy(), high.copy()
-        low[some], high[some] = np.clip(first, low[some], high[some]), np.clip(last, low[some], high[some])
-        return np.where(part > ends, high, low), high
+        last = first + ones
+        none = part == 0  # no unset bit before
+        first[none] = 0
+        on = np.flatnonzero(none | (place + 1 + ones >= 64))  # in the next word too: up to the unset bit that ends this high part
+        if len(on):
+            block = np.searchsorted(self.zeros, part[on], "right") - 1
+            last[on] = block * 64 + place_in(~self.high.view(np.uint64)[block], (part[on] - self.zeros[block]).view(np.uint64)) - part[on]
+        if over.any():
+            first[over] = last[over] = self.n
+        return np.minimum(np.maximum(first, low), high), np.minimum(np.maximum(last, low), high)
 
 
 class Runs:
@@ -152,21 +200,18 @@ class Runs:
         start = np.concatenate([[np.uint64(0)], np.cumsum(tops)[:-1].astype(np.uint64)])
         return EliasFano.build(values + np.repeat(start, np.diff(first)), narrowed=True)
 
-    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place of each value in its run [begin, end), -1 if it isn't there; empty runs hold nothing."""
+    def starts(self, begin: np.ndarray) -> np.ndarray:
+        """What is added to the numbers of the run that begins at each place."""
+        return np.where(begin > 0, self.sequence[np.maximum(begin - 1, 0)] + np.uint64(1), np.uint64(0)) if self.sequence.n else np.zeros(len(begin), np.uint64)
+
+    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value in its run [begin, end), -1 if it isn't there; empty runs hold nothing. start: starts(begin), where known."""
         out = np.full(len(values), -1, np.int64)
         some = np.flatnonzero(end > begin)
         if not len(some):
             return out
-        begin, end = begin[some], end[some]
-        start = np.zeros(len(some), np.uint64)
-        later = begin > 0
-        start[later] = self.sequence[begin[later] - 1] + np.uint64(1)
-        wanted = values[some].astype(np.uint64) + start
-        at = self.sequence.first_not_below(wanted, begin, end)
-        hit = at < end
-        hit[hit] = self.sequence[at[hit]] == wanted[hit]
-        out[some[hit]] = at[hit]
+        start = self.starts(begin[some]) if start is None else start[some]
+        out[some] = self.sequence.find(values[some].astype(np.uint64) + start, begin[some], end[some])
         return out
 
 

@@ -133,7 +133,7 @@ def word_level(batches: Iterable[pa.RecordBatch], home: str, bits: int) -> Itera
     for _, shard, (keys, _, counts) in by_shard(batches):
         name, depth = f"{home}/words-{shard}-{uuid.uuid4().hex}", max(0, min(len(keys).bit_length() - 3, 32 - bits))
         runs = np.searchsorted(slot(keys, bits, depth), np.arange((1 << depth) + 1)).astype(np.int32)
-        save(name, EliasFano.build(keys).arrays("hash") | EliasFano.build(np.cumsum(counts)).arrays("sum") | {"runs": runs})
+        save(name, EliasFano.build(keys, narrowed=True).arrays("hash") | EliasFano.build(np.cumsum(counts)).arrays("sum") | {"runs": runs})
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n": len(keys), "total": int(counts.sum())}])
 
 
@@ -216,10 +216,8 @@ class Words:
             mine = np.flatnonzero(shards == s)
             level, _, runs = self.level(k)
             which = slot(hashes[mine], self.bits, (len(runs) - 1).bit_length() - 1)
-            at = level.first_not_below(hashes[mine], runs[which], runs[which + 1])
-            inside = at < level.n
-            hit = inside.copy()
-            hit[inside] = level[at[inside]] == hashes[mine[inside]]
+            at = level.find(hashes[mine], runs[which].astype(np.int64), runs[which + 1].astype(np.int64))
+            hit = at >= 0
             out[mine[hit]] = self.first[k] + at[hit]
         return out
 
@@ -291,6 +289,21 @@ def id_of(found: np.ndarray) -> np.ndarray:
     return (found & 0xFFFFFFFF) - 1
 
 
+def ranked(columns: list[np.ndarray], below: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows of numbers less than below, rising, and how often each is there. Where a row fits into 64 bits, it is sorted as one number."""
+    width = max(1, (below - 1).bit_length())
+    if width * len(columns) > 64:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+        return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+    packed = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        packed = packed << np.uint64(width) | c.astype(np.uint64)
+    rows, counts = np.unique(packed, return_counts=True)
+    return [(rows >> np.uint64(width * k) & np.uint64((1 << width) - 1)).astype(np.int64) for k in reversed(range(len(columns)))], counts
+
+
 def gram_counts(batches: Iterable[pa.RecordBatch], key: str, shards: int, order: int) -> Iterator[pa.RecordBatch]:
     """Pairs (level 2) and, for order 3, runs of three words (level 3), counted for some tokens at a time."""
     words = kept(key, lambda: Words(key))
@@ -299,17 +312,15 @@ def gram_counts(batches: Iterable[pa.RecordBatch], key: str, shards: int, order:
 
     def out() -> Iterator[pa.RecordBatch]:
         found = np.concatenate(parts)
-        before, earlier = contexts_of(found, stop)
-        ids, one, two = id_of(found), id_of(before), id_of(earlier)
-        keys, counts = np.unique(one.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
-        context = (keys >> np.uint64(32)).astype(np.int64)
-        yield dealt((keys, np.zeros(len(keys), np.uint32), counts), shards2(words, context, shards), 2)
+        there, first, rank = np.unique(id_of(found), return_index=True, return_inverse=True)
+        (one, two), mass = contexts_of(rank, int(np.searchsorted(there, id_of(np.array(stop))))), found[first] >> 32
+        (context, following), counts = ranked([one, rank], len(there))
+        keys = there[context].astype(np.uint64) << np.uint64(32) | there[following].astype(np.uint64)
+        yield dealt((keys, np.zeros(len(keys), np.uint32), counts), shards2(words, there[context], shards), 2)
         if order > 2:
-            alone, first = np.unique(one, return_index=True)
-            grams = summed(one.astype(np.uint64) << np.uint64(32) | two.astype(np.uint64), ids.astype(np.uint32), np.ones(len(ids), np.int64))
-            one = (grams[0] >> np.uint64(32)).astype(np.int64)
-            count = (before[first] >> 32)[np.searchsorted(alone, one)]
-            yield dealt(grams, shards3(words, one, (grams[0] & np.uint64(0xFFFFFFFF)).astype(np.int64), count, shards), 3)
+            (one, two, following), counts = ranked([one, two, rank], len(there))
+            keys = there[one].astype(np.uint64) << np.uint64(32) | there[two].astype(np.uint64)
+            yield dealt((keys, there[following].astype(np.uint32), counts), shards3(words, there[one], there[two], mass[one], shards), 3)
 
     for batch in batches:
         for found, first in words.texts(batch.column(0)):
@@ -350,6 +361,23 @@ def gram_level(batches: Iterable[pa.RecordBatch], home: str, least: int) -> Iter
         yield pa.RecordBatch.from_pylist([{"level": level, "shard": shard, "name": name, **stats}])
 
 
+def distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers, rising, and the place of each number among them; not sorted again where they rise already."""
+    new = numbers[1:] != numbers[:-1]
+    if (numbers[1:] < numbers[:-1]).any():
+        return np.unique(numbers, return_inverse=True)
+    return numbers[np.flatnonzero(np.concatenate([[True], new]))] if len(numbers) else numbers, np.concatenate([[0], np.cumsum(new)])[: len(numbers)]
+
+
+def each_of(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and where it stands, in one pass over all."""
+    order = np.argsort(shards.astype(np.uint16) if len(shards) and shards.max() < 1 << 16 else shards, kind="stable")  # 16 bits: a radix sort
+    ordered = shards[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=False):
+        yield int(ordered[a]), order[a:b]
+
+
 class Pairs:
     """Level 2: rising pointers from the ids of contexts to their successors, these in rising runs, and quantised log10 probabilities."""
 
@@ -361,33 +389,47 @@ class Pairs:
         """For each pair: its rank among the context's successors (-1: none), its code, and log10 of the context's escape (0: no such context)."""
         rank, code, escape = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
         known = np.flatnonzero(context >= 0)
-        shard = np.full(len(context), -1, np.int64)
-        shard[known] = shards2(self.words, context[known], self.shards)
-        for s in np.unique(shard[known]).tolist():
+        for s, at in each_of(shards2(self.words, context[known], self.shards)):
             if (level := self.file(s)) is None:
                 continue
             low, pointers, following, codes, escapes = level
-            mine = np.flatnonzero(shard == s)
+            mine = known[at]
             mine = mine[(context[mine] >= low) & (context[mine] < low + len(escapes))]
-            alone, back = np.unique(context[mine] - low, return_inverse=True)
-            begin, end = pointers[alone].astype(np.int64)[back], pointers[alone + 1].astype(np.int64)[back]
+            alone, back = distinct(context[mine] - low)
+            begin, end = (x.view(np.int64) for x in pointers.two_at(alone))
             escape[mine] = escapes[alone][back]
-            begin[word[mine] < 0] = end[word[mine] < 0] = 0
-            place = following.find(np.maximum(word[mine], 0), begin, end)
+            start, begin, end = following.starts(begin)[back], begin[back], end[back]
+            end[word[mine] < 0] = 0
+            place = following.find(np.maximum(word[mine], 0), begin, end, start)
             hit = place >= 0
             rank[mine[hit]], code[mine[hit]] = place[hit] - begin[hit], codes[place[hit]]
         return rank, code, escape
 
 
-def spans(contexts: EliasFano, pointers: EliasFano, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each context (-1: none), and where its run begins and ends."""
-    alone, back = np.unique(wanted, return_inverse=True)
-    at = contexts.first_not_below(alone)
-    hit = at < contexts.n
-    hit[hit] = contexts[at[hit]] == alone[hit]
-    begin, end = np.zeros(len(alone), np.int64), np.zeros(len(alone), np.int64)
-    begin[hit], end[hit] = pointers[at[hit]].astype(np.int64), pointers[at[hit] + 1].astype(np.int64)
-    return np.where(hit, at, -1)[back], begin[back], end[back]
+class Contexts:
+    """Contexts of two words as one rising sequence, in which those with one last word are spread over as much more room as there are more
+    of them, so that about as many share high parts everywhere. ``ones``: the last words; ``room``: the running sums of their factors."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.size, self.ones, self.room, self.sequence = int(arrays["size"][0]), arrays["ones"], arrays["room"], EliasFano.of(arrays, "context")
+
+    @staticmethod
+    def build(context: np.ndarray, size: int) -> dict[str, np.ndarray]:
+        """context: rising, the last word above, the one before it in the lower 32 bits; both are less than size."""
+        ones, back, n = np.unique(context >> np.uint64(32), return_inverse=True, return_counts=True)
+        factor = np.uint64(1) << np.floor(np.log2(n)).astype(np.uint64)
+        room = np.concatenate([[np.uint64(0)], np.cumsum(factor)]).astype(np.uint64)
+        values = room[back] * np.uint64(size) + (context & np.uint64(0xFFFFFFFF)) * factor[back]
+        return {"size": np.array([size]), "ones": ones.astype(np.uint32), "room": room.astype(np.uint32)} | EliasFano.build(values, narrowed=True).arrays("context")
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The place of each context, -1 if it isn't there."""
+        out = np.full(len(one), -1, np.int64)
+        at = np.searchsorted(self.ones, one.astype(np.uint32))
+        hit = np.flatnonzero(self.ones[np.minimum(at, len(self.ones) - 1)] == one) if len(self.ones) else np.zeros(0, np.int64)
+        first, after = self.room[at[hit]].astype(np.int64), self.room[at[hit] + 1].astype(np.int64)
+        out[hit] = self.sequence.find((first * self.size + two[hit] * (after - first)).view(np.uint64))
+        return out
 
 
 class Triples:
@@ -395,25 +437,23 @@ class Triples:
 
     def __init__(self, home: str, words: Words, shards: int, least: int):
         self.words, self.shards, self.least = words, shards, least
-        self.file = Files(home, "grams3", lambda a: (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
+        self.file = Files(home, "grams3", lambda a: (Contexts(a), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
 
     def find(self, one: np.ndarray, two: np.ndarray, rank: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each run of words (two, one, the one of this rank after one): its code (-1: none) and log10 of the context's escape. count: of one."""
         code, escape = np.full(len(one), -1.0), np.zeros(len(one))
         known = np.flatnonzero((one >= 0) & (two >= 0) & (count >= self.least))  # a rarer word has no kept grams
-        context = one[known].astype(np.uint64) << np.uint64(32) | two[known].astype(np.uint64)
-        shard = shards3(self.words, one[known], two[known], count[known], self.shards)
-        for s in np.unique(shard).tolist():
+        for s, here in each_of(shards3(self.words, one[known], two[known], count[known], self.shards)):
             if (level := self.file(s)) is None:
                 continue
             contexts, pointers, following, codes, escapes = level
-            here = np.flatnonzero(shard == s)
             mine = known[here]
-            at, begin, end = spans(contexts, pointers, context[here])
-            seen = at >= 0
-            escape[mine[seen]] = escapes[at[seen]]
-            begin[rank[mine] < 0] = end[rank[mine] < 0] = 0
-            place = following.find(np.maximum(rank[mine], 0), begin, end)
+            at = contexts.find(one[mine], two[mine])
+            mine, at = mine[at >= 0], at[at >= 0]
+            escape[mine] = escapes[at]
+            mine, at = mine[rank[mine] >= 0], at[rank[mine] >= 0]
+            begin, end = (x.view(np.int64) for x in pointers.two_at(at))
+            place = following.find(rank[mine], begin, end)
             hit = place >= 0
             code[mine[hit]] = codes[place[hit]]
         return code, escape
@@ -455,7 +495,7 @@ def trie_level(batches: Iterable[pa.RecordBatch], home: str, level: int, shards:
                 spread[at] = escapes
                 arrays = {"low": np.array([low]), "escape": spread} | EliasFano.build(np.cumsum(sizes)).arrays("pointer")
             else:
-                arrays = {"escape": escapes} | EliasFano.build(context, marked=True).arrays("context") | EliasFano.build(first).arrays("pointer")
+                arrays = {"escape": escapes} | Contexts.build(context, words.size) | EliasFano.build(first).arrays("pointer")
             save(out, arrays | Runs.build(following, first).arrays("next") | {"code": codes})
             yield pa.RecordBatch.from_pylist([{"level": f"grams{level}", "shard": shard, "name": out}])
 

@@ -394,3 +394,54 @@ def test_searches_in_wide_ranges_are_narrowed():
         assert (kept.first_not_below(asked, low, high) == np.clip(np.searchsorted(v, asked), low, high)).all(), (n, top)
         low, high = kept.narrow(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
         assert n < 5000 or np.median(high - low) < 8
+
+
+def test_values_are_found_by_their_low_bits(monkeypatch):
+    """After the high parts have narrowed a search, no whole value is read for it: not of sequences, runs or contexts, even or skewed."""
+    from lumaframe.llm.elias_fano import EliasFano, Runs
+    from lumaframe.llm.lm_scoring import Contexts
+
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 0), (1, 0), (1, 5), (200, 300), (5000, 10**9), (70_000, 2**40), (3000, 2**63)):
+        v = np.unique(np.concatenate([rng.integers(0, top + 1, n, dtype=np.uint64), np.arange(n // 3, dtype=np.uint64)]))
+        kept = EliasFano.of(EliasFano.build(v, narrowed=True).arrays("x"), "x")
+        both = kept.two_at(np.arange(max(0, len(v) - 1)))
+        assert (both[0] == v[:-1]).all() and (both[1] == v[1:]).all()
+        asked = np.concatenate([v, v + np.uint64(1), rng.integers(0, top + 2, 3000, dtype=np.uint64), np.array([0, top + 1000, 2**64 - 1], np.uint64)])
+        place = np.searchsorted(v, asked)
+        there = np.append(v, np.uint64(0))[place] == asked
+        there &= place < len(v)
+        low = rng.integers(0, len(v) + 1, len(asked))
+        high = np.maximum(low, rng.integers(0, len(v) + 1, len(asked)))
+        with monkeypatch.context() as m:
+            m.delattr(EliasFano, "__getitem__")
+            assert (kept.find(asked) == np.where(there, place, -1)).all(), (n, top)
+            assert (kept.find(asked, low, high) == np.where(there & (place >= low) & (place < high), place, -1)).all(), (n, top)
+    first = np.cumsum([0, 1, 4000, 2, 1, 700])
+    runs = [np.sort(rng.choice(top, n, replace=False)) for n, top in zip(np.diff(first), (1, 10**6, 10**9, 50, 701), strict=True)]
+    held = Runs(Runs.build(np.concatenate(runs), first))
+    for k, run in enumerate(runs):
+        asked = np.concatenate([run, run + 1, rng.integers(0, 10**9, 500)])
+        place = np.minimum(np.searchsorted(run, asked), len(run) - 1)
+        assert (held.find(asked, np.full(len(asked), first[k]), np.full(len(asked), first[k + 1])) == np.where(run[place] == asked, first[k] + place, -1)).all()
+    size = 100_000
+    one = np.concatenate([np.full(50_000, 7), rng.integers(0, size, 20_000), np.full(3, size - 1)])
+    context = np.unique(one.astype(np.uint64) << np.uint64(32) | rng.integers(0, size, len(one), dtype=np.uint64))
+    contexts = Contexts(Contexts.build(context, size))
+    asked = np.concatenate([context, context + np.uint64(1), rng.integers(0, size, 5000, dtype=np.uint64) << np.uint64(32)])
+    place = np.minimum(np.searchsorted(context, asked), len(context) - 1)
+    one, two = ((x).astype(np.int64) for x in (asked >> np.uint64(32), asked & np.uint64(0xFFFFFFFF)))
+    some = two < size
+    assert (contexts.find(one, two) == np.where(context[place] == asked, place, -1))[some].all()
+    values = contexts.sequence[np.arange(len(context))]
+    low, high = contexts.sequence.narrow(values, np.zeros(len(values), np.int64), np.full(len(values), len(values)))
+    assert (high - low).mean() < 6
+
+
+def test_rows_are_counted_as_one_number_or_by_columns():
+    rng = np.random.default_rng(3)
+    for below in (1, 2, 9, 1 << 21, (1 << 21) + 1, 1 << 40):
+        columns = [np.append(rng.integers(0, min(below, 9), 2000), below - 1) for _ in range(3)]
+        rows, counts = lm_scoring.ranked(columns, below)
+        want = sorted(Counter(zip(*(c.tolist() for c in columns), strict=True)).items())
+        assert list(zip(*(c.tolist() for c in rows), strict=True)) == [k for k, _ in want] and counts.tolist() == [n for _, n in want]
