@@ -40,6 +40,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray, marks: np.ndarray | None = None, zeros: np.ndarray | None = None):
         self.n, self.low_bits, self.low, self.high, self.before, self.marks, self.zeros = n, low_bits, low, high, before, marks, zeros
+        self.words, self.unset = high.view(np.uint64), 64 * len(before) - n
 
     @classmethod
     def build(cls, values: np.ndarray, marked: bool = False, narrowed: bool = False) -> EliasFano:
@@ -72,28 +73,40 @@ class EliasFano:
         n, low_bits = arrays[f"{name}.n"].tolist()
         return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.before"], arrays.get(f"{name}.marks"), arrays.get(f"{name}.zeros"))
 
+    def part(self, some: np.ndarray | slice) -> EliasFano:
+        """What is to be asked about some of the places or values only."""
+        return self
+
+    def read(self, name: str, at: np.ndarray) -> np.ndarray:
+        return getattr(self, name)[at]
+
+    def block(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(getattr(self, name), numbers, "right") - 1
+
+    def mask(self, values: np.ndarray) -> np.ndarray:
+        return values & (np.uint64(1) << np.uint64(self.low_bits)) - np.uint64(1)
+
     def lows(self, at: np.ndarray) -> np.ndarray:
         """The low bits of the values at these places (int64), which need no search."""
         bit = at * self.low_bits
         word, shift = bit >> 6, (bit & 63).view(np.uint64)
-        return (self.low[word] >> shift | self.low[word + 1] << np.uint64(1) << (np.uint64(63) - shift)) & np.uint64((1 << self.low_bits) - 1)
+        return self.mask(self.read("low", word) >> shift | self.read("low", word + 1) << np.uint64(1) << (np.uint64(63) - shift))
 
     def bit_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The word of the high parts where the value at each place stands, its number, and the bit's place in it."""
-        block = np.searchsorted(self.before, at, "right") - 1
-        word = self.high.view(np.uint64)[block]
-        return word, block, place_in(word, (at - self.before[block]).view(np.uint64))
+        block = self.block("before", at)
+        word = self.read("words", block)
+        return word, block, place_in(word, (at - self.read("before", block)).view(np.uint64))
 
     def value(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The value at each place, from its bit's place in all the high parts."""
-        out = (bit - at).view(np.uint64) << np.uint64(self.low_bits)
-        return out | self.lows(at) if self.low_bits else out
+        return (bit - at).view(np.uint64) << np.uint64(self.low_bits) | self.lows(at)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The values at these places (each in [0, n)), some at a time, so that what is in hand stays in the processor's cache."""
         at = np.asarray(at, np.int64)
         if len(at) > TOGETHER:
-            return np.concatenate([self[at[i : i + TOGETHER]] for i in range(0, len(at), TOGETHER)])
+            return np.concatenate([self.part(slice(i, i + TOGETHER))[at[i : i + TOGETHER]] for i in range(0, len(at), TOGETHER)])
         _, block, place = self.bit_of(at)
         return self.value(at, block * 64 + place)
 
@@ -101,7 +114,7 @@ class EliasFano:
         """The values at these places and at the next ones (each in [0, n - 1)); the next bit is mostly in the same word."""
         at = np.asarray(at, np.int64)
         if len(at) > TOGETHER:
-            both = [self.two_at(at[i : i + TOGETHER]) for i in range(0, len(at), TOGETHER)]
+            both = [self.part(slice(i, i + TOGETHER)).two_at(at[i : i + TOGETHER]) for i in range(0, len(at), TOGETHER)]
             return np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
         word, block, place = self.bit_of(at)
         after = word & (~np.uint64(1) << place.view(np.uint64))
@@ -109,7 +122,7 @@ class EliasFano:
         following = self.value(at + 1, bit)
         later = np.flatnonzero(after == 0)
         if len(later):
-            following[later] = self[at[later] + 1]
+            following[later] = self.part(later)[at[later] + 1]
         return self.value(at, block * 64 + place), following
 
     def first_not_below(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
@@ -124,7 +137,7 @@ class EliasFano:
         read, wanted = self.__getitem__, values
         if self.zeros is not None:  # where only elements with the value's high part are left, their low bits tell
             low, high = self.narrow(values, low, high)
-            read, wanted = self.lows, values & np.uint64((1 << self.low_bits) - 1)
+            read, wanted = self.lows, self.mask(values)
         active = np.flatnonzero(low < high)
         while len(active):
             middle = (low[active] + high[active]) >> 1
@@ -138,34 +151,33 @@ class EliasFano:
         """The place of each value in [low, high), -1 if it isn't there. The sequence is narrowed and none of its values occurs twice."""
         if len(values) > TOGETHER:
             cut = lambda x, i: None if x is None else x[i : i + TOGETHER]
-            return np.concatenate([self.find(values[i : i + TOGETHER], cut(low, i), cut(high, i)) for i in range(0, len(values), TOGETHER)])
+            return np.concatenate([self.part(slice(i, i + TOGETHER)).find(values[i : i + TOGETHER], cut(low, i), cut(high, i)) for i in range(0, len(values), TOGETHER)])
         out = np.full(len(values), -1, np.int64)
         low = np.zeros(len(values), np.int64) if low is None else low
         low, high = self.narrow(values, low, np.full(len(values), self.n, np.int64) if high is None else high)
         active = np.flatnonzero(low < high)
-        low, high, wanted = low[active], high[active], values[active] & np.uint64((1 << self.low_bits) - 1)
+        low, high, wanted, asked = low[active], high[active], self.mask(values)[active], self.part(active)
         while len(active):
             middle = (low + high) >> 1
-            found = self.lows(middle)
+            found = asked.lows(middle)
             hit = found == wanted
             out[active[hit]] = middle[hit]
             less = found < wanted
             low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
             on = np.flatnonzero((low < high) & ~hit)
-            active, low, high, wanted = active[on], low[on], high[on], wanted[on]
+            active, low, high, wanted, asked = active[on], low[on], high[on], wanted[on], asked.part(on)
         return out
 
     def narrow(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The part of each range where elements with the value's high part lie, which is where the value would stand: the set bits after
         the unset one that ends the high part before."""
         part = values >> np.uint64(self.low_bits)
-        ends = 64 * len(self.zeros) - self.n
-        over = part >= np.uint64(ends)  # above all elements
+        over = part >= np.uint64(self.unset)  # above all elements
         part = np.where(over, np.uint64(0), part).view(np.int64)
         before = np.maximum(part - 1, 0)
-        block = np.searchsorted(self.zeros, before, "right") - 1
-        word = self.high.view(np.uint64)[block]
-        place = place_in(~word, (before - self.zeros[block]).view(np.uint64))
+        block = self.block("zeros", before)
+        word = self.read("words", block)
+        place = place_in(~word, (before - self.read("zeros", block)).view(np.uint64))
         after = word >> place.view(np.uint64) >> np.uint64(1)
         ones = np.bitwise_count(after & ~(after + np.uint64(1))).astype(np.int64)
         first = block * 64 + place - before
@@ -174,13 +186,63 @@ class EliasFano:
         first[none] = 0
         on = np.flatnonzero(none | (place + 1 + ones >= 64))  # in the next word too: up to the unset bit that ends this high part
         if len(on):
-            block = np.searchsorted(self.zeros, part[on], "right") - 1
-            last[on] = block * 64 + place_in(~self.high.view(np.uint64)[block], (part[on] - self.zeros[block]).view(np.uint64)) - part[on]
+            asked, ends = self.part(on), part[on]
+            block = asked.block("zeros", ends)
+            last[on] = block * 64 + place_in(~asked.read("words", block), (ends - asked.read("zeros", block)).view(np.uint64)) - ends
         if over.any():
-            first[over] = last[over] = self.n
+            first, last = np.where(over, self.n, first), np.where(over, self.n, last)
         return np.minimum(np.maximum(first, low), high), np.minimum(np.maximum(last, low), high)
 
 
+def gathered(arrays: list[np.ndarray], which: list[tuple[int, int, int]], at: np.ndarray) -> np.ndarray:
+    """The items at these places, from the array that is named for each part of them: (array, where its part begins, where it ends)."""
+    if len(which) == 1:
+        return arrays[which[0][0]][at]
+    out = np.empty(len(at), arrays[0].dtype)
+    for k, a, b in which:
+        out[a:b] = arrays[k][at[a:b]]
+    return out
+
+
+def parts_of(which: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, begin, end) of each part of equal numbers, which rise."""
+    if not len(which):
+        return [(0, 0, 0)]
+    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    return list(zip(which[first].tolist(), first.tolist(), [*first[1:].tolist(), len(which)], strict=True))
+
+
+class Several(EliasFano):
+    """Sequences that are asked together, each about a part of the places or values: which sequence, for each of them (rising).
+
+    Only what is read is gathered from one after the other; all else is done once, so that a few questions to each of many cost little.
+    """
+
+    def __init__(self, sequences: list[EliasFano], which: np.ndarray):
+        self.sequences, self.which, self.parts = sequences, which, parts_of(which)
+        self.n, self.low_bits, self.unset = (np.array([getattr(s, k) for s in sequences], np.int64)[which] for k in ("n", "low_bits", "unset"))
+
+    def part(self, some: np.ndarray | slice) -> Several:
+        out = Several.__new__(Several)
+        out.sequences, out.which, out.n, out.low_bits, out.unset = self.sequences, self.which[some], self.n[some], self.low_bits[some], self.unset[some]
+        out.parts = parts_of(out.which)
+        return out
+
+    def read(self, name: str, at: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.sequences[self.parts[0][0]].read(name, at)
+        out = np.empty(len(at), getattr(self.sequences[0], name).dtype)
+        for k, a, b in self.parts:
+            out[a:b] = getattr(self.sequences[k], name)[at[a:b]]
+        return out
+
+    def block(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        out = np.empty(len(numbers), np.int64)
+        for k, a, b in self.parts:
+            out[a:b] = getattr(self.sequences[k], name).searchsorted(numbers[a:b], "right")
+        return out - 1
+
+
 class Runs:
     """Rising runs of numbers, one for each context, in one sequence: each run goes on from where the one before it ends.
 
@@ -202,7 +264,7 @@ class Runs:
 
     def starts(self, begin: np.ndarray) -> np.ndarray:
         """What is added to the numbers of the run that begins at each place."""
-        return np.where(begin > 0, self.sequence[np.maximum(begin - 1, 0)] + np.uint64(1), np.uint64(0)) if self.sequence.n else np.zeros(len(begin), np.uint64)
+        return np.where(begin > 0, self.sequence[np.maximum(begin - 1, 0)] + np.uint64(1), np.uint64(0)) if len(begin) else np.zeros(0, np.uint64)
 
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         """The place of each value in its run [begin, end), -1 if it isn't there; empty runs hold nothing. start: starts(begin), where known."""
@@ -211,7 +273,7 @@ class Runs:
         if not len(some):
             return out
         start = self.starts(begin[some]) if start is None else start[some]
-        out[some] = self.sequence.find(values[some].astype(np.uint64) + start, begin[some], end[some])
+        out[some] = self.sequence.part(some).find(values[some].astype(np.uint64) + start, begin[some], end[some])
         return out
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.elias_fano import EliasFano, Runs, load, remove, save
+from lumaframe.llm.elias_fano import TOGETHER, EliasFano, Runs, Several, gathered, load, parts_of, remove, save
 from lumaframe.llm.memo import CLEAR, Memo, claim, coded
 from lumaframe.llm.shared import checkpointed, shared_dir, small_batches
 from lumaframe.llm.shingle_sets import scattered
@@ -378,31 +378,51 @@ def each_of(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
+def asked_together(file: Callable, shards: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Shards with few questions in groups: what is held of each, which of these each question is for (rising), and where the questions stand."""
+    levels, places, size = [], [], 0
+
+    def group() -> tuple[list, np.ndarray, np.ndarray]:
+        return levels, np.repeat(np.arange(len(levels)), [len(p) for p in places]), np.concatenate(places)
+
+    for s, at in each_of(shards):
+        if (level := file(s)) is None:
+            continue
+        if levels and size + len(at) > TOGETHER:
+            yield group()
+            levels, places, size = [], [], 0
+        levels.append(level)
+        places.append(at)
+        size += len(at)
+    if levels:
+        yield group()
+
+
 class Pairs:
     """Level 2: rising pointers from the ids of contexts to their successors, these in rising runs, and quantised log10 probabilities."""
 
     def __init__(self, home: str, words: Words, shards: int):
         self.words, self.shards = words, shards
-        self.file = Files(home, "grams2", lambda a: (int(a["low"][0]), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
+        self.file = Files(home, "grams2", lambda a: (int(a["low"][0]), EliasFano.of(a, "pointer"), EliasFano.of(a, "next"), a["code"], a["escape"]))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pair: its rank among the context's successors (-1: none), its code, and log10 of the context's escape (0: no such context)."""
         rank, code, escape = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
         known = np.flatnonzero(context >= 0)
-        for s, at in each_of(shards2(self.words, context[known], self.shards)):
-            if (level := self.file(s)) is None:
-                continue
-            low, pointers, following, codes, escapes = level
-            mine = known[at]
-            mine = mine[(context[mine] >= low) & (context[mine] < low + len(escapes))]
-            alone, back = distinct(context[mine] - low)
-            begin, end = (x.view(np.int64) for x in pointers.two_at(alone))
-            escape[mine] = escapes[alone][back]
-            start, begin, end = following.starts(begin)[back], begin[back], end[back]
+        for levels, which, at in asked_together(self.file, shards2(self.words, context[known], self.shards)):
+            lows, pointers, following, codes, escapes = (list(x) for x in zip(*levels, strict=True))
+            mine, local = known[at], context[known[at]] - np.array(lows)[which]
+            some = np.flatnonzero((local >= 0) & (local < np.array([len(e) for e in escapes])[which]))
+            mine, local, which = mine[some], local[some], which[some]
+            alone, back = distinct(which << 32 | local)
+            runs, alone = alone >> 32, alone & 0xFFFFFFFF
+            begin, end = (x.view(np.int64) for x in Several(pointers, runs).two_at(alone))
+            escape[mine] = gathered(escapes, parts_of(runs), alone)[back]
+            start, begin, end = Runs(Several(following, runs)).starts(begin)[back], begin[back], end[back]
             end[word[mine] < 0] = 0
-            place = following.find(np.maximum(word[mine], 0), begin, end, start)
-            hit = place >= 0
-            rank[mine[hit]], code[mine[hit]] = place[hit] - begin[hit], codes[place[hit]]
+            place = Runs(Several(following, which)).find(np.maximum(word[mine], 0), begin, end, start)
+            hit = np.flatnonzero(place >= 0)
+            rank[mine[hit]], code[mine[hit]] = place[hit] - begin[hit], gathered(codes, parts_of(which[hit]), place[hit])
         return rank, code, escape
 
 
@@ -424,12 +444,23 @@ class Contexts:
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The place of each context, -1 if it isn't there."""
-        out = np.full(len(one), -1, np.int64)
-        at = np.searchsorted(self.ones, one.astype(np.uint32))
-        hit = np.flatnonzero(self.ones[np.minimum(at, len(self.ones) - 1)] == one) if len(self.ones) else np.zeros(0, np.int64)
-        first, after = self.room[at[hit]].astype(np.int64), self.room[at[hit] + 1].astype(np.int64)
-        out[hit] = self.sequence.find((first * self.size + two[hit] * (after - first)).view(np.uint64))
-        return out
+        return contexts_at([self], np.zeros(len(one), np.int64), one, two)
+
+
+def contexts_at(levels: list[Contexts], which: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The place of each context in the level that is named for it (rising), -1 if it isn't there."""
+    out, at, there = np.full(len(one), -1, np.int64), np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+    words = one.astype(np.uint32)
+    for k, a, b in parts_of(which):
+        ones = levels[k].ones
+        if len(ones):
+            at[a:b] = ones.searchsorted(words[a:b])
+            there[a:b] = ones[np.minimum(at[a:b], len(ones) - 1)] == words[a:b]
+    hit = np.flatnonzero(there)
+    at, which, parts, rooms = at[hit], which[hit], parts_of(which[hit]), [level.room for level in levels]
+    first, after = gathered(rooms, parts, at).astype(np.int64), gathered(rooms, parts, at + 1).astype(np.int64)
+    out[hit] = Several([level.sequence for level in levels], which).find((first * levels[0].size + two[hit] * (after - first)).view(np.uint64))
+    return out
 
 
 class Triples:
@@ -437,25 +468,25 @@ class Triples:
 
     def __init__(self, home: str, words: Words, shards: int, least: int):
         self.words, self.shards, self.least = words, shards, least
-        self.file = Files(home, "grams3", lambda a: (Contexts(a), EliasFano.of(a, "pointer"), Runs(EliasFano.of(a, "next")), a["code"], a["escape"]))
+        self.file = Files(home, "grams3", lambda a: (Contexts(a), EliasFano.of(a, "pointer"), EliasFano.of(a, "next"), a["code"], a["escape"]))
 
     def find(self, one: np.ndarray, two: np.ndarray, rank: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each run of words (two, one, the one of this rank after one): its code (-1: none) and log10 of the context's escape. count: of one."""
         code, escape = np.full(len(one), -1.0), np.zeros(len(one))
         known = np.flatnonzero((one >= 0) & (two >= 0) & (count >= self.least))  # a rarer word has no kept grams
-        for s, here in each_of(shards3(self.words, one[known], two[known], count[known], self.shards)):
-            if (level := self.file(s)) is None:
-                continue
-            contexts, pointers, following, codes, escapes = level
+        for levels, which, here in asked_together(self.file, shards3(self.words, one[known], two[known], count[known], self.shards)):
+            contexts, pointers, following, codes, escapes = (list(x) for x in zip(*levels, strict=True))
             mine = known[here]
-            at = contexts.find(one[mine], two[mine])
-            mine, at = mine[at >= 0], at[at >= 0]
-            escape[mine] = escapes[at]
-            mine, at = mine[rank[mine] >= 0], at[rank[mine] >= 0]
-            begin, end = (x.view(np.int64) for x in pointers.two_at(at))
-            place = following.find(rank[mine], begin, end)
-            hit = place >= 0
-            code[mine[hit]] = codes[place[hit]]
+            at = contexts_at(contexts, which, one[mine], two[mine])
+            some = np.flatnonzero(at >= 0)
+            mine, at, which = mine[some], at[some], which[some]
+            escape[mine] = gathered(escapes, parts_of(which), at)
+            some = np.flatnonzero(rank[mine] >= 0)
+            mine, at, which = mine[some], at[some], which[some]
+            begin, end = (x.view(np.int64) for x in Several(pointers, which).two_at(at))
+            place = Runs(Several(following, which)).find(rank[mine], begin, end)
+            hit = np.flatnonzero(place >= 0)
+            code[mine[hit]] = gathered(codes, parts_of(which[hit]), place[hit])
         return code, escape
 
 

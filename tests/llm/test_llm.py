@@ -445,3 +445,24 @@ def test_rows_are_counted_as_one_number_or_by_columns():
         rows, counts = lm_scoring.ranked(columns, below)
         want = sorted(Counter(zip(*(c.tolist() for c in columns), strict=True)).items())
         assert list(zip(*(c.tolist() for c in rows), strict=True)) == [k for k, _ in want] and counts.tolist() == [n for _, n in want]
+
+
+def test_many_sequences_are_asked_together(monkeypatch):
+    """Few questions to each of many sequences: the same answers as one by one, and the arithmetic is done once, not once a sequence."""
+    rng = np.random.default_rng(4)
+    values = [np.unique(rng.integers(0, int(top), int(n), dtype=np.uint64)) for n, top in zip(rng.integers(1, 400, 300), 2.0 ** rng.integers(0, 60, 300), strict=True)]
+    held = [elias_fano.EliasFano.build(v, narrowed=True) for v in values]
+    which = np.sort(rng.integers(0, 300, 3000))
+    at = np.array([rng.integers(0, held[k].n) for k in which])
+    asked = np.array([values[k][i] for k, i in zip(which, at, strict=True)]) + rng.integers(0, 2, 3000).astype(np.uint64)
+    want = [int(np.searchsorted(values[k], x)) if x in values[k] else -1 for k, x in zip(which, asked, strict=True)]
+    calls, place_in = [], elias_fano.place_in
+    monkeypatch.setattr(elias_fano, "place_in", lambda *a: calls.append(1) or place_in(*a))
+    several = elias_fano.Several(held, which)
+    assert several.find(asked).tolist() == want
+    assert several[at].tolist() == [int(values[k][i]) for k, i in zip(which, at, strict=True)]
+    some = np.flatnonzero(at < several.n - 1)
+    assert [x.tolist() for x in several.part(some).two_at(at[some])] == [[int(values[which[j]][at[j] + d]) for j in some] for d in (0, 1)]
+    assert len(calls) < 10
+    monkeypatch.setattr(elias_fano, "TOGETHER", 100)
+    assert several.find(asked).tolist() == want
